@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import line_dedup, quality
 
 QUERIES = {
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 #: Expectation-maximisation has no SQL twin; tests/llm holds op10 against a plain Python version.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": line_dedup.OP3_SQL,
+}
