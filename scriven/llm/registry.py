@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, near_dedup, quality
+from . import line_dedup, near_dedup, quality, token_files
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op9_token_files": token_files.op9_token_files,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 #: Expectation-maximisation has no SQL twin; tests/llm holds op10 against a plain Python version.
