@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, near_dedup, quality, token_files
+from . import decontam, line_dedup, near_dedup, packing, quality, token_files
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op6_packing": packing.op6_packing,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_token_files": token_files.op9_token_files,
     "op10_quality_rules": quality.op10_quality_rules,
