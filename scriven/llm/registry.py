@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, near_dedup, packing, quality, token_files
+from . import chat, decontam, line_dedup, near_dedup, packing, quality, token_files
 
 QUERIES = {
+    "op2_chat_format": chat.op2_chat_format,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op6_packing": packing.op6_packing,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 #: Expectation-maximisation has no SQL twin; tests/llm holds op10 against a plain Python version.
 ORACLES: dict[str, str] = {
+    "op2_chat_format": chat.oracle(),
     "op3_line_dedup": line_dedup.OP3_SQL,
 }
