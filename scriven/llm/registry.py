@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, line_dedup, near_dedup, packing, quality, token_files
+from . import chat, decontam, html_text, line_dedup, near_dedup, packing, quality, token_files
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_html_text": html_text.op5_html_text,
     "op6_packing": packing.op6_packing,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_token_files": token_files.op9_token_files,
