@@ -7,8 +7,8 @@ the shingle alone; each arrival names a register, which keeps the earliest; a pr
 than all registers of its document. Two documents agree in a register with probability J_P.
 
 1. Equal texts become one row. 2. Signatures; documents that agree in a band of registers share a bucket.
-3. Inside a bucket leaders are chosen by estimated similarity and each member keeps an edge to every leader
-that a link could run through (LINKABLE); edges join buckets into candidate groups. 4. A group is verified with
+3. Inside a bucket of three or more leaders are chosen by estimated similarity and each member joins every leader
+that a link could run through (LINKABLE); a bucket's joined members, one edge each, form candidate groups. 4. A group is verified with
 whole shingle sets: documents are compared until they are known to be in one class or known not to be
 linked. Groups over GROUP_DOCS are first reduced by leader rounds, in which one document meets all others of
 its group, spread over tasks. 5. Classes are the components of the verified links.
@@ -198,27 +198,29 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _leaders(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Edges member - leader within a bucket (or a part of it); see LINKABLE."""
+    """Members of a bucket (or a part of it) that leaders join, see LINKABLE: an edge from each to the smallest of its set."""
     pdf = pdf.sort_values("_id")
     ids, sig = pdf["_id"].to_numpy(), np.stack([np.frombuffer(s, np.uint16) for s in pdf["sig"]])
-    open_, edges = np.ones(len(ids), bool), []
+    open_, label = np.ones(len(ids), bool), np.arange(len(ids))
     while open_.any():
         lead = int(np.argmax(open_))
         near = (sig == sig[lead]).mean(1)
         open_[lead] = False
         open_ &= near < NEAR
-        hit = np.flatnonzero((near >= LINKABLE) & (np.arange(len(ids)) != lead))
-        edges.append(np.stack([np.full(len(hit), ids[lead]), ids[hit]], 1))
-    return pd.DataFrame(np.concatenate(edges), columns=["a", "b"]).astype("int64")
+        joined = np.unique(label[near >= LINKABLE])
+        label[np.isin(label, joined)] = joined[0]
+    inner = label != np.arange(len(ids))
+    return pd.DataFrame({"a": ids[label[inner]], "b": ids[inner]}).astype("int64")
 
 
 def candidate_groups(signed: DataFrame) -> DataFrame:
     """signed(_id, bands, sig) to (_id, grp): documents that links could join."""
     at = signed.select("_id", F.explode("bands").alias("bucket"))
-    buckets = at.groupBy("bucket").agg(F.count("*").alias("n"), F.min("_id").alias("low"), F.sum(F.xxhash64("_id") % 2**40).alias("sum1"), F.sum(F.xxhash64(F.lit(1), "_id") % 2**40).alias("sum2")).where("n > 1")
+    buckets = at.groupBy("bucket").agg(F.count("*").alias("n"), F.min("_id").alias("low"), F.max("_id").alias("high"), F.sum(F.xxhash64("_id") % 2**40).alias("sum1"), F.sum(F.xxhash64(F.lit(1), "_id") % 2**40).alias("sum2")).where("n > 1")
     # buckets with the same members (two sums of hashes, the count and the smallest id agree) are looked at once
-    buckets = buckets.groupBy("n", "low", "sum1", "sum2").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = written(at.join(buckets, "bucket"), "bucket-members")
+    buckets = written(buckets.groupBy("n", "low", "high", "sum1", "sum2").agg(F.min("bucket").alias("bucket")), "buckets")
+    pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
+    members = written(at.join(buckets.where("n > 2").select("bucket", "n"), "bucket"), "bucket-members")
     # a bucket over GROUP_DOCS is dealt over parts, each with the bucket's smallest document as a common member
     parts = F.ceil(F.col("n") / GROUP_DOCS).cast("int")
     dealt = members.select("_id", "bucket", F.pmod(F.xxhash64("_id"), parts).cast("int").alias("part"))
@@ -228,7 +230,7 @@ def candidate_groups(signed: DataFrame) -> DataFrame:
     edges = dealt.groupBy("bucket", "part").applyInPandas(_leaders, "a long, b long")
     # parts of a large bucket stay one candidate group
     whole = big.select("bucket", F.col("_id").alias("a")).join(members, "bucket").select("a", F.col("_id").alias("b"))
-    return components(edges.union(whole)).select(F.col("id").alias("_id"), F.col("label").alias("grp"))
+    return components(pairs.union(edges).union(whole)).select(F.col("id").alias("_id"), F.col("label").alias("grp"))
 
 
 def _leader_rounds(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
