@@ -97,9 +97,9 @@ def _filler(rng: random.Random, n: int) -> str:
     return " ".join("".join(rng.choice("aeioustrnlm") for _ in range(rng.randint(2, 8))) for _ in range(n))
 
 
-#: Layouts: {n} is n invented words, [...] marks main text, * repeats the part before it up to | a few times.
+#: Layouts: {n} is n invented words, [...] marks main text, * repeats the part before it up to | a few times; of class names in quotes one is drawn.
 _LAYOUTS = (
-    "<header class=site-header><a href=/>{2}</a></header><nav><ul>|<li><a href=x>{1}</a></li>*</ul></nav><div class=ad>{9}</div><article>[<h1>{7}</h1>|<p>{40}</p>*]</article><footer>{12}</footer>",
+    "<header class=site-header><a href=/>{2}</a></header><nav><ul>|<li><a href=x>{1}</a></li>*</ul></nav><div class=ad>{9}</div><article>[<h1>{7}</h1>|<p>{40}</p>*]<div class='ad ads advert banner promo sponsored share social related newsletter'>{9}</div>[|<p>{30}</p>*]<div class='notice disclaimer subscribe cookie popup'><p>{11}</p></div>[<p>{30}</p>]</article><section class='comments replies responses discussion'>|<p>{14}</p>*</section><footer>{12}</footer>",
     "<nav class=menu>|<a href=x>{2}</a>*</nav><main><article>[<h1>{6}</h1>|<p>{30} <a href=x>{3}</a> {20}</p>*<h2>{4}</h2>|<p>{25}</p>*<ul>|<li>{8}</li>*</ul>]</article></main><aside class=sidebar><h3>{2}</h3>|<p>{9}</p>*</aside><section id=comments class=comments><h3>{2}</h3>|<div class=comment><p>{14}</p></div>*<form><label>{2}</label><button>{1}</button></form></section><footer><p>{15}</p></footer>",
     "<div id=header><div class=logo>{2}</div></div><div class='navigation nav'><ul>|<li><a href=x>{1}</a></li>*</ul></div><div id=content class=post>[<h1>{5}</h1>|<p>{35}</p>*]<div class='share social'>|<a href=x>{1}</a>*</div></div><div id=sidebar class=widget><ul>|<li><a href=x>{5}</a></li>*</ul></div><div id=footer>{14}</div>",
     "<div class='cookie notice banner'><p>{16}</p><button>{1}</button></div><div class=breadcrumb>|<a href=x>{1}</a>*</div><article>[<header><h1>{8}</h1></header>|<p>{30}</p>*]<div class='ad advert ads sponsored'><p>{10}</p></div>[|<p>{30}</p>*<blockquote>{14}</blockquote>]<aside><p>{8}</p></aside>[|<p>{22}</p>*]</article><div class=related><h3>{2}</h3><ul>|<li><a href=x>{6}</a></li>*</ul></div><footer class=copyright>{8}</footer>",
@@ -110,10 +110,11 @@ _LAYOUTS = (
 )
 
 
-def labelled_pages(copies: int = 12, seed: int = 1) -> list[str]:
+def labelled_pages(copies: int = 24, seed: int = 1) -> list[str]:
     rng, out = random.Random(seed), []
     for layout in _LAYOUTS * copies:
         page = re.sub(r"\|([^|*]*)\*", lambda m: m[1] * rng.randint(1, 6), layout)
+        page = re.sub(r"class='([^']*)'", lambda m: f"class={rng.choice(m[1].split())}", page)
         page = page.replace("[", f"<!--{KEEP}-->").replace("]", f"<!--{DROP}-->")
         out.append("<html><body>" + re.sub(r"\{(\d+)\}", lambda m: _filler(rng, max(1, round(int(m[1]) * rng.uniform(0.4, 1.8)))), page) + "</body></html>")
     return out
