@@ -46,6 +46,8 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img in
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Opening a block closes an open paragraph.
 _BARRIERS = frozenset("table td th li ul ol div article section body button".split())
+#: A word costs no more than this in the scan, so a long advert does not cut an article in two.
+LOWEST = -0.5
 KEEP, DROP = "keep", "/keep"
 
 
@@ -146,8 +148,8 @@ class Weights:
         for _ in range(turns):
             w -= rate * 10 * (x.T @ (n * (1 / (1 + np.exp(-x @ w)) - y)) + decay * w * (np.arange(len(w)) < len(names)) / 10)
         self.words, self.bias = dict(zip(names, w)), float(w[-1])
-        #: what a tag costs: at least 0.2; rarer inside main text, more
-        self.tags = {t: -max(0.2, 0.5 + 0.5 * float(np.log(out / totals[0] / (inside / totals[1])))) for t, (out, inside) in tags.items()}
+        #: what a tag costs: at least 0.1; rarer inside main text, more
+        self.tags = {t: -max(0.1, 0.2 + 0.15 * float(np.log(out / totals[0] / (inside / totals[1])))) for t, (out, inside) in tags.items()}
         self.seen: dict[tuple[str, ...], float] = {}
 
     def word(self, features: tuple[str, ...]) -> float:
@@ -158,7 +160,7 @@ class Weights:
         return self.seen[features]
 
     def tag(self, name: str) -> float:
-        return self.tags.get(name, -0.5)
+        return self.tags.get(name, -0.2)
 
 
 @lru_cache(maxsize=1)
@@ -182,7 +184,7 @@ def main_text(source: str | None, w: Weights | None = None) -> str:
     w = w or weights()
     page = Page(source or "")
     of_text = [0.0 if kind else w.word(f) for kind, f in zip(page.kinds, page.features)]
-    start, stop = best_region([w.tag(kind) if kind else s * len(text.split()) for kind, text, s in zip(page.kinds, page.texts, of_text)])
+    start, stop = best_region([w.tag(kind) if kind else max(s, LOWEST) * len(text.split()) for kind, text, s in zip(page.kinds, page.texts, of_text)])
     blocks, block = [], []
     for i in range(start, stop):
         kind = page.kinds[i]
