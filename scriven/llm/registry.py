@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html_text, line_dedup, near_dedup, packing, quality, token_files
+from . import chat, decontam, html_text, line_dedup, near_dedup, packing, quality, token_files, toxicity
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_html_text": html_text.op5_html_text,
     "op6_packing": packing.op6_packing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_token_files": token_files.op9_token_files,
     "op10_quality_rules": quality.op10_quality_rules,
