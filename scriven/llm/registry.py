@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html_text, line_dedup, near_dedup, packing, quality, token_files, toxicity
+from . import chat, decontam, html_text, line_dedup, near_dedup, packing, quality, suffix_dedup, token_files, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_chat_format": chat.op2_chat_format,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
