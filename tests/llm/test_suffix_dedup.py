@@ -52,7 +52,7 @@ def test_suffix_array_and_prefixes():
         sa = S.suffix_array(data)
         deep = [raw[i : i + 128] for i in sa]
         assert sorted(sa) == list(range(n)) and deep == sorted(deep)
-        got = S.permuted_common_prefixes(data, sa)
+        got = S.permuted_common_prefixes(data, sa, 1024)
         for a, b in zip(sa, sa[1:]):
             want = next((j for j in range(n) if a + j >= n or b + j >= n or raw[a + j] != raw[b + j]), n)
             assert min(got[b], 128) == min(want, 128)
