@@ -30,7 +30,7 @@ from .common import doc_id_of, doc_key, shuffle_partitions, table, written
 from .near_dedup import mixed
 
 LENGTH, ANCHOR = 100, 24
-HOT, SHARD_BYTES, CHUNK_BYTES, DEPTH = 20_000, 1 << 22, 1 << 22, 64
+HOT, SHARD_BYTES, CHUNK_BYTES, DEPTH = 20_000, 1 << 21, 1 << 19, 64
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 
@@ -240,7 +240,7 @@ def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _byte_chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    """Documents in parts of about CHUNK_BYTES; 2^24 bytes at most, a longer document in overlapping pieces elsewhere."""
+    """Documents in parts of about CHUNK_BYTES, one longer document alone; (first row, texts)."""
     texts, start, size = [], 0, 0
     for i, t in enumerate(batch.column("text").to_pylist()):
         texts.append(t.encode())
@@ -266,7 +266,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner, offset, k = np.array(owner), np.array(offset), 0
             while k < len(pieces):
                 stop, size = k, 0
-                while stop < len(pieces) and (stop == k or size + len(pieces[stop]) < 3 * CHUNK_BYTES):
+                while stop < len(pieces) and (stop == k or size + len(pieces[stop]) < 2 * CHUNK_BYTES):
                     size += len(pieces[stop])
                     stop += 1
                 doc, at, n, h, content = anchors(np.frombuffer(b"".join(pieces[k:stop]), np.uint8), np.array([len(p) for p in pieces[k:stop]]))
