@@ -112,7 +112,7 @@ def parsed_line(line: Column) -> Column:
 
 def clean_quote(text: Column) -> Column:
     """A quote without time codes, speaker label, marker and quotation marks."""
-    bare = F.regexp_replace(text, "\\[\\d+:\\d{2}(?::\\d{2})?\\]\\s*", "")
+    bare = F.regexp_replace(F.btrim(text, F.lit(" \"'„”“«»")), "\\[\\d+:\\d{2}(?::\\d{2})?\\]\\s*", "")
     bare = F.regexp_replace(bare, "^\\s*(?:SPEAKER_\\d+|UNK|SPK\\d+):\\s*", "")
     return F.btrim(F.regexp_replace(bare, "\\s*\\[\\?\\]", ""), F.lit(" \"'„”“«»"))
 
