@@ -174,6 +174,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that are kept, with their own columns."""
-    features = written(with_features(docs.select("text")).drop("text"), "quality")
-    return score(docs.withColumn("_doc", F.struct(*docs.columns)).select("_doc", "text"), fit(features)).where("kept").select("_doc.*")
+    """Pipeline stage: the documents that are kept, with their own columns.
+
+    Documents and counts are written once; a filter over columns still to be computed would be pushed below them and
+    their shared parts multiplied out.
+    """
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
+    features = written(with_features(whole).drop("text"), "quality")
+    return judged(features, fit(features)).where("kept").select("_doc.*")
