@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import folds, intervals, reports, text  # noqa: F401
+from . import folds, intervals, more, reports, text  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
