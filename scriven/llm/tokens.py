@@ -1,18 +1,19 @@
 """Exact token ids at word-cache speed: a text is cut where its tokenizer cuts it anyway, pieces are encoded once.
 
-Both vocabularies first split a text by a pattern whose tokens never run from non-space into white space, so
-encoding can restart before any space or line end that follows a non-space. Pieces repeat a lot; each new one
-goes through the tokenizers library, the rest come from a cache. Texts with white space other than space and
-line end are encoded whole, since the pattern's white space runs could otherwise be cut.
+Both vocabularies first split a text by a pattern whose tokens never run from non-space into white space, nor from a
+letter or digit into a full stop or comma, and never look back. So encoding can restart before any space or line
+end that follows a non-space, and before a stop or comma that follows a letter or digit. Pieces repeat a lot; each new
+one goes through the tokenizers library, the rest come from a cache. Texts in which such a cut could be wrong are cut
+less, or not at all. The vocabulary of words lower-cases; Latin letters are lower-cased before the cache.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,14 @@ import pyarrow as pa
 #: Distinct pieces kept per Python worker, about 100 bytes each; then the cache starts again.
 CACHE_PIECES = 600_000
 _ODD_SPACE = re.compile(r"[^\S \n]")
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_PIECE = re.compile(r"[ \n]*[^ \n\0]+|[ \n]+")
+#: A stop or comma that may belong to a longer run of signs.
+_RUN = r"(?:[^\w \n]|_)[.,][ \n]"
+_SIGN_RUN = re.compile(_RUN)
+#: Or letters whose lower case this module leaves to the tokenizer: all but Latin ones.
+_SIGN_RUN_OR_LETTER = re.compile(rf"[^\0-\u024f]|\u0130|{_RUN}")
+#: White space for Python alone.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class PieceEncoder:
@@ -32,25 +40,39 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = "H" if self.dtype is np.uint16 else "I"
         self.drops_space, self.cache = drops_space, {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, text: str) -> list[str]:
+        if any(c in text for c in _SEPARATORS):
+            return [text]
+        if not _SIGN_RUN_OR_LETTER.search(text):
+            text = text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+        return text.split()
 
     def _pieces(self, text: str) -> list[str]:
-        if _ODD_SPACE.search(text):
+        if self.drops_space:
+            return self._words(text)
+        if _ODD_SPACE.search(text) or "\0" in text:
             return [text]
-        return text.split() if self.drops_space else _PIECE.findall(text)
+        if not _SIGN_RUN.search(text):
+            text = text.replace(", ", "\0, ").replace(". ", "\0. ").replace(".\n", "\0.\n")
+        return _PIECE.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian integers of self.dtype."""
         cut = [self._pieces(t) for t in texts]
-        distinct = set(chain.from_iterable(cut))
-        new = list(distinct.difference(self.cache))
+        known = [list(map(self.cache.get, pieces)) for pieces in cut]
+        new = list({p for pieces, found in zip(cut, known, strict=True) if None in found for p, x in zip(pieces, found, strict=True) if x is None})
+        fresh = dict(zip(new, self._encoded(new), strict=True))
+        out = [b"".join([fresh[p] if x is None else x for p, x in zip(pieces, found, strict=True)]) for pieces, found in zip(cut, known, strict=True)]
         if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache, new = {}, list(distinct)
-        self.cache.update(zip(new, self._encoded(new), strict=True))
-        return [b"".join(map(self.cache.__getitem__, pieces)) for pieces in cut]
+            self.cache = {}
+        self.cache.update(fresh)
+        return out
 
 
 @lru_cache(maxsize=2)
