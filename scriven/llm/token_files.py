@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import doc_id_of, doc_key, shuffle_partitions, table, written
 from .tokens import encoded_chunks, encoder
 
-SHARD_IDS, ROUNDS, ROUND_PAIRS, MIN_COUNT = 1 << 20, 8, 1024, 16
+SHARD_IDS, ROUNDS, ROUND_PAIRS, MIN_COUNT = 1 << 20, 6, 2048, 16
 _MAGIC, _HEAD = b"RPG1", "<4s5I"
 _BITS = 20
 
@@ -40,17 +40,6 @@ def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - _BITS)
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, slots: np.ndarray, usable: np.ndarray) -> np.ndarray:
-    """Places in the arrays that show the most frequent pairs, one a slot, by slot count."""
-    counts = np.bincount(slots[usable], minlength=1 << _BITS)
-    top = np.flatnonzero(counts >= MIN_COUNT)
-    top = top[np.argsort(-counts[top], kind="stable")][:ROUND_PAIRS]
-    example = np.full(1 << _BITS, -1, np.int64)
-    at = np.flatnonzero(usable)[::-1]
-    example[slots[at]] = at  # the first place wins
-    return example[top]
-
-
 def compress(symbols: np.ndarray, end_id: int, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k, a pair of symbols, is symbol first_rule + k."""
     rules = np.zeros((0, 2), np.uint32)
@@ -60,15 +49,20 @@ def compress(symbols: np.ndarray, end_id: int, first_rule: int) -> tuple[np.ndar
             break
         left, right = s[:-1], s[1:]
         slots = _slots(left, right)
-        usable = (left != end_id) & (right != end_id)
-        at = _frequent(left, right, slots, usable)
-        if not len(at):
+        counts = np.bincount(slots, minlength=1 << _BITS)
+        top = np.flatnonzero(counts >= MIN_COUNT)
+        top = top[np.argsort(-counts[top], kind="stable")][:ROUND_PAIRS]
+        name = np.zeros(1 << _BITS, np.uint16)
+        name[top] = np.arange(1, len(top) + 1)
+        hit = np.flatnonzero(name[slots])
+        hit = hit[(left[hit] != end_id) & (right[hit] != end_id)]
+        if not len(hit):
             break
-        name = np.zeros(1 << _BITS, np.uint32)
-        name[slots[at]] = np.arange(1, len(at) + 1)
-        pairs = np.stack([left[at], right[at]], 1)
-        hit = np.flatnonzero(name[slots] & usable)
-        rule = name[slots[hit]] - 1
+        # pairs that share a slot: the first one met stands for it
+        rule = name[slots[hit]].astype(np.int64) - 1
+        first = np.zeros(len(top), np.int64)
+        first[rule[::-1]] = hit[::-1]
+        pairs = np.stack([left[first], right[first]], 1)
         exact = (pairs[rule, 0] == left[hit]) & (pairs[rule, 1] == right[hit])
         hit, rule = hit[exact], rule[exact]
         # of places that follow each other take every second, from the left
