@@ -10,11 +10,12 @@ from pyspark.sql.types import StringType
 from scriven.functions import languages as L
 from scriven.functions import similarity as S
 from scriven.functions.number_words import normalize_numbers
-from scriven.functions.text import compression_ratio_udf
+from scriven.functions.text import compression_ratio_udf, est_tokens
 from scriven.operators import evaluation as E
 from scriven.operators import minutes as M
 from scriven.operators import packing as P
 from scriven.operators import segmentation as G
+from scriven.operators.patients import patient_windows
 
 from .base import SEGMENTS_SQL, query, segments, table, turns
 
@@ -107,3 +108,9 @@ def _digits(s: pd.Series) -> pd.Series:
 def numbers_as_digits(spark, d):
     digits = F.pandas_udf(_digits, StringType())
     return turns(spark, d).select("conv_id", "turn", F.length(digits(F.coalesce("text", F.lit("")))).cast("long").alias("n_chars"))
+
+
+@query()
+def patient_fragments(spark, d):
+    t = P.with_clock(turns(spark, d)).select(F.col("conv_id").alias("job"), F.col("turn").alias("id"), (F.col("start_ds") / 10).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
+    return patient_windows(t.withColumn("tokens_est", est_tokens(F.col("text"))), 15, 220, 3)
