@@ -14,7 +14,13 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the smallest label among a node's neighbours, then its label's label, so a chain
     shortens at least by half; a node of many links meets the others' labels in a partial minimum.
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
+    # first each node keeps its smallest neighbour, which takes over its other smaller neighbours: many links of one
+    # node to a few others, as a large group of copies has them, become a few links among those others
+    down = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    least = down.groupBy("b").agg(F.min("a").alias("low"))
+    others = down.join(least, "b").where("a <> low").select("low", "a").distinct()
+    kept = least.select("low", F.col("b").alias("a")).union(others).distinct()
+    both = written(kept.select("low", "a").union(kept.select("a", "low")).toDF("a", "b").distinct(), "links")
     labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("label"))
     labels = written(labels, "labels")
     while True:
