@@ -16,8 +16,10 @@ its group, spread over tasks. 5. Classes are the components of the verified link
 With 32 bands of 5 registers a pair at 0.8 shares no band with probability 3e-6. No bucket, group or partner list is capped.
 
 Defined cases: words are lower-cased, between ASCII white space; a text of one to four words is one shingle;
-texts without words are alike only if equal; null text is empty text; rows with one doc_id and equal text are
-one document; other columns pass through; an empty table gives an empty result.
+texts without words are alike only if equal; null text is empty text; rows with one doc_id (or none) and equal text
+are one document, different texts of one doc_id (or none) are different documents; the class id is the smallest doc_id
+of the class, null first, so classes that share a null or repeated doc_id may bear one id, but each has one
+representative; other columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -267,11 +269,12 @@ def _leader_rounds(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """signed(_id, doc, _text, bands, sig), one row for each text with an _id of its own, to links (a, b) of these."""
     groups = candidate_groups(signed)
     wanted = written(groups.join(signed.select("_id", "sig"), "_id"), "candidates")
-    texts = docs.select(doc_key().alias("_id"), _text_key().alias("_text"), _words().alias("words"))
-    own = signed.select("_id", "_text").join(wanted, "_id")
-    sets = texts.join(own, ["_id", "_text"]).dropDuplicates(["_id"]).select("_id", "grp", "sig", "words").mapInArrow(_sets, "_id long, grp long, sig binary, items binary, weights binary")
+    texts = docs.select(doc_key().alias("doc"), _text_key().alias("_text"), _words().alias("words"))
+    own = signed.select("_id", "doc", "_text").join(wanted, "_id")
+    sets = texts.join(own, ["doc", "_text"]).dropDuplicates(["_id"]).select("_id", "grp", "sig", "words").mapInArrow(_sets, "_id long, grp long, sig binary, items binary, weights binary")
     links, rest = _leader_rounds(written(sets, "shingle-sets"))
     return links.union(rest.groupBy("grp").applyInPandas(_verify, "a long, b long"))
 
@@ -281,24 +284,29 @@ def _text_key():
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """(_id, _text, class): for each text of each document the smallest document of its class."""
+    """(_id, _text, class, is_head): for each text of each document the smallest document of its class, and whether it is that one."""
     rows = docs.select(doc_key().alias("_id"), _text_key().alias("_text"), _words().alias("words"))
     signed = written(rows.mapInArrow(_sign, "_id long, _text string, bands array<long>, sig binary"), "signatures")
-    # equal texts: one row stands for all; its hashes are the same whichever is taken
-    reps = signed.groupBy("_text").agg(F.min("_id").alias("_id"), F.min_by(F.struct("bands", "sig"), "_id").alias("s"))
-    reps = written(reps.select("_id", "_text", "s.bands", "s.sig"), "representatives")
+    # equal texts: one row stands for all; its hashes are the same whichever is taken. Texts are numbered, since one
+    # doc_id, or a null one, may have several
+    reps = signed.groupBy("_text").agg(F.min("_id").alias("doc"), F.min_by(F.struct("bands", "sig"), "_id").alias("s"))
+    reps = written(reps.select(F.monotonically_increasing_id().alias("_id"), "doc", "_text", "s.bands", "s.sig"), "representatives")
     labels = components(near_links(docs, reps))
-    classes = reps.select("_text", F.col("_id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("_text", F.coalesce("label", "rep").alias("class"))
-    return signed.select("_id", "_text").join(classes, "_text").select("_id", "_text", "class")
+    linked = written(reps.select("_id", "doc", "_text").join(labels.withColumnRenamed("id", "_id"), "_id"), "linked")
+    heads = linked.groupBy("label").agg(F.min(F.struct("doc", "_text")).alias("head"))
+    classes = linked.join(heads, "label").select("_text", "head")
+    out = signed.select("_id", "_text").join(reps.select("_text", "doc"), "_text").join(classes, "_text", "left")
+    head = F.coalesce("head", F.struct("doc", "_text"))
+    return out.select("_id", "_text", head["doc"].alias("class"), (F.struct(F.col("_id").alias("doc"), "_text") == head).alias("is_head"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select(doc_id_of(F.col("_id")).alias("doc_id"), doc_id_of(F.col("class")).alias("class_id"), (F.col("_id") == F.col("class")).alias("is_representative"))
+    return out.select(doc_id_of(F.col("_id")).alias("doc_id"), doc_id_of(F.col("class")).alias("class_id"), F.col("is_head").alias("is_representative"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each class, the one with the smallest id, once."""
-    stays = near_classes(docs).where(F.col("_id") == F.col("class")).select("_id", "_text").distinct()
+    stays = near_classes(docs).where("is_head").select("_id", "_text").distinct()
     keyed = docs.select(F.struct(*docs.columns).alias("_doc"), doc_key().alias("_id"), _text_key().alias("_text"))
-    return keyed.join(stays, ["_id", "_text"]).dropDuplicates(["_id"]).select("_doc.*")
+    return keyed.join(stays, ["_id", "_text"]).dropDuplicates(["_id", "_text"]).select("_doc.*")

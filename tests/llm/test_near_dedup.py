@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from scriven.llm import near_dedup as N
+from scriven.llm.common import NULL_ID
 
 SCHEMA = "doc_id long, text string, lang string, _id string, label int"
 
@@ -84,6 +85,20 @@ def test_stage_keeps_one_of_each_class_and_all_columns(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(want.values()))
 
 
+def test_texts_of_null_and_repeated_ids_are_documents_of_their_own(spark):
+    long = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = long(1) + " end"
+    rows = [(None, long(0)), (None, long(1)), (None, near), (None, long(2)), (None, long(2)), (None, None), (5, long(3)), (5, long(4)), (6, long(4) + " end"), (7, near)]
+    df = spark.createDataFrame([(i, t, "en", "x", 1) for i, t in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in N.near_stage(spark, df, "").collect()]
+    one_of = [t for i, t in kept if i is None and t in (long(1), near)]
+    assert len(one_of) == 1
+    assert sorted(kept, key=str) == sorted([(None, long(0)), (None, one_of[0]), (None, long(2)), (None, None), (5, long(3)), (5, long(4))], key=str)
+    got = N.near_classes(df).collect()
+    assert len(got) == len(rows)
+    assert {(r._id, r["class"]) for r in got} == {(NULL_ID, NULL_ID), (5, 5), (6, 5), (7, NULL_ID)}
+
+
 def test_empty_table(spark):
     assert N.near_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
