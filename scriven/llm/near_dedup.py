@@ -10,8 +10,8 @@ than all registers of its document. Two documents agree in a register with proba
 3. Inside a bucket of three or more leaders are chosen by estimated similarity and each member joins every leader
 that a link could run through (LINKABLE); a bucket's joined members, one edge each, form candidate groups. 4. A group is verified with
 whole shingle sets: documents are compared until they are known to be in one class or known not to be
-linked. Groups over GROUP_DOCS are first reduced by leader rounds, in which one document meets all others of
-its group, spread over tasks. 5. Classes are the components of the verified links.
+linked. Groups over GROUP_DOCS are dealt over blocks; the documents outside a group's largest class so far then
+meet its blocks, spread over tasks (_large_links). 5. Classes are the components of the verified links.
 
 With 32 bands of 5 registers a pair at 0.8 shares no band with probability 3e-6. No bucket, group or partner list is capped.
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, SPACES, doc_id_of, doc_key, table, written
@@ -44,6 +44,8 @@ SLACK = 6 * (0.25 / REGISTERS) ** 0.5
 NEAR, LINKABLE = 0.5, max(0.02, 0.3 - SLACK)
 #: Groups up to this many documents are verified in one task; words worked on at once in a task.
 GROUP_DOCS, CHUNK_WORDS = 4096, 200_000
+#: Classes of a large group of which one document each meets the whole group first.
+LEADERS = 8
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -169,6 +171,8 @@ class _Group:
     def __init__(self, pdf: pd.DataFrame):
         pdf = pdf.sort_values("_id")
         self.ids = pdf["_id"].to_numpy()
+        if "label" in pdf:
+            self.label, self.probes = pdf["label"].to_numpy().copy(), pdf["probes"].to_numpy(bool)
         self.sig = np.stack([np.frombuffer(s, np.uint16) for s in pdf["sig"]])
         self.sets = [(np.frombuffer(i, np.uint64), np.frombuffer(w, np.uint32) if len(w) else None) for i, w in zip(pdf["items"], pdf["weights"])]
 
@@ -192,11 +196,22 @@ def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(_Group(pdf).links(), columns=["a", "b"]).astype("int64")
 
 
-def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    view = lambda i, w: (np.frombuffer(i, np.uint64), np.frombuffer(w, np.uint32) if len(w) else None)
-    for pdf in batches:
-        far = [1 - similarity(view(i, w), view(li, lw)) for i, w, li, lw in zip(pdf["items"], pdf["weights"], pdf["lead_items"], pdf["lead_weights"])]
-        yield pdf.assign(far=far)[["_id", "grp", "lead", "far"]]
+def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between probes and the other documents of a block: pairs already in one class need no comparison."""
+    if pdf["is_probe"].nunique() < 2:
+        return pd.DataFrame({"a": [], "b": []}).astype("int64")
+    probe, base, out = _Group(pdf[pdf["is_probe"]]), _Group(pdf[~pdf["is_probe"]]), []
+    for i in range(len(probe.ids)):
+        # a base document that is a probe itself meets the smaller probes only: each pair is compared once
+        rest = np.flatnonzero((base.label != probe.label[i]) & (~base.probes | (base.ids > probe.ids[i])))
+        rest = rest[(base.sig[rest] == probe.sig[i]).mean(1) >= SIMILARITY - SLACK]
+        for j in rest:
+            old, new = base.label[j], probe.label[i]
+            if old != new and similarity(probe.sets[i], base.sets[j]) >= SIMILARITY:
+                out.append((probe.ids[i], base.ids[j]))
+                base.label[base.label == old] = new
+                probe.label[probe.label == old] = new
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
 def _leaders(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -235,37 +250,50 @@ def candidate_groups(signed: DataFrame) -> DataFrame:
     return components(pairs.union(edges).union(whole)).select(F.col("id").alias("_id"), F.col("label").alias("grp"))
 
 
-def _leader_rounds(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Large groups until each is small: (links found, what is left to verify in groups of at most GROUP_DOCS).
+def _crossed(large: DataFrame, labels: DataFrame, probes: DataFrame) -> DataFrame:
+    """Links between probes(_id) and all documents of their groups, in tasks of about GROUP_DOCS documents."""
+    block = max(GROUP_DOCS // 2, 1)
+    found = probes.select("_id", F.lit(True).alias("probes"))
+    docs = large.join(labels.select(F.col("id").alias("_id"), "label"), "_id", "left").withColumn("label", F.coalesce("label", "_id"))
+    docs = written(docs.join(found, "_id", "left").withColumn("probes", F.coalesce("probes", F.lit(False))), "probed")
+    chunks = docs.where("probes").groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+    docs = docs.join(chunks, "grp")
+    columns = ["grp", "chunk", "part", "is_probe", "_id", "label", "probes", "sig", "items", "weights"]
+    base = docs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("is_probe", F.lit(False))
+    probe = docs.where("probes").withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "_id"), F.col("chunks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("is_probe", F.lit(True))
+    return probe.select(columns).union(base.select(columns)).groupBy("grp", "chunk", "part").applyInPandas(_cross, "a long, b long")
 
-    A round compares a group's smallest open document with all of the group. A document within 0.2 is linked. One
-    beyond 0.4 cannot be linked to a linked one (1 - J_P is a metric), so linked documents leave the group unless
-    some document lies within 0.2 of their own distance.
+
+def _largest(large: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """(grp, label) of the k classes of each group that have most documents so far."""
+    at = large.select("_id", "grp").join(labels.select(F.col("id").alias("_id"), "label"), "_id", "left").groupBy("grp", F.coalesce("label", "_id").alias("label")).agg(F.count("*").alias("n"))
+    return at.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("n"), "label"))).where(F.col("k") <= k).select("grp", "label")
+
+
+def _large_links(large: DataFrame) -> DataFrame:
+    """Links that connect all linked documents of groups over GROUP_DOCS; large has n, the size of the group.
+
+    Blocks of a group are verified alone. One document of each of the LEADERS largest classes then meets all blocks,
+    which joins what is one class in most of them. At last each document outside the group's largest class meets all
+    blocks: a pair in different classes has such a document. No task takes much more than GROUP_DOCS documents.
     """
-    spark, links = sets.sparkSession, None
-    small, left = [], sets.withColumn("open", F.lit(True))
-    while True:
-        sizes = left.groupBy("grp").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open"))
-        sizes = written(sizes, "group-sizes")
-        fits = sizes.where((F.col("n") <= GROUP_DOCS) | (F.col("n_open") == 0)).select("grp")
-        small.append(left.join(fits, "grp").where(F.lit(True)).drop("open"))
-        big = sizes.where((F.col("n") > GROUP_DOCS) & (F.col("n_open") > 0)).select("grp")
-        if not big.limit(1).count():
-            break
-        left = left.join(big, "grp")
-        lead = left.where("open").groupBy("grp").agg(F.min_by(F.struct("_id", "items", "weights"), "_id").alias("l"))
-        met = left.join(lead.select("grp", F.col("l._id").alias("lead"), F.col("l.items").alias("lead_items"), F.col("l.weights").alias("lead_weights")), "grp")
-        met = written(met.select("_id", "grp", "items", "weights", "lead", "lead_items", "lead_weights").mapInPandas(_meet, "_id long, grp long, lead long, far double"), "leader-round")
-        near = 1 - SIMILARITY + 1e-12
-        found = met.where((F.col("far") <= near) & (F.col("_id") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("_id").alias("b"))
-        links = found if links is None else links.union(found)
-        closest = met.where(F.col("far") > near).groupBy("grp").agg(F.min("far").alias("closest"))
-        stays = met.join(closest, "grp").where((F.col("far") > near) | (F.col("far") >= F.col("closest") - near)).select("_id", "grp", (F.col("far") > near).alias("was_open"))
-        left = written(left.join(stays, ["_id", "grp"]).withColumn("open", F.col("open") & F.col("was_open")).drop("was_open"), "left")
-    out = small[0]
-    for x in small[1:]:
-        out = out.unionByName(x)
-    return links if links is not None else spark.createDataFrame([], "a long, b long"), out
+    parts = F.ceil(F.col("n") / max(GROUP_DOCS // 2, 1)).cast("int")
+    large = written(large.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int")).drop("n"), "large-groups")
+    inner = written(large.groupBy("grp", "part").applyInPandas(_verify, "a long, b long"), "block-links")
+    labels = components(inner)
+    leaders = _largest(large, labels, LEADERS).select(F.col("label").alias("_id"))
+    links = written(inner.union(_crossed(large, labels, leaders)), "leader-links")
+    labels = components(links)
+    main = _largest(large, labels, 1).select(F.col("label").alias("id"), "label")
+    inside = main.select("id").union(labels.join(main.select("label"), "label", "left_semi").select("id"))
+    return links.union(written(_crossed(large, labels, large.select("_id").join(inside.withColumnRenamed("id", "_id"), "_id", "left_anti")), "cross-links"))
+
+
+def _verified_links(sets: DataFrame) -> DataFrame:
+    sizes = written(sets.groupBy("grp").agg(F.count("*").alias("n")), "group-sizes")
+    small = sets.join(sizes.where(F.col("n") <= GROUP_DOCS).select("grp"), "grp").groupBy("grp").applyInPandas(_verify, "a long, b long")
+    large = sizes.where(F.col("n") > GROUP_DOCS)
+    return small.union(_large_links(sets.join(large, "grp"))) if large.limit(1).count() else small
 
 
 def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -275,8 +303,7 @@ def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     texts = docs.select(doc_key().alias("doc"), _text_key().alias("_text"), _words().alias("words"))
     own = signed.select("_id", "doc", "_text").join(wanted, "_id")
     sets = texts.join(own, ["doc", "_text"]).dropDuplicates(["_id"]).select("_id", "grp", "sig", "words").mapInArrow(_sets, "_id long, grp long, sig binary, items binary, weights binary")
-    links, rest = _leader_rounds(written(sets, "shingle-sets"))
-    return links.union(rest.groupBy("grp").applyInPandas(_verify, "a long, b long"))
+    return _verified_links(written(sets, "shingle-sets"))
 
 
 def _text_key():

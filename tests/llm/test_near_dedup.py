@@ -76,6 +76,34 @@ def test_classes_match_all_pairs(spark, monkeypatch, group_docs):
     assert got == brute_classes(rows)
 
 
+def test_no_task_takes_a_whole_large_group(spark, monkeypatch):
+    """Near copies around 0.8, some linked only through others, in groups over GROUP_DOCS."""
+    rng, bound = random.Random(3), 30
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(70):
+        new = list(base)
+        for k in rng.sample(range(120), rng.choice((1, 2, 3, 4))):
+            new[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(new)))
+    real = {name: getattr(N, name) for name in ("_verify", "_cross") if hasattr(N, name)}
+
+    def held(f):
+        def run(pdf):
+            if len(pdf) > bound:
+                raise AssertionError(f"{len(pdf)} documents in one task")
+            return f(pdf)
+
+        return run
+
+    for name, f in real.items():
+        monkeypatch.setattr(N, name, held(f))
+    monkeypatch.setattr(N, "GROUP_DOCS", 16)
+    df = spark.createDataFrame([(i, t, "en", "x", 1) for i, t in rows], SCHEMA)
+    got = {r._id: r["class"] for r in N.near_classes(df).collect()}
+    assert got == brute_classes(rows) and max(Counter(got.values()).values()) > 16
+
+
 def test_stage_keeps_one_of_each_class_and_all_columns(spark):
     rows = made_up(9)
     df = spark.createDataFrame([(i, t, None, "x", i) for i, t in rows], SCHEMA)
