@@ -11,7 +11,8 @@ invented words; a logistic regression over them is fitted once per Python worker
 
 Defined cases: null or empty html, or a page without a positive word, gives the empty text; unclosed or crossing
 tags, missing quotes and stray "<" are read as browsers roughly do; scripts, styles and the like are no
-tokens; repeated rows give equal rows; other columns pass through `extracted`, text and n_chars are replaced.
+tokens; an unclosed head ends where the body starts, <svg/> and <math/> are empty, an unclosed script, style,
+textarea, title or iframe takes the rest of the page, other unclosed elements of the kind are read as any element; repeated rows give equal rows; other columns pass through `extracted`, text and n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -32,12 +33,17 @@ from .common import table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|iframe|object|svg|math|canvas|title|head(?=[\s>]))\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text><?[^<]*)",
     re.I | re.S,
 )
+#: Skipped with all they hold up to their closing tag; of these, without one, what takes the rest of a page in browsers too.
+_TO_END = frozenset("script style textarea title iframe".split())
+_CLOSE = {n: re.compile(rf"</{n}\s*>", re.I) for n in (*_TO_END, *"noscript template select object svg math canvas head".split())}
+_BODY = re.compile(r"<body(?=[\s>/])", re.I)
+#: Tags that an unclosed head may hold; text or any other opening tag ends it.
+_IN_HEAD = frozenset("base basefont bgsound html link meta noframes noscript template".split())
 _ATTRS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME_WORDS = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,11 +66,31 @@ class Page:
         self.features: list[tuple[str, ...]] = []
         self.labels: list[bool] = []
         stack: list[tuple[str, tuple[str, ...]]] = []
-        kept = False
-        for m in _TOKEN.finditer(source):
-            raw = m[0]
-            if not raw:
-                continue
+        kept = in_head = False
+        at, unclosed = 0, set()
+        while at < len(source):
+            m = _TOKEN.match(source, at)
+            raw, at, tag = m[0], m.end(), (m["name"] or "").lower()
+            if tag in _CLOSE and not m["end"]:
+                if tag in ("svg", "math") and m["attrs"].endswith("/"):
+                    continue
+                close = None if tag in unclosed else _CLOSE[tag].search(source, at)
+                if close and not (tag == "head" and _BODY.search(source, at, close.start())):
+                    at = close.end()
+                    continue
+                unclosed.add(tag)
+                if tag in _TO_END:
+                    break
+                if tag == "head":
+                    in_head = True
+                    continue
+            if in_head and not raw.startswith("<!--"):
+                if m["end"]:
+                    in_head = tag not in ("head", "body", "html")
+                    continue
+                if tag in _IN_HEAD or not tag and not (m["text"] or "").strip():
+                    continue
+                in_head = False
             if (text := m["text"]) is not None:
                 self._add("", html.unescape(text), tuple(sorted({f for _, fs in stack for f in fs})), kept)
             elif raw.startswith("<!--"):

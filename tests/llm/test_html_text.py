@@ -23,6 +23,12 @@ def test_held_out_labelled_pages():
         ("<article><p>if 3 < 4 or x < y ok</p><script>var t='</p>';</script><style>p{}</style><!-- no --><p>end</article>", "if 3 < 4 or x < y ok end"),
         ("<article><p>one <a title='a>b'>two</a><div class=ad>buy</div><p>three</article><script>never closed", "one two three"),
         ("<ARTICLE><P>Upper</P></ARTICLE>", "Upper"),
+        ("<html><head><title>no</title><meta charset=x><script>'<p>no'</script><body><article><p>one two</article>", "one two"),
+        ("<head><title>no</title><article><p>one two</article>", "one two"), ("<head><style>p</style></head><body><article><p>one</article>", "one"),
+        ("<head><title>no</title><body><article><p>one</p><p>say &lt;/head></p></head><p>two</article>", "one say </head> two"),
+        ("<article><p>one</p><svg class=i/><p>two</p><math /><p>three</article>", "one two three"),
+        ("<article><p>one</p><svg><path d=x></svg><p>two</p><select><option>no</select><p>three</article>", "one two three"),
+        *((f"<article><p>one</p><{t}><p>two</article>", "one two") for t in ("select", "object", "canvas", "svg", "math")),
     ],
 )
 def test_cases(page, want):
@@ -45,6 +51,7 @@ def test_very_long_and_hostile_pages():
     assert H.main_text("<article>" + "<p>word " * 50_000) == " ".join(["word"] * 50_000)
     assert isinstance(H.main_text("<div " * 3000 + "\"'" * 100), str)
     assert H.main_text("<article>" + "<b>" * 3000 + "deep") == "deep"
+    assert H.main_text("<article>" + "<svg>" * 3000 + "word " * 100_000).count("word") == 100_000
 
 
 def test_query(spark, tmp_path):
