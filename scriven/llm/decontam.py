@@ -15,7 +15,8 @@ another, so what a task is sent is bounded however many items there are; idf and
 
 Defined cases: null or empty texts match nothing, items without words are never found; an item of one to
 four words is one shingle; rows with one doc_id are one document, which is contaminated if any is; repeated
-items are one; an empty table on either side gives no row; other columns pass through the stage.
+items are one; items with one item_id are one item, those without are told apart by their text and bear a null
+item_id; an empty table on either side gives no row; other columns pass through the stage.
 """
 
 from __future__ import annotations
@@ -73,6 +74,7 @@ class Index:
     blocks: np.ndarray
     bounds: np.ndarray
     grams: list  # per item: (question shingles, answer shingles)
+    public_ids: list | None = None  # per item: its item_id, which may be null; item_ids are numbers of the index
 
     @classmethod
     def build(cls, rows: list, df: dict[int, int], n_items: int, mean: float) -> Index:
@@ -166,18 +168,21 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _parts(items: DataFrame) -> Iterator[Index]:
     """The index in parts of bounded size, each collected alone."""
     qa = with_question_and_answer(items).select("item_id", word_hashes(F.col("question")).alias("q"), word_hashes(F.col("answer")).alias("a"))
-    qa = written(qa.where(F.size("q") + F.size("a") > 0).dropDuplicates(["item_id", "q", "a"]).withColumn("n", F.size("q") + F.size("a")), "items")
+    qa = qa.where(F.size("q") + F.size("a") > 0).dropDuplicates(["item_id", "q", "a"])
+    qa = written(qa.select(F.monotonically_increasing_id().alias("item"), "*", (F.size("q") + F.size("a")).alias("n")), "items")
     total = qa.agg(F.count("*").alias("n"), F.sum("n").alias("words")).first()
     if not total.n:
         return
     df = qa.select(F.explode(F.array_distinct(F.concat("q", "a"))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     n_parts = math.ceil(total.words / PART_WORDS)
     for part in range(n_parts):
-        own = qa.where(F.pmod(F.xxhash64("item_id"), F.lit(n_parts)) == part)
-        rows = own.orderBy("item_id").collect()
+        own = qa.where(F.pmod(F.xxhash64("item"), F.lit(n_parts)) == part)
+        rows = own.orderBy("item").collect()
         words = own.select(F.explode(F.array_distinct(F.concat("q", "a"))).alias("w")).distinct()
         if rows:
-            yield Index.build([(r.item_id, r.q, r.a) for r in rows], {r.w: r.df for r in df.join(words, "w").collect()}, total.n, total.words / total.n)
+            index = Index.build([(r["item"], r.q, r.a) for r in rows], {r.w: r.df for r in df.join(words, "w").collect()}, total.n, total.words / total.n)
+            index.public_ids = [r.item_id for r in rows]
+            yield index
 
 
 def _matches(docs: DataFrame, index: Index) -> DataFrame:
@@ -192,11 +197,11 @@ def _matches(docs: DataFrame, index: Index) -> DataFrame:
                     passage = words[starts[doc] + at : min(starts[doc] + at + 2 * index.span, starts[doc] + lengths[doc])]
                     q, a, both = index.overlaps(item, passage)
                     if both >= OVERLAP:
-                        out.append((ids[doc], int(index.item_ids[item]), score, q, a))
+                        out.append((ids[doc], int(index.item_ids[item]), index.public_ids[item], score, q, a))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.float64()] * 3)], ["_id", "item", "item_id", "score", "question_overlap", "answer_overlap"])
 
-    return docs.mapInArrow(run, "_id long, item_id long, score double, question_overlap double, answer_overlap double")
+    return docs.mapInArrow(run, "_id long, item long, item_id long, score double, question_overlap double, answer_overlap double")
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -209,7 +214,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     if found is None:
         return docs.sparkSession.createDataFrame([], "_id long, item_id long, score double, question_overlap double, answer_overlap double")
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("b")
-    return found.groupBy("_id", "item_id").agg(best).select("_id", "item_id", "b.*")
+    # items without an id are told apart by their number
+    nameless = F.when(F.col("item_id").isNull(), F.col("item")).alias("nameless")
+    return found.groupBy("_id", "item_id", nameless).agg(best).select("_id", "item_id", "b.*")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

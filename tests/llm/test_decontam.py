@@ -36,6 +36,13 @@ def test_planted_items_and_nothing_else(spark, monkeypatch, part_words):
     assert all(r.question_overlap == r.answer_overlap == 1 for r in got)
 
 
+def test_items_without_id_are_items_of_their_own(spark):
+    first, second, third = (" ".join(f"{c}{i}" for i in range(12)) + "? yes" for c in "abc")
+    d = spark.createDataFrame([(1, f"{first} and {second}", "x"), (2, third, "x"), (3, "none", "x")], DOCS)
+    b = spark.createDataFrame([(None, first, 1), (None, second, 1), (None, second, 2), (7, third, 1), (7, third + " no", 1)], ITEMS)
+    assert sorted(((r._id, r.item_id) for r in D.contaminated(d, b).collect()), key=str) == [(1, None), (1, None), (2, 7)]
+
+
 def test_block_bounds_lose_nothing():
     rng = np.random.default_rng(3)
     rows = [(i, rng.integers(1, 60, 20).tolist(), rng.integers(1, 60, 4).tolist()) for i in range(50)]
