@@ -8,8 +8,8 @@ for, the documents' ids and extents, then the symbols, 16 bits each where they f
 ascending in document id.
 
 Re-Pair replaces one most frequent pair at a time; here a round replaces the ROUND_PAIRS most frequent
-pairs together, left to right without overlap, and rounds repeat while a pair occurs MIN_COUNT times, at most
-ROUNDS of them (which bounds the depth of rules). No pair spans two documents.
+pairs together, left to right without overlap, and rounds repeat while a pair occurs MIN_COUNT times
+(counted by slots of a hash). No pair spans two documents.
 
 Defined cases: null text is empty text, whose only id is end_id; rows of one doc_id stand in order of their
 text; a null doc_id comes first; an empty table gives no file and no rows; other columns are not stored.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import doc_id_of, doc_key, shuffle_partitions, table, written
 from .tokens import encoded_chunks, encoder
 
-SHARD_IDS, ROUNDS, ROUND_PAIRS, MIN_COUNT = 1 << 20, 6, 2048, 16
+SHARD_IDS, ROUND_PAIRS, MIN_COUNT = 1 << 20, 2048, 16
 _MAGIC, _HEAD = b"RPG1", "<4s5I"
 _BITS = 20
 
@@ -44,18 +44,16 @@ def compress(symbols: np.ndarray, end_id: int, first_rule: int) -> tuple[np.ndar
     """(symbols, rules): rule k, a pair of symbols, is symbol first_rule + k."""
     rules = np.zeros((0, 2), np.uint32)
     s = symbols.astype(np.uint32)
-    for _ in range(ROUNDS):
-        if len(s) < 2:
-            break
+    while len(s) > 1:
         left, right = s[:-1], s[1:]
         slots = _slots(left, right)
-        counts = np.bincount(slots, minlength=1 << _BITS)
+        inside = (left != end_id) & (right != end_id)
+        counts = np.bincount(slots[inside], minlength=1 << _BITS)
         top = np.flatnonzero(counts >= MIN_COUNT)
         top = top[np.argsort(-counts[top], kind="stable")][:ROUND_PAIRS]
         name = np.zeros(1 << _BITS, np.uint16)
         name[top] = np.arange(1, len(top) + 1)
-        hit = np.flatnonzero(name[slots])
-        hit = hit[(left[hit] != end_id) & (right[hit] != end_id)]
+        hit = np.flatnonzero((name[slots] > 0) & inside)
         if not len(hit):
             break
         # pairs that share a slot: the first one met stands for it

@@ -35,6 +35,12 @@ def test_grammar_round_trip_and_random_access():
             assert (shard.ids(k, a, b) == want[a:b]).all()
 
 
+def test_rounds_go_on_while_pairs_are_frequent():
+    s = np.tile(np.arange(1, 65, dtype=np.uint32), 4096)
+    symbols, rules = T.compress(s, 0, 100)
+    assert len(symbols) < 32 and (T.expand(symbols, rules, 100) == s).all()
+
+
 def test_query_matches_direct_encoding(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(T, "SHARD_IDS", 500)
     rows = [(i * 3 - 5, t) for i, t in enumerate(TEXTS)] + [(None, "none"), (1000, None)]
