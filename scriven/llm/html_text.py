@@ -1,18 +1,22 @@
 """Main text of web pages by a maximum-scoring subsequence of words and tags.
 
-A page is a row of tokens. A word's score is the log-odds, learned from labelled pages, that a word
-under those open elements (their names, and the words of their class, id and role) is main text: positive in
-articles, negative in menus, adverts, comments and the like. A tag's score is negative, by how much more
-often it stands outside main text. One linear scan finds the contiguous region of highest total; words of that
-region that score negative themselves (an advert inside an article) are left out. Blocks keep page order.
-
-The labelled pages are `labelled_pages()`: small pages of common layouts whose main text is marked, filled with
-invented words; a logistic regression over them is fitted once per Python worker in well under a second.
+A page is a row of tokens. A word's score is the log-odds, learned from labelled pages, that a word in such a
+place is main text. The place is told by the open elements (their names, and the words of their class, id and
+role) and by the block it stands in: its length, how much of it is links, whether it ends like a sentence. So a
+paragraph counts without any class name that is known, and a name that is known counts where the text says little.
+A tag's score is negative, by how much more often it stands outside main text. One linear scan finds the
+contiguous region of highest total; a run of negative words (an advert, however long) costs it no more than HOLE. Inside the
+region, words whose elements alone speak against them, were they an ordinary paragraph, are left out. Blocks keep page order.
+
+The labelled pages are `labelled_pages()`: pages with random nesting, containers and junk, whose main text is marked,
+filled with invented words; half of the containers bear no class or an invented one. A logistic regression over
+them is fitted once per Python worker in about a second.
 
 Defined cases: null or empty html, or a page without a positive word, gives the empty text; unclosed or crossing
 tags, missing quotes and stray "<" are read as browsers roughly do; scripts, styles and the like are no
 tokens; an unclosed head ends where the body starts, <svg/> and <math/> are empty, an unclosed script, style,
-textarea, title or iframe takes the rest of the page, other unclosed elements of the kind are read as any element; repeated rows give equal rows; other columns pass through `extracted`, text and n_chars are replaced.
+textarea, title or iframe takes the rest of the page, other unclosed elements of the kind are read as any element; repeated
+rows give equal rows; other columns pass through `extracted`, text and n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,18 +56,22 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img in
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Opening a block closes an open paragraph.
 _BARRIERS = frozenset("table td th li ul ol div article section body button".split())
-#: A word costs no more than this in the scan, so a long advert does not cut an article in two.
-LOWEST = -0.5
+#: What a run of negative words costs the region at most: it is stepped over if more than that lies beyond it.
+HOLE = -1.0
+#: Features of an ordinary paragraph, for the question whether a word's elements alone speak against it.
+ORDINARY = ("#long", "#plain", "#sentence")
 KEEP, DROP = "keep", "/keep"
 
 
 class Page:
-    """Tokens of a page: for each tag or text, its words, features and whether it starts a new block."""
+    """Tokens of a page: for each tag or text, its words, the features of its elements and those of its block."""
 
     def __init__(self, source: str):
         self.kinds: list[str] = []  # a tag's name, or "" for text
         self.texts: list[str] = []
         self.features: list[tuple[str, ...]] = []
+        self.blocks: list[tuple[str, ...]] = []
+        self.linked: list[bool] = []
         self.labels: list[bool] = []
         stack: list[tuple[str, tuple[str, ...]]] = []
         kept = in_head = False
@@ -92,7 +100,7 @@ class Page:
                     continue
                 in_head = False
             if (text := m["text"]) is not None:
-                self._add("", html.unescape(text), tuple(sorted({f for _, fs in stack for f in fs})), kept)
+                self._add("", html.unescape(text), tuple(sorted({f for _, fs in stack for f in fs} | self._nested(stack))), kept, any(n == "a" for n, _ in stack))
             elif raw.startswith("<!--"):
                 kept = {KEEP: True, DROP: False}.get(raw[4:-3], kept)
             elif (name := m["name"]) is not None:
@@ -110,79 +118,174 @@ class Page:
                         if stack[i][0] in _BARRIERS:
                             break
                     if name not in VOID:
-                        words = {w for a in _ATTRS.findall(m["attrs"]) for w in _NAME_WORDS.findall("".join(a).lower())}
-                        stack.append((name, (f"<{name}>", *(f".{w}" for w in words))))
-                self._add(name, "", (), kept)
-
-    def _add(self, kind: str, text: str, features: tuple[str, ...], kept: bool) -> None:
+                        words = set() if name in ("html", "body") else {w for a in _ATTRS.findall(m["attrs"]) for w in _NAME_WORDS.findall("".join(a).lower())}
+                        stack.append((name, (*(() if name in INLINE else (f"<{name}>",)), *(f".{w}" for w in words))))
+                self._add(name, "", (), kept, False)
+        self._describe()
+
+    @staticmethod
+    def _nested(stack: list[tuple[str, tuple[str, ...]]]) -> set[str]:
+        """The header of an article holds its headline."""
+        names = [n for n, _ in stack]
+        return {"article header"} if "article" in names and "header" in names[names.index("article") :] else set()
+
+    def _add(self, kind: str, text: str, features: tuple[str, ...], kept: bool, linked: bool) -> None:
         self.kinds.append(kind)
         self.texts.append(text)
         self.features.append(features)
         self.labels.append(kept)
+        self.linked.append(linked)
+
+    def _describe(self) -> None:
+        """The block features of each token: of its length, links and end."""
+        self.blocks = [()] * len(self.kinds)
+        block: list[int] = []
+
+        def close() -> None:
+            counts = [len(self.texts[i].split()) for i in block]
+            if words := sum(counts):
+                links = sum(n for i, n in zip(block, counts) if self.linked[i])
+                end = next(t for i in reversed(block) if (t := self.texts[i].rstrip()))[-1]
+                size = "#one" if words < 4 else "#short" if words < 10 else "#long" if words < 30 else "#longer"
+                found = (size, "#plain" if not links else "#some" if 2 * links <= words else "#links", *(["#sentence"] if words > 3 and end in ".!?…:;\"”»。" else []))
+                for i in block:
+                    self.blocks[i] = found
+            block.clear()
+
+        for i, kind in enumerate(self.kinds):
+            if not kind:
+                block.append(i)
+            elif kind not in INLINE:
+                close()
+        close()
 
 
 def _filler(rng: random.Random, n: int) -> str:
     return " ".join("".join(rng.choice("aeioustrnlm") for _ in range(rng.randint(2, 8))) for _ in range(n))
 
 
-#: Layouts: {n} is n invented words, [...] marks main text, * repeats the part before it up to | a few times; of class names in quotes one is drawn.
-_LAYOUTS = (
-    "<header class=site-header><a href=/>{2}</a></header><nav><ul>|<li><a href=x>{1}</a></li>*</ul></nav><div class=ad>{9}</div><article>[<h1>{7}</h1>|<p>{40}</p>*]<div class='ad ads advert banner promo sponsored share social related newsletter'>{9}</div>[|<p>{30}</p>*]<div class='notice disclaimer subscribe cookie popup'><p>{11}</p></div>[<p>{30}</p>]</article><section class='comments replies responses discussion'>|<p>{14}</p>*</section><footer>{12}</footer>",
-    "<nav class=menu>|<a href=x>{2}</a>*</nav><main><article>[<h1>{6}</h1>|<p>{30} <a href=x>{3}</a> {20}</p>*<h2>{4}</h2>|<p>{25}</p>*<ul>|<li>{8}</li>*</ul>]</article></main><aside class=sidebar><h3>{2}</h3>|<p>{9}</p>*</aside><section id=comments class=comments><h3>{2}</h3>|<div class=comment><p>{14}</p></div>*<form><label>{2}</label><button>{1}</button></form></section><footer><p>{15}</p></footer>",
-    "<div id=header><div class=logo>{2}</div></div><div class='navigation nav'><ul>|<li><a href=x>{1}</a></li>*</ul></div><div id=content class=post>[<h1>{5}</h1>|<p>{35}</p>*]<div class='share social'>|<a href=x>{1}</a>*</div></div><div id=sidebar class=widget><ul>|<li><a href=x>{5}</a></li>*</ul></div><div id=footer>{14}</div>",
-    "<div class='cookie notice banner'><p>{16}</p><button>{1}</button></div><div class=breadcrumb>|<a href=x>{1}</a>*</div><article>[<header><h1>{8}</h1></header>|<p>{30}</p>*]<div class='ad advert ads sponsored'><p>{10}</p></div>[|<p>{30}</p>*<blockquote>{14}</blockquote>]<aside><p>{8}</p></aside>[|<p>{22}</p>*]</article><div class=related><h3>{2}</h3><ul>|<li><a href=x>{6}</a></li>*</ul></div><footer class=copyright>{8}</footer>",
-    "<table><tr><td class=menu>|<a href=x>{2}</a><br>*</td><td class=main>[<h2>{4}</h2>|<p>{40}</p>*]</td><td class=promo>{12}</td></tr></table><div class='footer legal'>{9}</div>",
-    "<div class=newsletter><form><p>{10}</p><input name=x><button>{2}</button></form></div><section class=article><div class=body>[<h1>{6}</h1>|<p>{28}</p>*<figure><img src=x><figcaption>{7}</figcaption></figure>|<p>{30}</p>*<table>|<tr><td>{3}</td><td>{3}</td></tr>*</table><pre>{9}</pre>]</div></section><div class=disqus>|<p>{12}</p>*</div><footer>{9}</footer>",
-    "<div class=top><form role=search><input><button>{1}</button></form></div><div role=navigation>|<a href=x>{1}</a>*</div><div role=main><div class=entry>[|<p>{33}</p>*<p><b>{5}</b> {20}</p>|<p>{18}</p>*]</div></div><div role=complementary><p>{11}</p></div><div role=contentinfo>{9}</div>",
-    "<nav>|<a href=x>{1}</a>*</nav><div class='alert warning notice'>{13}</div><article>[<h1>{7}</h1><p><b>{20}<br><p>{30}</p>|<p>{25}</p>*]</article><div class='popup subscribe signup'>{12}</div><div class='replies responses'>|<p>{13}</p>*</div><footer>{11}</footer>",
+#: Words of class, id and role: of containers of main text, of neutral ones, and of each kind of junk with its elements and filling.
+#: A filling: {n} is about n invented words, {n.} a sentence, |...* what is repeated a few times.
+_MAIN = "article post entry content story main text body page single blog news hentry".split()
+_NEUTRAL = "container wrapper wrap row col grid inner outer layout site block box center left".split()
+_JUNK = (
+    ("nav div ul section", "menu nav navigation navbar topnav links breadcrumb breadcrumbs pagination toolbar submenu", ("|<li><a href=x>{1}</a></li>*", "<ul>|<li><a href=x>{2}</a></li>*</ul>", "|<a href=x>{1}</a> *", "|<a href=x>{2}</a><br>*")),
+    ("header div", "header masthead branding logo topbar head banner", ("<a href=/>{2}</a>", "<h1>{2}</h1><p>{5}</p>", "<div>{3}</div>|<a href=x>{1}</a>*", "{4}")),
+    ("footer div p", "footer copyright legal colophon bottom contentinfo imprint", ("{9.}", "<p>{12.}</p>", "&copy; {4} &middot; {6.}", "|<a href=x>{2}</a>*<p>{8}</p>")),
+    ("aside div section", "sidebar side widget related trending popular recommended more teaser complementary secondary", ("<h3>{2}</h3>|<p>{9}</p>*", "<ul>|<li><a href=x>{6}</a></li>*</ul>", "{14.}", "<h3>{2}</h3><ul>|<li>{4}</li>*</ul>", "|<p>{20.}</p>*")),
+    ("div section p", "notice cookie cookies consent alert warning disclaimer popup modal overlay paywall notification message", ("{12.}", "<p>{16.}</p><button>{1}</button>", "|<p>{9.}</p>*")),
+    ("div aside section p ins", "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion promoted commercial", ("{9.}", "<p>{20.}</p>", "<a href=x>{5}</a>", "|<p>{14.}</p>*", "{30.}")),
+    ("div ul", "share social sharing follow tags tools actions", ("|<a href=x>{1}</a> *", "|<li><a href=x>{1}</a></li>*", "{3}")),
+    ("div section", "newsletter subscribe signup search login register contact poll survey", ("<form><p>{9.}</p><input name=x><button>{2}</button></form>", "<form role=search><label>{2}</label><input><button>{1}</button></form>", "<p>{12.}</p><form><input></form>")),
+    ("form", "", ("<p>{8.}</p><label>{2}</label><input name=x><button>{2}</button>", "<select><option>{1}</option></select><button>{1}</button>")),
+    ("section div ol ul", "comments comment replies reply responses response respond discussion disqus feedback reviews thread readers", ("|<p>{14.}</p>*", "<h3>{2}</h3>|<div class=comment><p>{18.}</p></div>*", "|<li><b>{2}</b><p>{25.}</p></li>*", "|<article><p>{16.}</p></article>*", "|<div>{12.}</div>*")),
 )
-
-
-def labelled_pages(copies: int = 24, seed: int = 1) -> list[str]:
-    rng, out = random.Random(seed), []
-    for layout in _LAYOUTS * copies:
-        page = re.sub(r"\|([^|*]*)\*", lambda m: m[1] * rng.randint(1, 6), layout)
-        page = re.sub(r"class='([^']*)'", lambda m: f"class={rng.choice(m[1].split())}", page)
-        page = page.replace("[", f"<!--{KEEP}-->").replace("]", f"<!--{DROP}-->")
-        out.append("<html><body>" + re.sub(r"\{(\d+)\}", lambda m: _filler(rng, max(1, round(int(m[1]) * rng.uniform(0.4, 1.8)))), page) + "</body></html>")
+_BLOCKS = ("<p>{40.}</p>", "<p>{25.}</p>", "<p>{60.}</p>", "<p>{30.}</p>", "<p>{3.}</p>", "<p>{1.}</p>", "<p>{8.}</p>", "<p>{20} <a href=x>{3}</a> {14.}</p>", "<p><b>{4}</b> {22.}</p>", "<p><b>{12.}<br><p>{30.}</p>", "<h2>{4}</h2>", "<h3>{2}</h3><p>{20.}</p>", "<ul>|<li>{8}</li>*</ul>", "<ol>|<li>{14.}</li>*</ol>", "<blockquote>{14.}</blockquote>", "<blockquote><p>{20.}</p></blockquote>", "<pre>{9}</pre>", "<figure><img src=x><figcaption>{7}</figcaption></figure>", "<table>|<tr><td>{3}</td><td>{2}</td></tr>*</table>", "{25.}<br><br>{30.}<br>", "<div>{35.}</div>", "<dl><dt>{2}</dt><dd>{12.}</dd></dl>")
+_BARE = "nav header footer aside".split()
+
+
+def labelled_pages(n: int = 600, seed: int = 1) -> list[str]:
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("aeioustrnlm") for _ in range(rng.randint(2, 8)))
+
+    def filled(part: str) -> str:
+        part = re.sub(r"\|([^|*]*)\*", lambda m: m[1] * rng.randint(1, 6), part)
+
+        def words(m: re.Match) -> str:
+            said = [word() for _ in range(max(1, round(int(m[1]) * rng.uniform(0.4, 1.8))))]
+            return " ".join(said).capitalize() + "." if m[2] and len(said) > 1 or m[2] and rng.random() < 0.5 else " ".join(said)
+
+        return re.sub(r"\{(\d+)(\.?)\}", words, part)
+
+    def named(name: str, names: list[str], sure: bool) -> str:
+        """An opening tag: of the names one or two, invented ones, or none; `sure`: one of the names."""
+        drawn = rng.random()
+        if names and (sure or drawn < 0.3):
+            said = [rng.choice(names)] + [word()] * (rng.random() < 0.3)
+        elif drawn < 0.6:
+            said = [rng.choice(_NEUTRAL) if rng.random() < 0.4 else word()]
+        else:
+            return f"<{name}>"
+        rng.shuffle(said)
+        if sure and said[0] in ("navigation", "banner", "contentinfo", "complementary", "search"):
+            return f"<{name} role={said[0]}>"
+        return f"<{name} {rng.choice(('class', 'class', 'id'))}='{rng.choice((' ', '-')).join(said)}'>"
+
+    def junk(kinds: tuple[int, ...]) -> str:
+        tags, names, fillings = _JUNK[rng.choice(kinds)]
+        filling = rng.choice(fillings)
+        name = rng.choice([t for t in tags.split() if t not in ("p", "ins") or "<p>" not in filling])
+        return f"{named(name, names.split(), name not in _BARE and name != 'form')}{filling}</{name}>"
+
+    def content() -> str:
+        wraps = rng.choice((["article"], ["article"], ["main", "article"], ["section"], ["div"], ["div"], ["div", "div"], ["main"], ["div", "article", "div"], ["main", "div"], ["table", "tr", "td"], []))
+        head = rng.choice(("<h1>{7}</h1>", "<h1>{7}</h1>", "<h2>{5}</h2>", ""))
+        if "article" in wraps and head and rng.random() < 0.3:
+            head = f"<header>{head}</header>"
+        body, inner = [head], rng.random() < 0.5
+        for k in range(rng.randint(2, 8)):
+            body.append(rng.choice(_BLOCKS[:4]) if k == 0 or rng.random() < 0.5 else rng.choice(_BLOCKS))
+            if inner and k and rng.random() < 0.3:
+                body.append(f"<!--{DROP}-->{junk((3, 4, 5, 5, 5, 6, 7))}<!--{KEEP}-->")
+        tail = junk((6, 9, 9, 2, 3)) if rng.random() < 0.3 else ""
+        opened = "".join(f"<{w}>" if w in ("table", "tr") else named(w, _MAIN, False) for w in wraps)
+        return f"{opened}<!--{KEEP}-->{''.join(body)}<!--{DROP}-->{tail}{''.join(f'</{w}>' for w in reversed(wraps))}"
+
+    out = []
+    for _ in range(n):
+        before = "".join(junk((0, 0, 1, 1, 4, 5, 7, 8, 3)) for _ in range(rng.randint(0, 4)))
+        after = "".join(junk((9, 9, 2, 2, 3, 5, 6, 7, 8)) for _ in range(rng.randint(0, 4)))
+        around = rng.choice(("", "", "div"))
+        page = before + content() + after
+        out.append(f"<html><body>{filled(named(around, [], False) + page + '</div>' if around else page)}</body></html>")
     return out
 
 
 class Weights:
     """bias and per-feature log-odds of words; negative scores of tags."""
 
-    def __init__(self, pages: list[str], turns: int = 400, rate: float = 0.5, decay: float = 2e-3):
-        rows, labels, counts, tags = [], [], [], defaultdict(lambda: [1.0, 1.0])
+    def __init__(self, pages: list[str], turns: int = 15, ridge: float = 0.1):
+        rows, labels, counts, tags, met = [], [], [], defaultdict(lambda: [1.0, 1.0]), Counter()
         totals = [1.0, 1.0]
         for page in map(Page, pages):
-            for kind, text, features, kept in zip(page.kinds, page.texts, page.features, page.labels):
+            for kind, text, features, block, kept in zip(page.kinds, page.texts, page.features, page.blocks, page.labels):
                 if kind:
                     tags[kind][kept] += 1
                 elif n := len(text.split()):
-                    rows.append(features)
+                    rows.append((*features, *block))
                     labels.append(kept)
-                    counts.append(n)
+                    counts.append(n**0.5)  # a short text that is judged wrongly is wrong too
                     totals[kept] += n
-        names = sorted({f for r in rows for f in r})
+            met.update({f for fs in page.features for f in fs} | {f for fs in page.blocks for f in fs})
+        names = sorted(f for f, times in met.items() if times >= 4)  # most invented names are met on fewer pages
         place = {f: i for i, f in enumerate(names)}
         x = np.zeros((len(rows), len(names) + 1))
         x[:, -1] = 1
         for i, r in enumerate(rows):
-            x[i, [place[f] for f in r]] = 1
+            x[i, [place[f] for f in r if f in place]] = 1
         y, n, w = np.array(labels, float), np.array(counts, float), np.zeros(len(names) + 1)
-        n /= n.sum()
-        for _ in range(turns):
-            w -= rate * 10 * (x.T @ (n * (1 / (1 + np.exp(-x @ w)) - y)) + decay * w * (np.arange(len(w)) < len(names)) / 10)
+        n *= len(n) / n.sum()
+        penalty = ridge * (np.arange(len(w)) < len(names))
+        for _ in range(turns):  # Newton's steps
+            p = 1 / (1 + np.exp(-x @ w))
+            w -= np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-6), x.T @ (n * (p - y)) + penalty * w)
         self.words, self.bias = dict(zip(names, w)), float(w[-1])
         #: what a tag costs: at least 0.1; rarer inside main text, more
         self.tags = {t: -max(0.1, 0.2 + 0.15 * float(np.log(out / totals[0] / (inside / totals[1])))) for t, (out, inside) in tags.items()}
+        self.known = sorted((f[1:] for f in names if f[0] == "." and len(f) > 5), key=len, reverse=True)
         self.seen: dict[tuple[str, ...], float] = {}
 
+    def _of(self, feature: str) -> float:
+        """An unknown name that begins or ends with a known one (commentlist, subheader) counts as that."""
+        if feature in self.words or feature[0] != ".":
+            return self.words.get(feature, 0.0)
+        return next((self.words["." + k] for k in self.known if feature.startswith(k, 1) or feature.endswith(k)), 0.0)
+
     def word(self, features: tuple[str, ...]) -> float:
         if features not in self.seen:
             if len(self.seen) > 100_000:
                 self.seen = {}
-            self.seen[features] = self.bias + sum(self.words.get(f, 0.0) for f in features)
+            self.seen[features] = self.bias + sum(map(self._of, features))
         return self.seen[features]
 
     def tag(self, name: str) -> float:
@@ -206,16 +309,34 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return where
 
 
+def priced(page: Page, w: Weights) -> list[float]:
+    """The scores for the scan: a word's times its words, a tag's; a run of negative words and their tags costs HOLE at most."""
+    out, hole, since = [], 0.0, None
+    for kind, text, features, block in zip(page.kinds, page.texts, page.features, page.blocks):
+        if kind:
+            s = w.tag(kind)
+        else:
+            n = len(text.split())
+            s = w.word((*features, *block)) * n
+            if s > 0:
+                since = None
+            elif n and since is None:
+                since, hole = True, 0.0
+        if since:
+            s, hole = max(s, HOLE - hole), hole + max(s, HOLE - hole)
+        out.append(s)
+    return out
+
+
 def main_text(source: str | None, w: Weights | None = None) -> str:
     w = w or weights()
     page = Page(source or "")
-    of_text = [0.0 if kind else w.word(f) for kind, f in zip(page.kinds, page.features)]
-    start, stop = best_region([w.tag(kind) if kind else max(s, LOWEST) * len(text.split()) for kind, text, s in zip(page.kinds, page.texts, of_text)])
+    start, stop = best_region(priced(page, w))
     blocks, block = [], []
     for i in range(start, stop):
         kind = page.kinds[i]
         if not kind:
-            if of_text[i] > 0:
+            if w.word((*page.features[i], *ORDINARY)) > 0:
                 block.append(page.texts[i])
         elif kind == "br":
             block.append(" ")
