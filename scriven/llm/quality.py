@@ -76,7 +76,7 @@ def votes() -> list[Column]:
     """One column a rule: 1 good, -1 bad, 0 abstain (also where the denominator is 0)."""
     out = []
     for name, (top, bottom, good, bad) in RULES.items():
-        share = F.col(top) / F.col(bottom)
+        share = F.try_divide(F.col(top), F.col(bottom))
         out.append(F.when(share > bad, F.lit(BAD)).when(share <= good, F.lit(GOOD)).otherwise(F.lit(ABSTAIN)).cast("byte").alias(f"v_{name}"))
     return out
 
