@@ -1,17 +1,14 @@
-"""Cleaning of recognised words and of raw model answers."""
+"""Cleaning of recognised words, and the sheet of decisions to check."""
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repairs import extend_recurring, fix_weekday, realign, strip_unspoken_units
-
 
 def collapse_repeats(words: list[str], word_times: int = 4, phrase_times: int = 3, longest: int = 8) -> list[str]:
     """Units of one to eight words repeated too often in a row stand once; units shorter first.
@@ -44,66 +41,6 @@ def with_collapsed(df: DataFrame, words: str) -> DataFrame:
     return df.withColumn("_shorter", shorter).withColumn("repetition", F.size("_shorter") < F.size(words)).withColumn(words, F.col("_shorter")).drop("_shorter")
 
 
-_CODE = re.compile(r"\[(\d+:\d{2}(?::\d{2})?)\]")
-_UNSAID = re.compile(r"\b(nu s-a (?:discutat|menționat|precizat)|not (?:discussed|mentioned)|не обсуждал\w*)\b", re.I)
-
-
-def seconds(code: str) -> int:
-    total = 0
-    for part in code.split(":"):
-        total = total * 60 + int(part)
-    return total
-
-
-def fix_by_timestamps(text: str, line_at: Callable[[int], str | None]) -> str:
-    """Each clause, up to the time codes that end it, is repaired by the line said then; clauses on what was not said go."""
-    out, at = [], 0
-    marks = list(_CODE.finditer(text))
-    for m in marks:
-        clause, line = text[at : m.start()], line_at(seconds(m[1])) or ""
-        if not _UNSAID.search(clause):
-            out.append(strip_unspoken_units(fix_weekday(clause, line), line) + m[0])
-        at = m.end()
-    rest = text[at:]
-    return re.sub(r"\s+", " ", "".join(out) + ("" if _UNSAID.search(rest) else rest)).strip(" ;")
-
-
-def checked_deadline(raw: str | None, kind: str, own: list[str], lines: list[str], plain: Callable[[str], str], retype: Callable[[str, str], str]) -> tuple[str | None, str]:
-    """(raw, kind) of a deadline: verbatim in the lines, or put right by the nearest words, or without raw; then extended and retyped."""
-    if raw and plain(raw) not in plain(" ".join(lines)):
-        raw = realign(raw, own) or realign(raw, lines)
-    if raw:
-        raw = extend_recurring(raw, lines) or raw
-        kind = retype(kind, raw)
-    return raw, kind
-
-
-def sanitized(answer: str, statuses: tuple[str, ...], default: str, repaired: Callable, clean: Callable[[str], str]) -> tuple[list[dict], list[str]]:
-    """(decisions, notes) of a raw JSON answer: other types and empty entries go, statuses are put right, quotes cleaned."""
-    try:
-        data = json.loads(answer)
-    except (TypeError, ValueError):
-        return [], ["not JSON"]
-    out, notes = [], []
-    cases = data.get("cases") if isinstance(data, dict) else None
-    for n, case in enumerate(cases if isinstance(cases, list) else []):
-        if not isinstance(case, dict) or not str(case.get("case_key") or "").strip():
-            notes.append(f"case {n}: dropped")
-            continue
-        decisions = case.get("decisions")
-        for k, d in enumerate(decisions if isinstance(decisions, list) else []):
-            text = str(d.get("decision") or "").strip() if isinstance(d, dict) else ""
-            quote = clean(str(d.get("quote") or "")) if isinstance(d, dict) else ""
-            if not text and not quote:
-                notes.append(f"case {n}: decision {k} empty")
-                continue
-            status = repaired(d.get("status") if isinstance(d.get("status"), str) else None, statuses, default)
-            if status != d.get("status"):
-                notes.append(f"case {n}: decision {k} status {d.get('status')!r}")
-            out.append({"case_key": str(case["case_key"]).strip(), "decision": fix_weekday(text, quote), "quote": quote, "status": status, "replaces": bool(d.get("replaces_previous"))})
-    return out, notes
-
-
 def review_sheet(decisions: DataFrame, lines: DataFrame) -> DataFrame:
     """decisions(job, case_key, decision, turn_id) with lines(job, id, line): (job, sheet), each decision above its line."""
     found = decisions.join(lines.select("job", F.col("id").alias("turn_id"), "line"), ["job", "turn_id"], "left")

@@ -1,6 +1,7 @@
 """Text rules as column expressions: normal forms, scripts, time codes, lines, numbers, languages.
 
-NFC and NFD have no Spark function; `nfc` and `without_marks` are pandas UDFs, everything else stays in the JVM.
+NFC and NFD have no Spark function; `nfc` and `without_marks` go through pandas UDFs for texts that they can change, everything
+else stays in the JVM.
 """
 
 from __future__ import annotations
@@ -17,16 +18,31 @@ CEDILLA, COMMA = "şŞţŢ", "șȘțȚ"
 
 
 @F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
+def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
 @F.pandas_udf(StringType())
-def without_marks(s: pd.Series) -> pd.Series:
-    """NFKD without combining marks."""
+def _without_marks(s: pd.Series) -> pd.Series:
     return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)), na_action="ignore")
 
 
+def _where(odd: str, udf, text: Column) -> Column:
+    """udf(text) where text has a letter of `odd`; the other rows do not leave the JVM but as nulls."""
+    found = text.rlike(odd)
+    return F.when(found, udf(F.when(found, text))).otherwise(text)
+
+
+def nfc(text: Column) -> Column:
+    """Below U+0300 there is nothing to compose."""
+    return _where("[^\\x{0}-\\x{2FF}]", _nfc, text)
+
+
+def without_marks(text: Column) -> Column:
+    """NFKD without combining marks."""
+    return _where("[^\\x{0}-\\x{7F}]", _without_marks, text)
+
+
 def clean(text: Column) -> Column:
     return F.translate(nfc(text), CEDILLA, COMMA)
 
@@ -146,15 +162,20 @@ def ref_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "\\[[^\\]]*\\]", " "), "\\s+", " "))
 
 
-#: fixed values: words that make a deadline recurring, or relative if no calendar date stands beside them
-RECURRING = "(zilnic|saptamanal|lunar|in fiecare|ежедневно|еженедельно|daily|weekly|every)"
-RELATIVE = "(maine|poimaine|astazi|luni|marti|miercuri|joi|vineri|sambata|duminica|завтра|сегодня|tomorrow|today|monday|tuesday|wednesday|thursday|friday)"
-CALENDAR = "(\\d{1,2}[./]\\d{1,2}|\\d{1,2} (ianuarie|februarie|martie|aprilie|mai|iunie|iulie|august|septembrie|octombrie|noiembrie|decembrie))"
+# fixed values: words, without marks, that make a deadline recurring, or relative if no calendar date stands beside them
+RECURRING = "zilnic\\w*|la fiecare|de (?:doua|trei|patru) ori|ori pe zi|кажд\\w*|ежедневн\\w*|раз в|every|daily|twice a day"
+RELATIVE = "azi|astazi|maine|poimaine|diseara|luni|marti|miercuri|joi|vineri|sambata|duminica|сегодня|завтра|послезавтра|вечером|утром|понедельник\\w*|вторник\\w*|сред\\w*|четверг\\w*|пятниц\\w*|суббот\\w*|воскресень\\w*|today|tomorrow|tonight|monday|tuesday|wednesday|thursday|friday|saturday|sunday"
+MONTHS = "ianuarie|februarie|martie|aprilie|mai|iunie|iulie|august|septembrie|octombrie|noiembrie|decembrie|январ\\w*|феврал\\w*|март\\w*|апрел\\w*|ма[яе]|июн\\w*|июл\\w*|август\\w*|сентябр\\w*|октябр\\w*|ноябр\\w*|декабр\\w*|january|february|march|april|june|july|august|september|october|november|december"
 
 
 def eta_type(kind: Column, raw: Column) -> Column:
+    """The type that the words of a deadline decide, else the one given."""
     text = norm_key(raw)
-    return F.when(text.rlike(RECURRING), "recurring").when((kind == "absolute") & text.rlike(RELATIVE) & ~F.lower(F.coalesce(raw, F.lit(""))).rlike(CALENDAR), "relative").otherwise(kind)
+    has = lambda words: text.rlike(f"(?U)\\b(?:{words})\\b")
+    # a date in digits has lost its sign in this form: only a month by its name counts as a calendar date
+    calendar = has(MONTHS)
+    fixed = F.when(~kind.isin("recurring", "conditional") & has(RECURRING), "recurring").when((kind == "absolute") & has(RELATIVE) & ~calendar, "relative")
+    return F.coalesce(F.when(F.coalesce(raw, F.lit("")) != "", fixed), kind)
 
 
 def content_id(name: Column, data: Column) -> Column:
@@ -170,3 +191,27 @@ def compression_ratio_udf():
         return s.map(lambda x: len(b := x.encode()) / len(zlib.compress(b)) if x else 0.0)
 
     return ratio
+
+
+def uncertain_turn(low_confidence: Column, marker: Column, ratio: Column, overlap: Column) -> Column:
+    """Any sign of doubt; an unknown one is none."""
+    return F.coalesce(low_confidence, F.lit(False)) | F.coalesce(marker, F.lit(False)) | (F.coalesce(ratio, F.lit(0.0)) > 0.5) | F.coalesce(overlap, F.lit(False))
+
+
+# fixed values: phrases that recognisers make up in silence
+MADE_UP = "субтитр|корректор\\s+[а-я]\\.|продолжение следует|спасибо за просмотр|подписывайтесь на( наш)? канал|thanks? (you )?for watching|please subscribe|like and subscribe|mul[țţt]umesc pentru vizionare|abona[țţt]i-v[ăa]|v[ăa] mul[țţt]umim pentru vizionare|v[ăa] abona[țţt]i|abona[țţt]i-v[ăa] la canal|da[țţt]i (un )?like|l[ăa]sa[țţt]i un comentariu|distribui[țţt]i acest (material|video|clip)|material(ul)? video|re[țţt]ele(le)? sociale|ставьте лайк|подписывайтесь|don'?t forget to (like|subscribe)"
+
+
+def drop_reason(text: Column, prompt_leak: Column, ratio: Column, no_speech: Column, logprob: Column, phrases: str = MADE_UP, most_ratio: float = 2.4, most_silent: float = 0.6) -> Column:
+    """Why a segment is dropped, the first reason that holds, or null: empty, prompt_leak, compression_ratio (of its text), no_speech
+    (with a log-probability under -1), hallucination_phrase (a text of up to 12 words, or with two different phrases)."""
+    said = F.coalesce(text, F.lit(""))
+    hits = F.array_distinct(F.transform(F.regexp_extract_all(said, F.lit(f"(?iu)(?:{phrases})"), F.lit(0)), F.lower))
+    words = F.size(F.filter(F.split(said, "\\s+"), lambda w: w != ""))
+    silent = (F.coalesce(no_speech, F.lit(0.0)) > most_silent) & (F.coalesce(logprob, F.lit(0.0)) < -1.0)
+    return F.when(said == "", "empty").when(F.coalesce(prompt_leak, F.lit(False)), "prompt_leak").when(ratio > most_ratio, "compression_ratio").when(silent, "no_speech").when((F.size(hits) > 0) & ((words <= 12) | (F.size(hits) >= 2)), "hallucination_phrase")
+
+
+def kept(segments, text: str = "text", dropped: str = "dropped"):
+    """The segments that stay: no reason to drop them, and some text."""
+    return segments.where(F.col(dropped).isNull() & (F.coalesce(text, F.lit("")) != ""))

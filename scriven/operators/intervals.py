@@ -29,13 +29,18 @@ def union(df: DataFrame, keys: list[str], gap: float = 0, strict: bool = False,
     return rows.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("island")
 
 
-def merge_gaps(df: DataFrame, keys: list[str], gap: float, speaker: str = "speaker", tie: str = "id") -> DataFrame:
-    """Neighbours of one speaker less than `gap` apart as one; other speakers between them part them."""
+def speaker_islands(df: DataFrame, keys: list[str], gap: float, speaker: str = "speaker", tie: str = "id") -> DataFrame:
+    """df with _run and _part: neighbours of one speaker less than `gap` apart share both; other speakers between them part them."""
     order = ["start", "end", tie]
     w = Window.partitionBy(*keys).orderBy(*order)
     runs = islands(df.withColumn("_same", F.lag(speaker).over(w).eqNullSafe(F.col(speaker))), keys, order, ~F.col("_same"), "_run")
     runs = runs.withColumn("_away", F.col("start") - _running_end([*keys, "_run"], order, "end"))
-    out = islands(runs, [*keys, "_run"], order, F.col("_away") >= gap, "_part")
+    return islands(runs, [*keys, "_run"], order, F.col("_away") >= gap, "_part").drop("_same", "_away")
+
+
+def merge_gaps(df: DataFrame, keys: list[str], gap: float, speaker: str = "speaker", tie: str = "id") -> DataFrame:
+    """Neighbours of one speaker less than `gap` apart as one."""
+    out = speaker_islands(df, keys, gap, speaker, tie)
     return out.groupBy(*keys, "_run", "_part").agg(F.first(speaker).alias(speaker), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_run", "_part")
 
 
@@ -117,21 +122,22 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: st
     r = r.withColumn("_l", F.lit(None).cast(left.select(F.struct(*lcols).alias("s")).schema[0].dataType)).withColumn("_side", F.lit(0))
     rest = left.select(*keys, (F.col(at) + slack).alias("_at"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.struct(*lcols).alias("_l"), F.lit(1).alias("_side"))
     order = Window.partitionBy(*keys).orderBy("_at", "_side", F.col("_r.v"))
-    back = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    found = F.coalesce(back, ahead) if or_first else back
-    both = r.unionByName(rest).withColumn("_f", found).where("_side = 1")
+    both = r.unionByName(rest)
+    found = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    if or_first:
+        # the first of the whole job, one value a job
+        found = F.coalesce(found, F.min(F.when(F.col("_side") == 0, F.struct(F.col("_at").alias("a"), F.col("_r.v").alias("v"), "_r"))).over(Window.partitionBy(*keys))["_r"])
+    both = both.withColumn("_f", found).where("_side = 1")
     return both.select("_l.*", F.col("_f.v").alias(value), F.col("_f.next").alias(f"next_{value}"))
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, left_id: str, start: str, right_id: str, within: float | None = None) -> DataFrame:
     """left with the id of the right row whose start is nearest, the smaller id of equals, null beyond `within`."""
-    w = Window.partitionBy(*keys).orderBy("_at", "_side", "_id")
     both = left.select(*keys, F.col(at).alias("_at"), F.col(left_id).alias("_id"), F.lit(1).alias("_side")).unionByName(right.groupBy(*keys, F.col(start).alias("_at")).agg(F.min(right_id).alias("_id")).withColumn("_side", F.lit(0)))
     mark = F.when(F.col("_side") == 0, F.struct("_at", "_id"))
-    before = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    out = both.withColumn("_b", before).withColumn("_a", after).where("_side = 1")
+    # both ways by a running last: a frame that reaches to the end of the job would be read anew for each row
+    last = lambda *order: F.last(mark, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = both.withColumn("_b", last("_at", "_side", "_id")).withColumn("_a", last(F.desc("_at"), F.desc("_side"), F.desc("_id"))).where("_side = 1")
     db, da = F.col("_at") - F.col("_b._at"), F.col("_a._at") - F.col("_at")
     take_before = F.col("_a").isNull() | (db < da) | ((db == da) & (F.col("_b._id") <= F.col("_a._id")))
     pick = F.when(F.coalesce(take_before & F.col("_b").isNotNull(), F.lit(False)), F.struct(F.col("_b._id").alias("id"), db.alias("far"))).otherwise(F.struct(F.col("_a._id").alias("id"), da.alias("far")))
@@ -140,8 +146,28 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, left_id
     return out.select(*keys, left_id, near.alias(right_id), F.col("p.far").alias("distance"))
 
 
+def points_in(points: DataFrame, regions: DataFrame, keys: list[str], at: str, bucket: float) -> DataFrame:
+    """Pairs (p.*, r.*) of a point and each region that holds it, both ends included; null regions for a point in none.
+
+    A region stands in each bucket that it touches, a point in one: a long job spreads over tasks.
+    """
+    p = points.withColumn("_bucket", F.floor(F.col(at) / bucket)).alias("p")
+    r = regions.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket)))).alias("r")
+    cond = (F.col("p._bucket") == F.col("r._bucket")) & F.col(f"p.{at}").between(F.col("r.start"), F.col("r.end"))
+    for k in keys:
+        cond = cond & (F.col(f"p.{k}") == F.col(f"r.{k}"))
+    return p.join(r, cond, "left")
+
+
 def bucketed_points(points: DataFrame, regions: DataFrame, keys: list[str], at: str, region: str) -> DataFrame:
     """points with the region that starts last at or before them, if they lie before its end (half-open)."""
     r = regions.withColumn("_v", F.struct(F.col("end").alias("e"), F.col(region).alias("r")))
     out = as_of(points, r, keys, at, "start", "_v")
     return out.withColumn(region, F.when(F.col(at) < F.col("_v.e"), F.col("_v.r"))).drop("_v", "next__v")
+
+
+def clip_of(points: DataFrame, clips: DataFrame, keys: list[str], at: str = "middle") -> DataFrame:
+    """points(keys.., id, middle) with the clip(keys.., clip, length) that begins last at or before them; clips lie end to end from 0."""
+    w = Window.partitionBy(*keys).orderBy("clip").rowsBetween(Window.unboundedPreceding, -1)
+    begins = clips.withColumn("begins", F.coalesce(F.sum("length").over(w), F.lit(0)).cast("double"))
+    return as_of(points.withColumn(at, F.col(at).cast("double")), begins, keys, at, "begins", "clip").select(*keys, "id", "clip")

@@ -29,6 +29,13 @@ def built_segments(spark, d):
     return G.build_segments(_regions(spark, d), 1000, 600, 3600, 60_000, 90_000, 300)
 
 
+@query()
+def split_regions(spark, d):
+    """Segments over 90,000 seconds cut near every 60,000; the quietest of the events of the job are the levels."""
+    frames = segments(spark, d).select("job", F.col("start").cast("double").alias("at"), F.col("value").alias("energy"))
+    return G.split_regions(_regions(spark, d), frames, 60_000, 10_000, 90_000)
+
+
 @query()
 def packed_chunks(spark, d):
     return P.merged_tiny(P.packed_chunks(_regions(spark, d), 100_000, 20_000, 300_000, 40_000), 5_000, 400_000)
@@ -45,22 +52,14 @@ def thinned_starts(spark, d):
     return P.thinned_starts(s, 40_000)
 
 
-@query()
+@query("""WITH t AS (SELECT conv_id, turn, role, trim(regexp_replace(translate(lower(nfc_normalize(coalesce(text, ''))), 'şţ', 'șț'), '[^\\p{L}\\p{M}\\p{N}_]+', ' ', 'g')) AS n FROM conversations)
+SELECT q.conv_id AS job, 0::BIGINT AS "window", q.turn AS q_id, min(t.turn) AS turn_id, 100.0::DOUBLE AS score, false AS ts_match FROM t q JOIN t ON t.conv_id = q.conv_id AND length(q.n) >= 12 AND contains(t.n, q.n) WHERE q.role = 'assistant' GROUP BY ALL""")
 def resolved_quotes(spark, d):
-    """Each assistant turn's last words looked for among the turns of its conversation."""
-    t = P.with_clock(turns(spark, d)).withColumn("seconds", F.floor(F.col("start_ds") / 10))
-    lines = t.select(F.col("conv_id").alias("job"), F.lit(0).cast("long").alias("window"), F.col("turn").alias("id"), "seconds", F.coalesce("text", F.lit("")).alias("text"))
-    quotes = t.where("role = 'assistant'").select(F.col("conv_id").alias("job"), F.lit(0).cast("long").alias("window"), F.col("turn").alias("q_id"), F.expr("right(coalesce(text, ''), 60)").alias("quote"), F.col("seconds").alias("at"))
-    return M.resolved_quotes(quotes, lines)
-
-
-@query()
-def merged_minutes(spark, d):
-    """events as decisions of cases named by type, in windows of ten."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("n", F.row_number().over(w).cast("long"))
-    rows = e.select(F.col("user_id").alias("job"), F.floor(F.col("n") / 10).alias("window"), F.concat(F.lit("Tema: "), "event_type").alias("case_key"), "n", F.col("n").alias("turn_id"), F.col("n").alias("at"), F.concat_ws(" ", F.lit("valoare"), F.floor("value").cast("string"), "event_type").alias("decision"), F.lit("approved").alias("status"), F.col("props").alias("quote"), (F.col("event_type") == "purchase").alias("replaces"), (F.col("n") % 10 < 2).alias("in_context"))
-    return M.merged_minutes(rows)
+    """Each whole assistant turn, as a quote without a time, looked for among the turns of its conversation: those found word for word."""
+    t = turns(spark, d)
+    lines = t.select(F.col("conv_id").alias("job"), F.lit(0).cast("long").alias("window"), F.col("turn").alias("id"), F.lit(None).cast("long").alias("seconds"), F.coalesce("text", F.lit("")).alias("text"))
+    quotes = t.where("role = 'assistant'").select(F.col("conv_id").alias("job"), F.lit(0).cast("long").alias("window"), F.col("turn").alias("q_id"), F.coalesce("text", F.lit("")).alias("quote"), F.lit(None).cast("long").alias("at"))
+    return M.resolved_quotes(quotes, lines).where("turn_id IS NOT NULL AND score = 100")
 
 
 @query()
@@ -75,8 +74,8 @@ def word_errors(spark, d):
 @query()
 def fuzzy_scores(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("text"))
-    w = Window.orderBy("item_id")  # the benchmark items, a few hundred rows
-    pairs = b.withColumn("next", F.coalesce(F.lead("text").over(w), F.col("text")))
+    after = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
+    pairs = b.join(after, "item_id", "left").withColumn("next", F.coalesce("next", "text"))
     return pairs.select("item_id", *[S.as_column(f)(F.col("text"), F.col("next")).alias(n) for n, f in (("ratio", S.ratio), ("token_sort", S.token_sort_ratio), ("token_set", S.token_set_ratio))])
 
 
@@ -100,14 +99,37 @@ def compression_ratios(spark, d):
     return table(spark, d, "documents").select("doc_id", compression_ratio_udf()(F.coalesce("text", F.lit(""))).alias("ratio"))
 
 
-def _digits(s: pd.Series) -> pd.Series:
-    return s.map(normalize_numbers)
+_ONES = ["", "unu", "doi", "trei", "patru", "cinci", "șase", "șapte", "opt", "nouă", "zece", "unsprezece", "doisprezece", "treisprezece", "paisprezece", "cincisprezece", "șaisprezece", "șaptesprezece", "optsprezece", "nouăsprezece"]
+_TENS = ["", "", "douăzeci", "treizeci", "patruzeci", "cincizeci", "șaizeci", "șaptezeci", "optzeci", "nouăzeci"]
 
 
-@query()
+def _spelled(n):
+    """A number from 10 to 999,999 in Romanian words."""
+    listed = lambda words, i: F.get(F.array(*map(F.lit, words)), i.cast("int"))
+    text = lambda *parts: F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " ")
+
+    def below_1000(v):
+        small, hundreds = v % 100, F.floor(v / 100)
+        tail = F.when(small < 20, listed(_ONES, small)).when(small % 10 == 0, listed(_TENS, F.floor(small / 10))).otherwise(F.concat(listed(_TENS, F.floor(small / 10)), F.lit(" și "), listed(_ONES, small % 10)))
+        head = F.when(hundreds == 0, "").when(hundreds == 1, "o sută").when(hundreds == 2, "două sute").otherwise(F.concat(listed(_ONES, hundreds), F.lit(" sute")))
+        return text(head, tail)
+
+    thousands = F.floor(n / 1000)
+    head = F.when(thousands == 0, "").when(thousands == 1, "o mie").when(thousands == 2, "două mii").when(thousands < 20, F.concat(below_1000(thousands), F.lit(" mii"))).otherwise(F.concat(below_1000(thousands), F.lit(" de mii")))
+    return text(head, below_1000(n % 1000))
+
+
+@F.pandas_udf(StringType())
+def _with_digits(s: pd.Series) -> pd.Series:
+    return pd.Series([normalize_numbers(x) for x in s], dtype=object)
+
+
+@query("""SELECT conv_id, turn, 'total ' || ((conv_id * 7919 + turn * 104729) % 899990 + 10) || '%, doi. ' || coalesce(text, '') AS said FROM conversations""")
 def numbers_as_digits(spark, d):
-    digits = F.pandas_udf(_digits, StringType())
-    return turns(spark, d).select("conv_id", "turn", F.length(digits(F.coalesce("text", F.lit("")))).cast("long").alias("n_chars"))
+    """Each turn's text after a number in words, made from its keys, and a lone unit, which stays a word."""
+    n = (F.col("conv_id") * 7919 + F.col("turn") * 104729) % 899990 + 10
+    said = F.concat(F.lit("total "), _spelled(n), F.lit(" la sută, doi. "), F.coalesce("text", F.lit("")))
+    return turns(spark, d).select("conv_id", "turn", _with_digits(said).alias("said"))
 
 
 @query()

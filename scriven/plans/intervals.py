@@ -87,25 +87,25 @@ def overlap_pairs(spark, d):
     return I.speaker_overlaps(segments(spark, d), ["job"], bucket=DAY)
 
 
-@query(f"""WITH {SEGMENTS_SQL}, gold AS (SELECT * FROM seg WHERE id % 3 = 0), hyp AS (SELECT * FROM seg WHERE id % 3 = 1),
+@query(f"""WITH {SEGMENTS_SQL}, gold AS (SELECT * FROM seg WHERE id % 2 = 0), hyp AS (SELECT * FROM seg WHERE id % 2 = 1),
 p AS (SELECT h.job, h.id, g.id AS gold_id, g.speaker AS gold, h.speaker AS found, least(h."end", g."end") - greatest(h.start, g.start) AS overlap,
   row_number() OVER (PARTITION BY h.job, h.id ORDER BY least(h."end", g."end") - greatest(h.start, g.start) DESC, g.id) AS n
   FROM hyp h JOIN gold g ON h.job = g.job AND g.speaker <> 'mix' AND h.start < g."end" AND g.start < h."end")
 SELECT job, id, gold_id, gold, found, overlap FROM p WHERE n = 1""")
 def language_by_overlap(spark, d):
     s = segments(spark, d)
-    out = I.best_overlap(s.where("id % 3 = 1"), s.where("id % 3 = 0 AND speaker <> 'mix'"), ["job"], "id", "id", DAY)
+    out = I.best_overlap(s.where("id % 2 = 1"), s.where("id % 2 = 0 AND speaker <> 'mix'"), ["job"], "id", "id", DAY)
     return out.select("a.job", "a.id", F.col("b.id").alias("gold_id"), F.col("b.speaker").alias("gold"), F.col("a.speaker").alias("found"), "overlap")
 
 
-@query(f"""WITH {SEGMENTS_SQL}, ref AS (SELECT job, id, start - 300 AS start, "end" + 300 AS "end" FROM seg WHERE id % 3 = 0), hyp AS (SELECT * FROM seg WHERE id % 3 = 1),
+@query(f"""WITH {SEGMENTS_SQL}, ref AS (SELECT job, id, start - 300 AS start, "end" + 300 AS "end" FROM seg WHERE id % 2 = 0), hyp AS (SELECT * FROM seg WHERE id % 2 = 1),
 s AS (SELECT r.job, r.id, h.speaker, sum(least(h."end", r."end") - greatest(h.start, r.start)) AS seconds
   FROM ref r JOIN hyp h ON h.job = r.job AND h.start < r."end" AND r.start < h."end" GROUP BY r.job, r.id, h.speaker)
 SELECT job, id, speaker, seconds::BIGINT AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY job, id ORDER BY seconds DESC, speaker) AS n FROM s) WHERE n = 1""")
 def language_by_seconds(spark, d):
     s = segments(spark, d)
-    ref = s.where("id % 3 = 0").withColumn("start", F.col("start") - 300).withColumn("end", F.col("end") + 300)
-    per = I.interval_join(ref, s.where("id % 3 = 1"), ["job"], DAY).groupBy("a.job", "a.id", F.col("b.speaker").alias("speaker")).agg(F.sum("overlap").alias("seconds"))
+    ref = s.where("id % 2 = 0").withColumn("start", F.col("start") - 300).withColumn("end", F.col("end") + 300)
+    per = I.interval_join(ref, s.where("id % 2 = 1"), ["job"], DAY).groupBy("a.job", "a.id", F.col("b.speaker").alias("speaker")).agg(F.sum("overlap").alias("seconds"))
     w = Window.partitionBy("job", "id").orderBy(F.desc("seconds"), "speaker")
     return per.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
@@ -152,18 +152,15 @@ def point_in_interval(spark, d):
 @query(f"""WITH {SEGMENTS_SQL}, {_POINTS} SELECT p.job, p.id, count(l.id) AS inside FROM points p LEFT JOIN line l ON l.job = p.job AND p."at" BETWEEN l.start AND l."end" GROUP BY p.job, p.id""")
 def points_in_regions(spark, d):
     p, line = _points(spark, d)
-    cond = (F.col("p.job") == F.col("l.job")) & F.col("p.at").between(F.col("l.start"), F.col("l.end"))
-    return p.alias("p").join(line.alias("l"), cond, "left").groupBy("p.job", "p.id").agg(F.count("l.line").alias("inside"))
+    return I.points_in(p, line, ["job"], "at", DAY).groupBy("p.job", "p.id").agg(F.count("r.line").alias("inside"))
 
 
 @query("""WITH h AS (SELECT user_id AS job, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx, round(value * 100)::BIGINT AS energy FROM events)
-SELECT job, idx, avg(energy) OVER (PARTITION BY job ORDER BY idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS mean_energy FROM h""")
+SELECT job, idx, sqrt(avg(energy) OVER (PARTITION BY job ORDER BY idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) AS rms FROM h""")
 def energy_envelope(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     h = table(spark, d, "events").select(F.col("user_id").alias("job"), F.row_number().over(w).cast("long").alias("idx"), F.round(F.col("value") * 100).cast("long").alias("energy"))
-    out = FR.rms_envelope(h, ["job"], "idx", "energy")
-    frame = Window.partitionBy("job").orderBy("idx").rowsBetween(0, 2)
-    return out.select("job", "idx", F.avg("energy").over(frame).alias("mean_energy"))
+    return FR.rms_envelope(h, ["job"], "idx", "energy").select("job", "idx", "rms")
 
 
 @query("""WITH f AS (SELECT user_id AS job, event_id AS idx, floor(epoch(ts) / 864000)::BIGINT AS block, value AS level FROM events
@@ -190,9 +187,12 @@ def all_overlaps(spark, d):
     return I.union(s.where("id % 2 = 0").select("job", "start", "end").unionAll(I.speaker_overlaps(s, ["job"], DAY).select("job", "start", "end")), ["job"])
 
 
-@query(f"""WITH {SEGMENTS_SQL}, o AS (SELECT job, id, "end" - start AS dur, coalesce(sum("end" - start) OVER (PARTITION BY job ORDER BY start, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "at" FROM seg)
-SELECT job, id, floor(("at" + dur / 2.0) / 36000)::BIGINT AS clip FROM o""")
+@query(f"""WITH {SEGMENTS_SQL}, o AS (SELECT job, id, "end" - start AS dur, coalesce(sum("end" - start) OVER (PARTITION BY job ORDER BY start, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "at" FROM seg),
+c AS (SELECT job, clip, coalesce(sum(len) OVER (PARTITION BY job ORDER BY clip ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM (SELECT job, unnest(range(0, 40)) AS clip FROM (SELECT DISTINCT job FROM seg)), LATERAL (SELECT 20000 + clip * 7919 % 60000 AS len))
+SELECT o.job, o.id, max(c.clip)::BIGINT AS clip FROM o JOIN c ON o.job = c.job AND c.begins <= o."at" + o.dur / 2.0 GROUP BY o.job, o.id""")
 def clip_by_midpoint(spark, d):
+    """Segments laid end to end, each put to the clip that holds its middle; clips of unequal lengths lie end to end too."""
     w = Window.partitionBy("job").orderBy("start", "id").rowsBetween(Window.unboundedPreceding, -1)
     o = segments(spark, d).withColumn("dur", F.col("end") - F.col("start")).withColumn("at", F.coalesce(F.sum("dur").over(w), F.lit(0)))
-    return o.select("job", "id", F.floor((F.col("at") + F.col("dur") / 2) / 36000).alias("clip"))
+    clips = o.select("job").distinct().withColumn("clip", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))))
+    return I.clip_of(o.select("job", "id", (F.col("at") + F.col("dur") / 2).alias("middle")), clips.withColumn("length", 20000 + F.col("clip") * 7919 % 60000), ["job"])

@@ -40,21 +40,10 @@ def timed_words(spark, d):
 
 
 @query("""WITH t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN coalesce(text, '') <> '' THEN 0 ELSE 1 END, turn DESC) AS k FROM conversations)
-SELECT conv_id, substr(text, 1, 40) AS topic FROM t WHERE k = 1""")
+SELECT conv_id, text AS topic FROM t WHERE k = 1""")
 def latest_topic(spark, d):
     w = W.partitionBy("conv_id").orderBy(F.when(F.coalesce("text", F.lit("")) != "", 0).otherwise(1), F.desc("turn"))
-    return turns(spark, d).withColumn("k", F.row_number().over(w)).where("k = 1").select("conv_id", F.substring("text", 1, 40).alias("topic"))
-
-
-@query("""WITH a AS (SELECT user_id AS job, event_type AS case_key, event_id AS decision, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE value > 5),
-e AS (SELECT user_id AS job, event_type AS eta, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type <> 'view')
-SELECT a.job, case_key, decision, eta FROM a JOIN e ON a.job = e.job AND e.k = 1 WHERE a.k = 1""")
-def deadlines(spark, d):
-    ev = table(spark, d, "events").select(F.col("user_id").alias("job"), "event_id", "event_type", "value", "ts")
-    latest = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("ts"), F.desc("event_id")))
-    a = ev.where("value > 5").withColumn("k", latest("job", "event_type")).where("k = 1").select("job", F.col("event_type").alias("case_key"), F.col("event_id").alias("decision"))
-    e = ev.where("event_type <> 'view'").withColumn("k", latest("job")).where("k = 1").select("job", F.col("event_type").alias("eta"))
-    return a.join(e, "job")
+    return turns(spark, d).withColumn("k", F.row_number().over(w)).where("k = 1").select("conv_id", F.col("text").alias("topic"))
 
 
 @query("SELECT item_id, 'Text: ' || text || chr(10) || 'Numar: ' || item_id || '.' AS prompt, substr(sha256(text), 1, 8) AS fingerprint FROM benchmark")
@@ -70,21 +59,14 @@ def seeded_sample(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", F.row_number().over(w).alias("k")).where("k <= 15").select("doc_id", "lang")
 
 
-@query("""WITH r AS (SELECT user_id AS job, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
-SELECT job, count(*) AS regions, max(value) AS peak FROM r WHERE n <= 200 GROUP BY job""")
+@query("""WITH r AS (SELECT user_id AS job, value, floor(value)::BIGINT + 1 AS energy, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+g AS (SELECT job, sqrt(sum(energy)::DOUBLE / count(*)) AS rms, max(value) / 1000 AS peak FROM r WHERE n <= 200 GROUP BY job)
+SELECT job, floor(rms * 1000)::BIGINT AS rms_milli, peak, floor(least(least(greatest(-3.0 - 20 * log10(rms), -20.0), 20.0), 20 * log10(0.99::DOUBLE / peak)) * 1000 + 0.5)::BIGINT AS gain_mdb FROM g""")
 def speech_gain(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("job"), "ts", (F.col("value") / 1000).alias("energy"), "value")
-    g = FR.speech_gain(e, ["job"], "ts", "energy", "value", -20.0)
-    n = table(spark, d, "events").groupBy(F.col("user_id").alias("job")).agg(F.least(F.count("*"), F.lit(200)).alias("regions"))
-    return g.join(n, "job").select("job", "regions", "peak")
-
-
-@query("""SELECT a.conv_id, a.turn, len(list_intersect(regexp_extract_all(a.text, '[0-9]+'), regexp_extract_all(b.text, '[0-9]+'))) > 0 AS shared FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL""")
-def shared_identifiers(spark, d):
-    w = W.partitionBy("conv_id").orderBy("turn")
-    t = turns(spark, d).withColumn("next", F.lead("text").over(w)).withColumn("at", F.lead("turn").over(w)).where((F.col("at") == F.col("turn") + 1) & F.col("text").isNotNull() & F.col("next").isNotNull())
-    ids = lambda c: F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0))
-    return t.select("conv_id", "turn", F.arrays_overlap(ids(F.col("text")), ids(F.col("next"))).alias("shared"))
+    """rms of the first 200 regions and the gain towards -3 dB, in thousandths."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("job"), F.struct("ts", "event_id").alias("at"), (F.floor("value") + 1).alias("energy"), (F.col("value") / 1000).alias("level"))
+    g = FR.speech_gain(e, ["job"], "at", "energy", "level", -3.0)
+    return g.select("job", F.floor(F.col("rms") * 1000).alias("rms_milli"), "peak", F.floor(F.col("gain_db") * 1000 + 0.5).alias("gain_mdb"))
 
 
 @query("""WITH s(category, section, n) AS (VALUES ('view', 'Informații', 2), ('click', 'Evoluție', 1), ('purchase', 'Tratament', 0)),

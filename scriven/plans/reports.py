@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from scriven.operators import evaluation as E
+
 from .base import SEGMENTS_SQL, query, segments, table, turns
 
 W = Window
@@ -35,21 +37,22 @@ def weighted_confidence(spark, d):
     return s.select("job", F.when(F.col("dur") > 0, 2 * F.col("low") >= F.col("dur")).otherwise(True).alias("low_confidence"), F.when(F.col("dur") > 0, F.col("low") / F.col("dur")).otherwise(1.0).alias("ratio"))
 
 
-@query("SELECT conv_id, sum(length(text) * greatest(turn, 1))::BIGINT AS weighted, sum(greatest(turn, 1))::BIGINT AS weight FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+@query("SELECT conv_id, sum(greatest(turn, 1))::BIGINT AS weight, sum(length(text) * greatest(turn, 1))::DOUBLE / sum(greatest(turn, 1)) AS mean FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def weighted_mean(spark, d):
     w = F.greatest("turn", F.lit(1))
-    return turns(spark, d).where("text IS NOT NULL").groupBy("conv_id").agg(F.sum(F.length("text") * w).alias("weighted"), F.sum(w).alias("weight"))
+    return turns(spark, d).where("text IS NOT NULL").groupBy("conv_id").agg(F.sum(w).alias("weight"), (F.sum(F.length("text") * w) / F.sum(w)).alias("mean"))
 
 
 _BINS = (0, 1000, 3000, 10000, 30000, 60000, 100000, 200000)
 
 
-@query(f"""WITH {SEGMENTS_SQL}, x AS (SELECT "end" - start AS dur FROM seg) SELECT count(*) AS n, min(dur) AS min, quantile_cont(dur, 0.1) AS p10, quantile_cont(dur, 0.5) AS p50, quantile_cont(dur, 0.9) AS p90, max(dur) AS max,
+@query(f"""WITH {SEGMENTS_SQL}, x AS (SELECT "end" - start AS dur FROM seg) SELECT count(*) AS n, min(dur) AS min, floor(quantile_cont(dur, 0.1) * 10 + 0.5)::BIGINT AS p10, floor(quantile_cont(dur, 0.5) * 10 + 0.5)::BIGINT AS p50, floor(quantile_cont(dur, 0.9) * 10 + 0.5)::BIGINT AS p90, max(dur) AS max, sum(dur)::DOUBLE / count(*) AS mean,
 {', '.join(f"count(*) FILTER (WHERE dur >= {a}" + (f" AND dur < {b})" if b else ")") + f" AS bin{i}" for i, (a, b) in enumerate(zip(_BINS, (*_BINS[1:], None))))} FROM x""")
 def duration_stats(spark, d):
+    """Percentiles in tenths."""
     x = segments(spark, d).select((F.col("end") - F.col("start")).alias("dur"))
     bins = [F.count_if((F.col("dur") >= a) & ((F.col("dur") < b) if b else F.lit(True))).alias(f"bin{i}") for i, (a, b) in enumerate(zip(_BINS, (*_BINS[1:], None)))]
-    return x.agg(F.count("*").alias("n"), F.min("dur").alias("min"), *[F.expr(f"percentile(dur, {q / 100})").alias(f"p{q}") for q in (10, 50, 90)], F.max("dur").alias("max"), *bins)
+    return x.agg(F.count("*").alias("n"), F.min("dur").alias("min"), *[F.expr(f"floor(percentile(dur, {q / 100}) * 10 + 0.5)").alias(f"p{q}") for q in (10, 50, 90)], F.max("dur").alias("max"), (F.sum("dur") / F.count("*")).alias("mean"), *bins)
 
 
 @query(f"""WITH {SEGMENTS_SQL}, s AS (SELECT job, speaker, count(*) AS n, sum("end" - start)::BIGINT AS seconds FROM seg GROUP BY ALL)
@@ -67,30 +70,50 @@ def constraint_counters(spark, d):
     return s.groupBy("job").agg(F.count_if(F.col("next") < F.col("end")).alias("overlaps"), F.count_if(dur < 1000).alias("short"), F.count_if(dur > 50000).alias("over_soft"), F.count_if(dur > 150000).alias("over_hard"))
 
 
-_SLICES = ("lang", "source")
+_OPS_SQL = """w AS (SELECT conv_id, turn, role, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0d]+') AS w FROM conversations), x AS (SELECT conv_id, turn, role, i - 1 AS i, w[i] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)),
+ops AS (SELECT *, CASE WHEN tag <> 'ins' THEN word END AS ref, CASE WHEN tag = 'sub' THEN reverse(word) WHEN tag <> 'del' THEN word END AS hyp FROM (SELECT *, CASE WHEN i % 13 = 6 THEN 'ins' WHEN i % 11 = 5 THEN 'del' WHEN i % 7 = 3 THEN 'sub' ELSE 'eq' END AS tag FROM x))"""
+
+
+def _ops(spark, d):
+    """The words of conversations as steps of an alignment."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    x = turns(spark, d).select("conv_id", "turn", "role", F.posexplode(words).alias("i", "word"))
+    x = x.withColumn("tag", F.when(F.col("i") % 13 == 6, "ins").when(F.col("i") % 11 == 5, "del").when(F.col("i") % 7 == 3, "sub").otherwise("eq"))
+    return x.withColumn("ref", F.when(F.col("tag") != "ins", F.col("word"))).withColumn("hyp", F.when(F.col("tag") == "sub", F.reverse("word")).when(F.col("tag") != "del", F.col("word")))
 
 
-@query("""WITH e AS (SELECT d.doc_id, d.lang, length(text) % 7 AS s, length(text) % 3 AS del, length(text) % 2 AS ins, length(text) % 50 AS n, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))
-SELECT lang, sum(s)::BIGINT AS s, sum(del)::BIGINT AS d, sum(ins)::BIGINT AS i, sum(n)::BIGINT AS n, sum(CASE WHEN quality = 1 THEN n ELSE 0 END)::BIGINT AS n_clean,
- sum(s + del + ins)::DOUBLE / nullif(sum(n), 0) AS rate FROM e GROUP BY lang""")
+@query(f"""WITH {_OPS_SQL}, s AS (SELECT conv_id, unnest(['all', 'clean', 'user']) AS slice, unnest([true, turn % 2 = 0, role = 'user']) AS fits, tag FROM ops),
+c AS (SELECT conv_id, slice, count(*) FILTER (WHERE fits AND tag = 'sub') AS "S", count(*) FILTER (WHERE fits AND tag = 'del') AS "D", count(*) FILTER (WHERE fits AND tag = 'ins') AS "I", count(*) FILTER (WHERE fits AND tag <> 'ins') AS "N" FROM s GROUP BY ALL)
+SELECT *, ("S" + "D" + "I")::DOUBLE / nullif("N", 0) AS rate FROM c""")
 def error_rollup(spark, d):
-    """Counts of substituted, deleted, inserted and reference units by slice in one pass, and their rate."""
-    e = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    e = e.select("lang", "quality", *[(F.length("text") % k).alias(a) for a, k in (("s", 7), ("d", 3), ("i", 2), ("n", 50))])
-    out = e.groupBy("lang").agg(*[F.sum(c).alias(c) for c in "sdin"], F.sum(F.when(F.col("quality") == 1, F.col("n")).otherwise(0)).alias("n_clean"))
-    return out.withColumn("rate", (F.col("s") + F.col("d") + F.col("i")) / F.nullif(F.col("n"), F.lit(0)))
+    """Errors of each conversation: of all turns, of every second, of the user's."""
+    return E.rollup(_ops(spark, d), ["conv_id"], {"all": F.lit(True), "clean": F.col("turn") % 2 == 0, "user": F.col("role") == "user"})
 
 
-@query("SELECT conv_id, string_agg(text, ' | ' ORDER BY turn) AS said, count(*) AS n FROM conversations GROUP BY conv_id")
+@query(f"""WITH {_OPS_SQL} SELECT conv_id, turn, coalesce(string_agg(ref, ' ' ORDER BY i), '') AS ref, coalesce(string_agg(hyp, ' ' ORDER BY i), '') AS hyp, count(*) FILTER (WHERE tag <> 'eq') AS errors, count(ref) AS "N", count(*) FILTER (WHERE tag <> 'eq')::DOUBLE / nullif(count(ref), 0) AS wer FROM ops GROUP BY conv_id, turn""")
 def unit_detail(spark, d):
-    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return turns(spark, d).groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x.text), " | ").alias("said"), F.count("*").alias("n"))
+    return E.unit_details(_ops(spark, d), ["conv_id", "turn"])
+
+
+_TERMS_SQL = "g AS (SELECT source AS job, lang AS category, toxic = 1 AS in_overlap, CASE WHEN quality = 1 THEN doc_id END AS hit FROM documents JOIN labels USING (doc_id)), h AS (SELECT source AS job, doc_id % 3 > 0 AS used FROM documents)"
+
 
+def _terms(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("job"))
+    gold = docs.join(table(spark, d, "labels"), "doc_id").select("job", F.col("lang").alias("category"), (F.col("toxic") == 1).alias("in_overlap"), F.when(F.col("quality") == 1, F.col("doc_id")).alias("hit"))
+    return gold, docs.select("job", (F.col("doc_id") % 3 > 0).alias("used"))
 
-@query("SELECT lang, avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0 END) FILTER (WHERE quality = 1) AS share, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+
+@query(f"""WITH {_TERMS_SQL}, a AS (SELECT job, count(*) AS n_gold, count(hit)::DOUBLE / count(*) AS recall, count(hit) FILTER (WHERE NOT in_overlap)::DOUBLE / nullif(count(*) FILTER (WHERE NOT in_overlap), 0) AS recall_clean, count(hit) FILTER (WHERE in_overlap)::DOUBLE / nullif(count(*) FILTER (WHERE in_overlap), 0) AS recall_overlap FROM g GROUP BY job),
+b AS (SELECT job, count(*) AS n_hyp, count(*) FILTER (WHERE used)::DOUBLE / count(*) AS precision FROM h GROUP BY job)
+SELECT job, coalesce(n_gold, 0) AS n_gold, coalesce(n_hyp, 0) AS n_hyp, recall, recall_clean, recall_overlap, precision FROM a FULL JOIN b USING (job)""")
+def term_scores(spark, d):
+    return E.term_scores(*_terms(spark, d), ["job"])
+
+
+@query(f"WITH {_TERMS_SQL} SELECT job, category, count(*) AS n, count(hit)::DOUBLE / count(*) AS recall FROM g GROUP BY ALL")
 def recall_by_category(spark, d):
-    j = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
-    return j.groupBy("lang").agg(F.avg(F.when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1.0).otherwise(0.0))).alias("share"), F.count("*").alias("n"))
+    return E.recall_by(_terms(spark, d)[0], ["job"])
 
 
 @query("SELECT quality AS gold, CASE WHEN length(text) > 800 THEN 1 ELSE 0 END AS found, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
@@ -121,12 +144,12 @@ def checklist_coverage(spark, d):
     return one.select(F.inline(rows))
 
 
-@query("""WITH g AS (SELECT event_id // 100 AS grp, event_type AS v, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY grp) AS total, row_number() OVER (PARTITION BY grp ORDER BY n DESC, v) AS k FROM g)
-SELECT grp, v, n, 10 * n >= 3 * total AS dominant FROM r WHERE k = 1""")
+@query("""WITH g AS (SELECT event_id // 100 AS grp, CASE WHEN event_id // 100 % 2 = 0 AND event_id % 7 > 0 THEN 'view' ELSE event_type END AS v, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY grp) AS total, row_number() OVER (PARTITION BY grp ORDER BY n DESC, v) AS k FROM g)
+SELECT grp, v, n, 5 * n >= 4 * total AS dominant FROM r WHERE k = 1""")
 def dominant_value(spark, d):
-    g = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 100).alias("grp"), F.col("event_type").alias("v")).agg(F.count("*").alias("n"))
+    g = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 100).alias("grp"), F.when((F.floor(F.col("event_id") / 100) % 2 == 0) & (F.col("event_id") % 7 > 0), "view").otherwise(F.col("event_type")).alias("v")).agg(F.count("*").alias("n"))
     r = g.withColumn("total", F.sum("n").over(W.partitionBy("grp"))).withColumn("k", F.row_number().over(W.partitionBy("grp").orderBy(F.desc("n"), "v")))
-    return r.where("k = 1").select("grp", "v", "n", (10 * F.col("n") >= 3 * F.col("total")).alias("dominant"))
+    return r.where("k = 1").select("grp", "v", "n", (5 * F.col("n") >= 4 * F.col("total")).alias("dominant"))
 
 
 @query("""SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running FROM events""")
@@ -134,6 +157,11 @@ def running_max(spark, d):
     return table(spark, d, "events").select("event_id", F.max("value").over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)).alias("running"))
 
 
+@query("SELECT user_id AS job, median(value) AS median FROM events GROUP BY user_id")
+def median_ratio(spark, d):
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("job")).agg(F.median("value").alias("median"))
+
+
 @query("""WITH m AS (SELECT user_id, event_id, ts, CASE WHEN value > 90 THEN event_type END AS said FROM events)
 SELECT event_id, last_value(said IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS subject FROM m""")
 def last_mention_25(spark, d):
@@ -141,12 +169,14 @@ def last_mention_25(spark, d):
     return table(spark, d, "events").select("event_id", F.last(F.when(F.col("value") > 90, F.col("event_type")), ignorenulls=True).over(w).alias("subject"))
 
 
-@query("""WITH m AS (SELECT user_id, event_id, ts, event_type, CASE WHEN value >= 20 OR row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN event_type END AS sure FROM events)
+@query("""WITH m AS (SELECT user_id, event_id, ts, event_type, CASE WHEN value >= 2 OR event_id % 10 >= 5 OR row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN event_type END AS sure FROM events)
 SELECT event_id, last_value(sure IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS lang FROM m""")
 def language_carry(spark, d):
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    sure = F.when((F.col("value") >= 20) | (F.row_number().over(w) == 1), F.col("event_type"))
-    return table(spark, d, "events").withColumn("sure", sure).select("event_id", F.last("sure", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("lang"))
+    # short (under two seconds) and unsure (probability under a half): the language chosen before; the first keeps its own
+    e = table(spark, d, "events").withColumn("duration", F.col("value")).withColumn("prob", F.col("event_id") % 10 / 10)
+    sure = F.when((F.col("duration") >= 2) | (F.col("prob") >= 0.5) | (F.row_number().over(w) == 1), F.col("event_type"))
+    return e.withColumn("sure", sure).select("event_id", F.last("sure", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("lang"))
 
 
 @query("""WITH m AS (SELECT *, event_type = 'purchase' AS replaces FROM events)
@@ -154,8 +184,9 @@ SELECT event_id, coalesce(max(replaces::INT) OVER (PARTITION BY user_id ORDER BY
   lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL AS superseded_all FROM m""")
 def superseded_flags(spark, d):
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    back = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(W.unboundedPreceding, -1)  # a running value, from the end
     e = table(spark, d, "events").withColumn("replaces", (F.col("event_type") == "purchase").cast("int"))
-    return e.select("event_id", (F.coalesce(F.max("replaces").over(w.rowsBetween(1, W.unboundedFollowing)), F.lit(0)) == 1).alias("superseded"), F.lead("event_id").over(w).isNotNull().alias("superseded_all"))
+    return e.select("event_id", (F.coalesce(F.max("replaces").over(back), F.lit(0)) == 1).alias("superseded"), F.lead("event_id").over(w).isNotNull().alias("superseded_all"))
 
 
 @query("""WITH r AS (SELECT user_id AS job, event_type AS eta, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type <> 'view')
@@ -197,12 +228,19 @@ def reference_join(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", "lang", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
-@query("""WITH b AS (SELECT conv_id, turn, role, lower(role) AS other FROM conversations)
-SELECT a.conv_id, a.turn, a.role, b.other FROM conversations a JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn WHERE a.role <> b.other OR a.turn % 2 = 1""")
-def positional_join(spark, d):
-    a = turns(spark, d).select("conv_id", "turn", "role")
-    b = a.select("conv_id", "turn", F.lower("role").alias("other"))
-    return a.join(b, ["conv_id", "turn"]).where((F.col("role") != F.col("other")) | (F.col("turn") % 2 == 1))
+@query(f"""WITH {SEGMENTS_SQL} SELECT job, id, speaker AS lang, 'other' AS other FROM seg WHERE id % 4 = 0""")
+def compared_runs(spark, d):
+    """Two runs over the segments, every fourth in another language in the second."""
+    a = segments(spark, d).select("job", "id", "start", "end", F.col("speaker").alias("lang"), F.lit("a").alias("text"))
+    return E.compared_runs(a, a.withColumn("lang", F.when(F.col("id") % 4 == 0, "other").otherwise(F.col("lang")))).select("job", "id", "lang", "other")
+
+
+@query("""WITH w AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0d]+') AS w FROM conversations)
+SELECT conv_id, turn, i::BIGINT AS n, word, floor(turn * 1000 + 500 * (2 * i + 1) / len + 0.000001)::DOUBLE AS at FROM (SELECT conv_id, turn, len(w) AS len, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM w)""")
+def uniform_words(spark, d):
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    u = turns(spark, d).select(F.col("conv_id").alias("job"), F.col("turn").alias("utt"), (F.col("turn") * 1000).alias("start"), (F.col("turn") * 1000 + 1000).alias("end"), words.alias("words"))
+    return E.uniform_words(u).select(F.col("job").alias("conv_id"), F.col("utt").alias("turn"), F.col("n").cast("long").alias("n"), "word", F.floor(F.col("at") + 1e-6).cast("double").alias("at"))
 
 
 @query("""WITH w AS (SELECT conv_id, turn, turn // 2 AS win FROM conversations)
@@ -213,32 +251,3 @@ def window_members(spark, d):
     ids = w.select("conv_id", "index", F.explode(F.expr("sequence(a, b + 1)")).alias("id"))
     t = turns(spark, d).select("conv_id", F.col("turn").alias("id"), F.col("text").isNotNull().alias("present"))
     return ids.join(t, ["conv_id", "id"], "left").select("conv_id", "index", "id", F.coalesce("present", F.lit(False)).alias("present"))
-
-
-@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, length(text) // 200 ORDER BY length(text) DESC, turn) AS n FROM conversations WHERE text IS NOT NULL) SELECT conv_id, turn FROM k WHERE n = 1""")
-def best_claimant(spark, d):
-    w = W.partitionBy("conv_id", F.floor(F.length("text") / 200)).orderBy(F.desc(F.length("text")), "turn")
-    return turns(spark, d).where("text IS NOT NULL").withColumn("n", F.row_number().over(w)).where("n = 1").select("conv_id", "turn")
-
-
-@query("""WITH s AS (SELECT conv_id, turn, turn // 3 AS win FROM conversations UNION ALL SELECT conv_id, turn, turn // 3 + 1 FROM conversations WHERE turn % 3 = 2)
-SELECT conv_id, turn, win FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE a.conv_id = b.conv_id AND a.turn = b.turn AND b.win < a.win)""")
-def overlap_dedup(spark, d):
-    """Turns seen in an earlier window are dropped from later ones: one minimum, no join."""
-    t = turns(spark, d).select("conv_id", "turn")
-    s = t.select("conv_id", "turn", F.floor(F.col("turn") / 3).alias("win")).unionAll(t.where("turn % 3 = 2").select("conv_id", "turn", F.floor(F.col("turn") / 3) + 1))
-    return s.groupBy("conv_id", "turn").agg(F.min("win").alias("win"))
-
-
-@query("SELECT user_id AS job, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id, floor(epoch(ts) / 864000) HAVING count(*) >= 3")
-def repeated_cases(spark, d):
-    at = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    return table(spark, d, "events").where("event_type = 'click'").groupBy(F.col("user_id").alias("job"), F.floor(at / 864000).alias("b")).agg(F.count("*").alias("n")).where("n >= 3").select("job", "n")
-
-
-@query("""WITH r AS (SELECT user_id AS job, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events)
-SELECT job, event_type AS case_key, event_id AS decision, CASE WHEN event_type = 'view' THEN 'needs review' WHEN event_id % 7 = 0 THEN 'quote missing' END AS review FROM r WHERE k = 1""")
-def review_flags(spark, d):
-    w = W.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    r = table(spark, d, "events").withColumn("k", F.row_number().over(w)).where("k = 1")
-    return r.select(F.col("user_id").alias("job"), F.col("event_type").alias("case_key"), F.col("event_id").alias("decision"), F.when(F.col("event_type") == "view", "needs review").when(F.col("event_id") % 7 == 0, "quote missing").alias("review"))

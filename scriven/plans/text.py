@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriven.functions import text as T
+from scriven.operators import answers as A
+from scriven.operators import detect as G
 from scriven.operators import packing as P
 
 from .base import CLOCK_SQL, query, table, turns
@@ -125,19 +127,12 @@ def word_runs(spark, d):
 
 
 @query("""WITH g AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM benchmark), grams AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM g)
-), d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM documents), t AS (SELECT doc_id, len(w) AS n, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
-), hit AS (SELECT doc_id, n, unnest([i, i + 1, i + 2]) AS p FROM t JOIN grams USING (g))
-SELECT doc_id, n::BIGINT AS n_words, count(DISTINCT p) AS covered, 2 * count(DISTINCT p) >= n AS leak FROM hit GROUP BY doc_id, n""")
+), d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM documents), t AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), hit AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM t JOIN grams USING (g)), c AS (SELECT doc_id, count(DISTINCT p) AS covered FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered, 0) AS covered, len(w) >= 3 AND 2 * coalesce(covered, 0) >= len(w) AS leak FROM d LEFT JOIN c USING (doc_id)""")
 def prompt_leak(spark, d):
     """Share of a text's words that lie in word trigrams of the prompts; a leak from one half on."""
-    grams = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))
-    words = lambda t: F.filter(F.split(F.lower(F.coalesce(t, F.lit(""))), "[^\\p{L}\\p{M}\\p{N}]+"), lambda w: w != "")
-    prompts = table(spark, d, "benchmark").select(words(F.col("text")).alias("w")).select(F.explode(grams(F.col("w"))).alias("g")).distinct()
-    docs = table(spark, d, "documents").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(grams(F.col("w"))).alias("p", "g"))
-    hits = docs.join(prompts, "g", "left_semi").groupBy("doc_id", "n_words").agg(F.sort_array(F.collect_set("p")).alias("at"))
-    nexts = F.slice("at", 2, F.size("at"))
-    covered = F.aggregate(F.zip_with("at", nexts, lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))), F.lit(0), lambda s, x: s + x).cast("long")
-    return hits.select("doc_id", "n_words", covered.alias("covered")).select("*", (2 * F.col("covered") >= F.col("n_words")).alias("leak"))
+    return G.prompt_leak(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("text"), ["doc_id"])
 
 
 @query("SELECT doc_id, substr(regexp_replace(source || '/' || lang, '[^A-Za-z0-9_-]', '_', 'g'), 1, 40) || '-' || substr(sha256(text), 1, 8) AS job_id FROM documents")
@@ -145,12 +140,34 @@ def content_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", T.content_id(F.concat("source", F.lit("/"), "lang"), F.col("text")).alias("job_id"))
 
 
-@query("""WITH e AS (SELECT event_id, value, regexp_matches(event_type, '^(view|click)') AS known FROM events)
-SELECT event_id, CASE WHEN value < 1 THEN 'empty' WHEN known AND value < 10 THEN 'prompt_leak' WHEN value > 240 THEN 'compression_ratio' WHEN NOT known AND value > 120 THEN 'no_speech' END AS dropped FROM e""")
+_PHRASES = "the the|of the|stupid|disgusting"
+_SEGMENT_SQL = f"""s AS (SELECT doc_id, text, doc_id % 11 = 0 AS leak, (doc_id % 50) / 10.0 AS ratio, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 10) / 10.0 END AS silent, CASE WHEN doc_id % 4 > 0 THEN -(doc_id % 7) / 4.0 END AS logprob,
+  list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '(?i)(?:{_PHRASES})'), lambda x: lower(x))) AS hits, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0d]+')) AS words FROM documents
+), r AS (SELECT *, CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN leak THEN 'prompt_leak' WHEN ratio > 4.2 THEN 'compression_ratio' WHEN silent > 0.6 AND logprob < -1 THEN 'no_speech' WHEN len(hits) > 0 AND (words <= 12 OR len(hits) >= 2) THEN 'hallucination_phrase' END AS dropped FROM s)"""
+
+
+def _judged(spark, d):
+    """documents as transcript segments, with made-up measures, and why each is dropped."""
+    i = F.col("doc_id")
+    s = table(spark, d, "documents").select(i, "text", (i % 11 == 0).alias("leak"), (i % 50 / 10).alias("ratio"), F.when(i % 3 > 0, i % 10 / 10).alias("silent"), F.when(i % 4 > 0, -(i % 7) / 4).alias("logprob"))
+    return s.withColumn("dropped", T.drop_reason(F.col("text"), F.col("leak"), F.col("ratio"), F.col("silent"), F.col("logprob"), _PHRASES, 4.2))
+
+
+@query(f"WITH {_SEGMENT_SQL} SELECT doc_id, dropped FROM r")
 def drop_reasons(spark, d):
-    """The first reason that fits, in fixed order."""
-    v, known = F.col("value"), F.col("event_type").rlike("^(view|click)")
-    return table(spark, d, "events").select("event_id", F.when(v < 1, "empty").when(known & (v < 10), "prompt_leak").when(v > 240, "compression_ratio").when(~known & (v > 120), "no_speech").alias("dropped"))
+    return _judged(spark, d).select("doc_id", "dropped")
+
+
+@query(f"WITH {_SEGMENT_SQL} SELECT doc_id, text FROM r WHERE dropped IS NULL AND coalesce(text, '') <> ''")
+def kept_segments(spark, d):
+    return T.kept(_judged(spark, d)).select("doc_id", "text")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 5 > 0 THEN turn % 5 = 4 ELSE false END OR coalesce(length(text) % 9 = 0, false) OR coalesce(CASE WHEN turn % 3 > 0 THEN conv_id % 10 / 10.0 END, 0) > 0.5 OR coalesce(CASE WHEN conv_id % 4 > 0 THEN turn = 3 END, false) AS uncertain FROM conversations""")
+def uncertain_turns(spark, d):
+    c, t = F.col("conv_id"), F.col("turn")
+    flag = T.uncertain_turn(F.when(t % 5 > 0, t % 5 == 4), F.length("text") % 9 == 0, F.when(t % 3 > 0, c % 10 / 10), F.when(c % 4 > 0, t == 3))
+    return turns(spark, d).select("conv_id", "turn", flag.alias("uncertain"))
 
 
 @query("""WITH m AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(lower(text), '(the the|disgusting|stupid|of the)'), lambda x: x)) AS hits, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0d]+')) AS n FROM documents)
@@ -168,12 +185,12 @@ def word_beginnings(spark, d):
     return t.select("conv_id", "turn", T.stems5(F.col("text")).alias("stems"))
 
 
-@query("""WITH f AS (SELECT conv_id, turn, unnest(['role', 'text']) AS field, unnest([role, text]) AS v FROM conversations)
-SELECT conv_id, turn, field FROM f WHERE regexp_matches(v, '[à-öø-ÿ]')""")
+@query("""WITH f AS (SELECT doc_id, unnest(['case_key', 'topic', 'summary']) AS field, unnest([CASE WHEN doc_id % 3 = 0 THEN 'Тема ' || source ELSE source END, lang, replace(replace(text, 'the ', 'то '), ' and', ' и ещё-и')]) AS v FROM documents),
+h AS (SELECT doc_id, field, regexp_extract_all(coalesce(v, ''), '[Ѐ-ӿ]+(?:[\\s-]+[Ѐ-ӿ]+)*') AS hits FROM f) SELECT doc_id, field, array_to_string(hits[1:3], '|') AS hits FROM h WHERE len(hits) > 0""")
 def foreign_fields(spark, d):
-    """Fields with letters that their language does not use, one row a field."""
-    f = turns(spark, d).select("conv_id", "turn", F.expr("stack(2, 'role', role, 'text', text) AS (field, v)"))
-    return f.where(F.col("v").rlike("[à-öø-ÿ]")).select("conv_id", "turn", "field")
+    """documents as cases, some with Cyrillic where Romanian must stand."""
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Тема "), "source")).otherwise(F.col("source")).alias("case_key"), F.col("lang").alias("topic"), F.replace(F.replace("text", F.lit("the "), F.lit("то ")), F.lit(" and"), F.lit(" и ещё-и")).alias("summary"))
+    return A.foreign_fields(rows, ["doc_id"], ["case_key", "topic", "summary"]).select("doc_id", "field", F.array_join("hits", "|").alias("hits"))
 
 
 @query("""SELECT conv_id, turn, regexp_matches(lower(array_to_string(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0d]+')[1:10], ' ')), '\\b(the|der|la)\\b')

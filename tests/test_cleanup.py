@@ -1,6 +1,4 @@
 from scriven.functions import cleanup as C
-from scriven.functions.repairs import DAYS
-from scriven.operators.minutes import plain, repaired
 
 
 def test_collapse():
@@ -15,22 +13,6 @@ def test_collapse_column(spark):
     assert {r.id: (r.w, r.repetition) for r in C.with_collapsed(df, "w").collect()} == {1: (["x"], True), 2: ([], None), 3: (["a"], False)}
 
 
-def test_clauses_and_deadlines():
-    lines = {10: "vineri externăm, cinci sute", 70: "altceva"}
-    assert C.fix_by_timestamps("externare joi, 500 mg [0:10] nu s-a discutat altul [1:10] gata", lines.get) == "externare vineri, 500 [0:10] gata"
-    same = lambda k, r: k
-    assert C.checked_deadline("mâine", "relative", [], ["Mâine, la opt"], plain, same) == ("mâine", "relative")
-    assert C.checked_deadline("peste un an", "relative", [], ["Mâine, la opt"], plain, same) == (None, "relative")
-
-
-def test_sanitized():
-    fix = lambda v, a, d: repaired(v, a, d)
-    raw = '{"cases": [{"case_key": "A", "decisions": [{"decision": "joi", "quote": "vineri", "status": "APPROVED"}, {"decision": ""}, 3]}, {"case_key": " "}, 5]}'
-    out, notes = C.sanitized(raw, ("approved", "rejected"), "rejected", fix, str.strip)
-    assert [(d["decision"], d["status"]) for d in out] == [(DAYS[4], "approved")] and len(notes) == 5
-    assert C.sanitized("x", (), "", fix, str.strip) == ([], ["not JSON"])
-
-
 def test_review_sheet(spark):
     d = spark.createDataFrame([(1, "A", "do", 2), (1, "B", "go", None)], "job long, case_key string, decision string, turn_id long")
     lines = spark.createDataFrame([(1, 2, "said")], "job long, id long, line string")
