@@ -29,8 +29,11 @@ RULES = {
     "digits": ("n_digits", "word_chars", 0.1, 0.3),
     "short_words": ("n_words", "word_chars", 0.4, 0.6),
 }
-#: The most often that a rule may vote against a good document.
-MAX_FALSE_ALARM = 0.005
+#: What is expected before any count: how often a rule votes against a good and against a bad document, and the share of good ones.
+FALSE_ALARM, HIT, GOOD_SHARE = 0.005, 0.3, 0.9
+#: Weight of the first expectation, in votes for each good document; the others weigh 1 and 10 documents.
+FALSE_ALARM_WEIGHT = 1.0
+STEPS = 30
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits")
 
 
@@ -127,33 +130,35 @@ def _em_step(state: Column, patterns: Column) -> Column:
 
         return p.n / (1 + F.exp(-(F.log(state.prior / (1 - state.prior)) + _total(F.transform(p.v, odds), lambda x: x))))
 
-    def rates(ps: Column, mass, low: float, high: float, mean: float) -> Column:
+    def rates(ps: Column, mass, low: float, high: float, mean: float, weight) -> Column:
         def rate(i: Column) -> Column:
             against = _total(ps, lambda x: F.when(F.get(x.v, i) == BAD, mass(x)).otherwise(0.0))
             cast = _total(ps, lambda x: F.when(F.get(x.v, i) != ABSTAIN, mass(x)).otherwise(0.0))
-            return F.greatest(F.least((against + mean) / (cast + 1), F.lit(high)), F.lit(low))
+            return F.greatest(F.least((against + mean * weight) / (cast + weight), F.lit(high)), F.lit(low))
 
         return F.transform(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), rate)
 
     def maximised(ps: Column) -> Column:
         good, bad = lambda x: x.g, lambda x: x.n - x.g
-        prior = (_total(ps, good) + 9) / (_total(ps, lambda x: x.n) + 10)
-        return F.struct(prior.alias("prior"), rates(ps, good, 1e-4, MAX_FALSE_ALARM, MAX_FALSE_ALARM).alias("in_good"), rates(ps, bad, 0.02, 0.98, 0.3).alias("in_bad"))
+        prior = (_total(ps, good) + 10 * GOOD_SHARE) / (_total(ps, lambda x: x.n) + 10)
+        in_good = rates(ps, good, 1e-4, 0.5, FALSE_ALARM, FALSE_ALARM_WEIGHT * (_total(ps, good) + 1))
+        return F.struct(prior.alias("prior"), in_good.alias("in_good"), rates(ps, bad, 0.02, 0.98, HIT, F.lit(1.0)).alias("in_bad"))
 
     return _let(F.transform(patterns, lambda p: F.struct(p.v.alias("v"), p.n.alias("n"), good_mass(p).alias("g"))), maximised)
 
 
-def fit(features: DataFrame, steps: int = 30) -> VoteModel:
+def fit(features: DataFrame, steps: int = STEPS) -> VoteModel:
     """EM for two hidden classes over all rows that pass the base rules.
 
     The rows are first counted by vote pattern; the patterns, at most 3^6, are one array in one row, and
-    all EM steps are one fold over it. Two rates a rule come back. A rule's bounds are set so that a good
-    document rarely meets its bad side; MAX_FALSE_ALARM states how rarely, which also tells the classes apart.
+    all EM steps are one fold over it. Two rates a rule come back, both estimated. A rule's bounds are set so that a good
+    document rarely meets its bad side: FALSE_ALARM says how rarely as an expectation that weighs as much as the votes themselves.
+    Without it one informative rule alone leaves the classes undetermined.
     """
     names = list(RULES)
     patterns = features.where(~base_failed()).select(F.array(*votes()).alias("v")).groupBy("v").agg(F.count("*").cast("double").alias("n"))
     rates = lambda x: F.array(*[F.lit(float(x))] * len(names))
-    start = F.struct(F.lit(0.9).alias("prior"), rates(MAX_FALSE_ALARM).alias("in_good"), rates(0.3).alias("in_bad"))
+    start = F.struct(F.lit(GOOD_SHARE).alias("prior"), rates(FALSE_ALARM).alias("in_good"), rates(HIT).alias("in_bad"))
     row = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("patterns")).select(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda state, _: _em_step(state, F.col("patterns"))).alias("m")).first()
     return VoteModel(row.m.prior, {n: (g, b) for n, g, b in zip(names, row.m.in_good, row.m.in_bad, strict=True)})
 
@@ -170,7 +175,33 @@ def judged(features: DataFrame, model: VoteModel) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = written(with_features(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality")
-    return judged(features, fit(features)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "good_probability")
+    return judged(features, fit(features)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.floor(100 * F.col("good_probability") + 0.5).alias("good_percent"))
+
+
+def oracle() -> str:
+    """The query in DuckDB's SQL: counts, votes, and one pair of tables for each step of EM."""
+    k, words = range(len(RULES)), "[^\\x20\\x09-\\x0d]+"
+    vote = lambda top, bottom, good, bad: f"CASE WHEN {bottom} = 0 THEN 0 WHEN {top}::DOUBLE / {bottom} > {bad}::DOUBLE THEN -1 WHEN {top}::DOUBLE / {bottom} <= {good}::DOUBLE THEN 1 ELSE 0 END"
+    votes_ = ", ".join(f"{vote(*rule)} AS v{i}" for i, rule in enumerate(RULES.values()))
+    odds = " + ".join(["ln(prior / (1 - prior))", *(f"CASE v{i} WHEN -1 THEN ln(g{i} / b{i}) WHEN 1 THEN ln((1 - g{i}) / (1 - b{i})) ELSE 0 END" for i in k)])
+
+    def rate(i: int, mass: str, low: float, high: float, mean: float, weight: str) -> str:
+        return f"greatest(least((sum(CASE WHEN v{i} = -1 THEN {mass} ELSE 0 END) + {mean}::DOUBLE * {weight}) / (sum(CASE WHEN v{i} <> 0 THEN {mass} ELSE 0 END) + {weight}), {high}::DOUBLE), {low}::DOUBLE)"
+
+    steps = [f"m0 AS (SELECT {GOOD_SHARE}::DOUBLE AS prior, {', '.join(f'{FALSE_ALARM}::DOUBLE AS g{i}, {HIT}::DOUBLE AS b{i}' for i in k)})"]
+    for step in range(1, STEPS + 1):
+        rates = ", ".join(f"{rate(i, 'g', 1e-4, 0.5, FALSE_ALARM, f'({FALSE_ALARM_WEIGHT}::DOUBLE * (sum(g) + 1))')} AS g{i}, {rate(i, '(n - g)', 0.02, 0.98, HIT, '1.0::DOUBLE')} AS b{i}" for i in k)
+        steps.append(f"e{step} AS (SELECT {', '.join(f'v{i}' for i in k)}, n, n / (1 + exp(-({odds}))) AS g FROM p, m{step - 1})")
+        steps.append(f"m{step} AS (SELECT (sum(g) + {10 * GOOD_SHARE}::DOUBLE) / (sum(n) + 10) AS prior, {rates} FROM e{step})")
+    return f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{words}') AS w FROM documents),
+l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{words}')) AS lines FROM t),
+x AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS times FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+r AS (SELECT rid, count(DISTINCT place) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS place FROM x WHERE times > 1) GROUP BY rid),
+f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, len(regexp_extract_all(text, '\\p{{Lu}}')) AS n_upper, len(regexp_extract_all(text, '[0-9]')) AS n_digits FROM l LEFT JOIN r USING (rid)),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {votes_} FROM f),
+p AS (SELECT {', '.join(f'v{i}' for i in k)}, count(*)::DOUBLE AS n FROM j WHERE NOT base_failed GROUP BY ALL), {', '.join(steps)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 1 / (1 + exp(-({odds}))) >= 0.5 AS kept, floor(100 / (1 + exp(-({odds}))) + 0.5)::BIGINT AS good_percent FROM j, m{STEPS}"""
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-#: Expectation-maximisation has no SQL twin; tests/llm holds op10 against a plain Python version.
+#: Those without a twin are held against brute force, exact round trips or held-out accuracy in tests/llm.
 ORACLES: dict[str, str] = {
+    "op10_quality_rules": quality.oracle(),
     "op2_chat_format": chat.oracle(),
     "op3_line_dedup": line_dedup.OP3_SQL,
 }
