@@ -6,8 +6,9 @@ item's score against itself, with each distinct query word once: 1 means that al
 there. Items stand in blocks; for each word and block the index keeps the largest score that the word can add
 to an item there. A passage visits only the blocks whose sum of such bounds reaches RETRIEVE (block-max
 WAND, worked off for many passages at once in arrays) and scores their items exactly.
-Each item retrieved is verified on five-word shingles of its question and its answer: both overlaps are
-reported, and the document is contaminated if it holds at least OVERLAP of the shingles of the two.
+Each item retrieved is verified on five-word shingles of its question and its answer: the document is contaminated if it
+holds at least OVERLAP of the shingles of the two together and at least PART_OVERLAP of each, so a question without its
+answer is not. Both overlaps are reported.
 
 The question is the item up to its last "?", else its last line end, else its last sentence end; the answer is
 the rest, empty if nothing remains. The index is used in parts of at most PART_WORDS words, one after
@@ -34,7 +35,7 @@ from .common import doc_id_of, doc_key, table, written
 from .near_dedup import WORDS, _chunks, mixed
 
 K1, B = 1.2, 0.75
-RETRIEVE, OVERLAP = 0.5, 0.8
+RETRIEVE, OVERLAP, PART_OVERLAP = 0.5, 0.8, 0.5
 BLOCK_ITEMS, PART_WORDS = 8, 1_000_000
 
 
@@ -196,7 +197,7 @@ def _matches(docs: DataFrame, index: Index) -> DataFrame:
                 for doc, at, item, score in index.retrieve(words, lengths):
                     passage = words[starts[doc] + at : min(starts[doc] + at + 2 * index.span, starts[doc] + lengths[doc])]
                     q, a, both = index.overlaps(item, passage)
-                    if both >= OVERLAP:
+                    if both >= OVERLAP and min(q, a) >= PART_OVERLAP:
                         out.append((ids[doc], int(index.item_ids[item]), index.public_ids[item], score, q, a))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.float64()] * 3)], ["_id", "item", "item_id", "score", "question_overlap", "answer_overlap"])

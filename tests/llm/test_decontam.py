@@ -72,3 +72,19 @@ def test_empty_tables(spark):
     assert D.contaminated(d, b.limit(0)).count() == 0
     assert D.contaminated(d.limit(0), b).count() == 0
     assert D.contaminated(d, b).count() == 1
+
+
+def test_a_question_without_its_answer_is_no_copy(spark):
+    question, answer = " ".join(f"q{i}" for i in range(40)) + "?", "one two three four"
+    d = spark.createDataFrame([(1, question, "x"), (2, f"{question} {answer}", "x"), (3, answer, "x"), (4, f"{question} x {answer} y", "x")], DOCS)
+    b = spark.createDataFrame([(7, f"{question} {answer}", 1)], ITEMS)
+    assert {r._id for r in D.contaminated(d, b).collect()} == {2, 4}
+
+
+def test_one_very_long_item_and_long_documents(spark):
+    rng = random.Random(9)
+    long, short = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(n)) + "? yes indeed" for c, n in (("l", 5000), ("s", 12)))
+    filler = " ".join(f"f{i}" for i in range(60_000))
+    d = spark.createDataFrame([(1, f"{filler} {short} {filler}", "x"), (2, f"{filler} {long}", "x"), (3, filler, "x")], DOCS)
+    b = spark.createDataFrame([(1, short, 1), (2, long, 1)], ITEMS)
+    assert {(r._id, r.item_id) for r in D.contaminated(d, b).collect()} == {(1, 1), (2, 2)}
