@@ -12,8 +12,9 @@ An anchor with more than HOT contexts is not one shard's: its windows are groupe
 
 Equal contexts are found by 128 bits of hashes (anchor and content).
 
-Defined cases: null text is empty; a null doc_id comes before all others; rows that share a doc_id are each cut by
-all spans found under it; an empty table gives no row; other columns are left out.
+Defined cases: null text is empty; a null doc_id comes before all others; different texts of one doc_id (or of none) are
+documents of their own, in order of a hash of the text; rows of one doc_id and equal text are one document, each given back
+alike; an empty table gives no row; other columns are left out.
 """
 
 from __future__ import annotations
@@ -170,8 +171,8 @@ def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, most: int = 256)
     return np.maximum(out[base] - (place - base), 0)
 
 
-def repeats_in_shard(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, stop) of the bytes of windows in contexts that start earlier in another of them."""
+def repeats_in_shard(contexts: list[bytes], docs: np.ndarray, subs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, its text, start, stop) of the bytes of windows in contexts that start earlier in another of them."""
     data = np.frombuffer(b"".join([c + bytes([SEPARATOR]) for c in contexts]), np.uint8)
     lengths = np.array([len(c) + 1 for c in contexts])
     of = np.repeat(np.arange(len(contexts)), lengths)
@@ -180,8 +181,8 @@ def repeats_in_shard(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray
     sa = suffix_array(data)
     group = np.cumsum(permuted_common_prefixes(data, sa)[sa] < LENGTH)
     at, group = sa[window[sa]], group[window[sa]]
-    doc, start = docs[of[at]], starts[of[at]] + inside[at]
-    order = np.lexsort((start, doc, group))
+    doc, sub, start = docs[of[at]], subs[of[at]], starts[of[at]] + inside[at]
+    order = np.lexsort((start, sub, doc, group))
     first = np.ones(len(order), bool)
     first[1:] = group[order][1:] != group[order][:-1]
     gone = np.sort(at[order[~first]])
@@ -190,7 +191,7 @@ def repeats_in_shard(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray
     low = np.flatnonzero(edge)
     high = np.append(low[1:], len(gone)) - 1
     a, b = gone[low], gone[high] if len(gone) else gone
-    return docs[of[a]], starts[of[a]] + inside[a], starts[of[a]] + inside[b] + LENGTH
+    return docs[of[a]], subs[of[a]], starts[of[a]] + inside[a], starts[of[a]] + inside[b] + LENGTH
 
 
 # --- anchors
@@ -254,7 +255,7 @@ def _byte_chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = np.asarray(batch.column("_id"))
+        ids, subs = np.asarray(batch.column("_id")), np.asarray(batch.column("_sub"))
         for start, texts in _byte_chunks(batch):
             # a document over CHUNK_BYTES is cut into pieces that overlap by all but one byte of a window
             pieces, owner, offset = [], [], []
@@ -270,22 +271,21 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     size += len(pieces[stop])
                     stop += 1
                 doc, at, n, h, content = anchors(np.frombuffer(b"".join(pieces[k:stop]), np.uint8), np.array([len(p) for p in pieces[k:stop]]))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[owner[k + doc]]), pa.array((offset[k + doc] + at) << 8 | n)], ["anchor", "content", "_id", "extent"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[owner[k + doc]]), pa.array(subs[owner[k + doc]]), pa.array((offset[k + doc] + at) << 8 | n)], ["anchor", "content", "_id", "_sub", "extent"])
                 k = stop
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = {"anchor": [], "_id": [], "start": [], "bytes": []}
-        for key, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("_id", "text", "wanted"))):
+        out = {"anchor": [], "_id": [], "_sub": [], "start": [], "bytes": []}
+        for key, sub, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("_id", "_sub", "text", "wanted"))):
             raw = text.encode()
             for w in wanted:
                 start, n = w["extent"] >> 8, w["extent"] & 255
                 piece = raw[start : start + n + LENGTH - 1]
-                if len(piece) == n + LENGTH - 1:
-                    for c, v in zip(out, (w["anchor"], key, start, piece)):
-                        out[c].append(v)
-        yield pa.RecordBatch.from_pydict({"anchor": pa.array(out["anchor"], pa.int64()), "_id": pa.array(out["_id"], pa.int64()), "start": pa.array(out["start"], pa.int64()), "bytes": pa.array(out["bytes"], pa.binary())})
+                for c, v in zip(out, (w["anchor"], key, sub, start, piece)):
+                    out[c].append(v)
+        yield pa.RecordBatch.from_pydict({"anchor": pa.array(out["anchor"], pa.int64()), "_id": pa.array(out["_id"], pa.int64()), "_sub": pa.array(out["_sub"], pa.int64()), "start": pa.array(out["start"], pa.int64()), "bytes": pa.array(out["bytes"], pa.binary())})
 
 
 def _shard_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,48 +293,51 @@ def _shard_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size, last = [], 0, None
 
     def solved():
-        docs, starts = (np.array([r[k] for r in held], np.int64) for k in (1, 2))
-        out = repeats_in_shard([r[3] for r in held], docs, starts)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["_id", "start", "stop"])
+        docs, subs, starts = (np.array([r[k] for r in held], np.int64) for k in (1, 2, 3))
+        out = repeats_in_shard([r[4] for r in held], docs, subs, starts)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["_id", "_sub", "start", "stop"])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "_id", "start", "bytes"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "_id", "_sub", "start", "bytes"))):
             if size >= SHARD_BYTES and row[0] != last:
                 yield solved()
                 held, size = [], 0
             held.append(row)
-            size += len(row[3]) + 1
+            size += len(row[4]) + 1
             last = row[0]
     if held:
         yield solved()
 
 
-SPAN = "_id long, start long, stop long"
+SPAN = "_id long, _sub long, start long, stop long"
+DOC = ["_id", "_sub"]
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs(_id, text) to (_id, start, stop): bytes under a window that also starts earlier; spans may overlap."""
-    found = docs.mapInArrow(_anchor_rows, "anchor long, content long, _id long, extent long")
+    """docs(_id, _sub, text), each once, to (_id, _sub, start, stop): bytes under a window that also starts earlier; spans may overlap."""
+    found = docs.mapInArrow(_anchor_rows, "anchor long, content long, _id long, _sub long, extent long")
     again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     seen = written(found.join(again, "anchor", "left_semi"), "anchors")
-    first = written(seen.groupBy("anchor", "content").agg(F.min(F.struct("_id", "extent")).alias("first"), F.count("*").alias("n")), "contexts")
-    copies = seen.join(first.where("n > 1").drop("n"), ["anchor", "content"]).where(F.struct("_id", "extent") != F.col("first"))
+    place = F.struct(*DOC, "extent")
+    first = written(seen.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")), "contexts")
+    copies = seen.join(first.where("n > 1").drop("n"), ["anchor", "content"]).where(place != F.col("first"))
     start = F.shiftright("extent", 8)
-    spans = copies.select("_id", start.alias("start"), (start + F.col("extent").bitwiseAND(255) + LENGTH - 1).alias("stop"))
+    spans = copies.select(*DOC, start.alias("start"), (start + F.col("extent").bitwiseAND(255) + LENGTH - 1).alias("stop"))
 
     several = first.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    wanted = first.join(several, "anchor").select("first._id", F.struct("anchor", "first.extent").alias("w"))
-    per_doc = wanted.groupBy("_id").agg(F.collect_list("w").alias("wanted"))
-    contexts = docs.join(per_doc, "_id").mapInArrow(_cut_contexts, "anchor long, _id long, start long, bytes binary")
+    wanted = first.join(several, "anchor").select("first._id", "first._sub", F.struct("anchor", "first.extent").alias("w"))
+    per_doc = wanted.groupBy(*DOC).agg(F.collect_list("w").alias("wanted"))
+    contexts = docs.join(per_doc, DOC).mapInArrow(_cut_contexts, "anchor long, _id long, _sub long, start long, bytes binary")
     contexts = written(contexts, "context-bytes")
     hot = written(several.where(F.col("contexts") > HOT).select("anchor"), "hot-anchors")
     shards = contexts.join(hot, "anchor", "left_anti").repartition(shuffle_partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
     spans = spans.unionByName(shards.mapInArrow(_shard_spans, SPAN))
-    windows = contexts.join(hot, "anchor", "left_semi").select("_id", "start", "bytes", F.explode(F.sequence(F.lit(0), F.length("bytes") - LENGTH)).alias("k"))
-    windows = windows.select("_id", (F.col("start") + F.col("k")).alias("start"), F.sha2(F.substring("bytes", F.col("k") + 1, F.lit(LENGTH)), 256).alias("window"))
-    earliest = windows.groupBy("window").agg(F.min(F.struct("_id", "start")).alias("first"))
-    later = windows.join(earliest, "window").where(F.struct("_id", "start") != F.col("first"))
-    return spans.unionByName(later.select("_id", "start", (F.col("start") + LENGTH).alias("stop")))
+    windows = contexts.join(hot, "anchor", "left_semi").select(*DOC, "start", "bytes", F.explode(F.sequence(F.lit(0), F.length("bytes") - LENGTH)).alias("k"))
+    windows = windows.select(*DOC, (F.col("start") + F.col("k")).alias("start"), F.sha2(F.substring("bytes", F.col("k") + 1, F.lit(LENGTH)), 256).alias("window"))
+    at = F.struct(*DOC, "start")
+    earliest = windows.groupBy("window").agg(F.min(at).alias("first"))
+    later = windows.join(earliest, "window").where(at != F.col("first"))
+    return spans.unionByName(later.select(*DOC, "start", (F.col("start") + LENGTH).alias("stop")))
 
 
 def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,9 +361,12 @@ def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row of docs."""
-    own = docs.select(doc_key().alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = written(repeated_spans(own), "spans").groupBy("_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return own.join(spans, "_id", "left").select("_id", "text", "spans").mapInArrow(_remaining, "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    own = docs.select(doc_key().alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("_sub", F.xxhash64("text"))
+    # rows of one doc_id and equal text are one document: only such ids are told apart, so texts are not shuffled for it
+    twice = written(own.groupBy(*DOC).agg(F.count("*").alias("n")).where("n > 1").select(*DOC), "repeated-rows")
+    single = own.join(twice, DOC, "left_anti").unionByName(own.join(twice, DOC).dropDuplicates(DOC)) if twice.limit(1).count() else own
+    spans = written(repeated_spans(single), "spans").groupBy(*DOC).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return own.join(spans, DOC, "left").select("_id", "text", "spans").mapInArrow(_remaining, "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

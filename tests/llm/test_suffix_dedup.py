@@ -44,6 +44,21 @@ def test_matches_brute_force(spark, monkeypatch, settings):
     assert got == brute(docs)
 
 
+@pytest.mark.parametrize("settings", [{}, {"HOT": 1}])
+def test_repeated_ids_are_documents_of_their_own(spark, monkeypatch, settings):
+    for k, v in settings.items():
+        monkeypatch.setattr(S, k, v)
+    rng = random.Random(5)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    rows = [(1, a), (2, b), (2, "pre " + a), (None, c), (None, c + a), (7, c), (7, c), (9, a + b)]
+    hashed = {t: h for t, h in spark.createDataFrame([(t,) for _, t in rows], "t string").selectExpr("t", "xxhash64(t)").collect()}
+    distinct = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]))
+    want = brute([(i, t) for i, (_, t) in enumerate(distinct)])
+    expected = sorted((str(i), *want[distinct.index((i, t))]) for i, t in rows)
+    got = S.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r._id if r._id != -(2**63) else None), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == expected
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(4)
     for n, k in ((1, 3), (2, 1), (50, 2), (800, 3), (3000, 250), (400, 1)):
