@@ -1,9 +1,10 @@
-"""Toxicity by a classifier chain: linear models for the categories in order, each fed the earlier probabilities.
+"""Toxicity by a classifier chain: linear models for the categories of the labels table in order, quality then toxic,
+each fed the probabilities of the earlier ones.
 
 Features are a document's distinct words and word beginnings, hashed into 2^18 places; for each category the KEPT places that tell it
-best apart (chi-squared on the sample) enter a logistic regression with L2, beside the log-odds that the
-earlier models gave. While training, those come from models that did not see the document (out of fold), so a
-later model learns how far to trust an earlier one on new text.
+best apart (chi-squared on the sample) enter a logistic regression with L2, beside the probabilities that the
+earlier models gave. While training, those come from models that did not see the document, nor chose their
+features by it (out of fold), so a later model learns how far to trust an earlier one on new text.
 
 Training reads a bounded sample, SAMPLE labelled documents in the order of a hash of their id; scoring reads
 every document whole. The model, at most 2^18 weights a category, is all that is broadcast.
@@ -29,13 +30,7 @@ from .common import doc_id_of, doc_key, table
 PLACES, KEPT, SAMPLE, FOLDS = 1 << 18, 300, 6000, 3
 #: Letters of the word beginnings that are features beside whole words, for words not seen in training.
 STEMS = (4, 5)
-#: The labels table has one verdict, toxic. The categories before it are where such a document holds one of these words.
-SEEDS = {
-    "insult": ("idiot", "moron", "loser", "clown"),
-    "contempt": ("pathetic", "disgusting", "stupid"),
-    "dehumanising": ("scum", "trash", "worthless"),
-}
-CHAIN = (*SEEDS, "toxic")
+CHAIN = ("quality", "toxic")
 
 
 def places(text: Column) -> Column:
@@ -59,12 +54,12 @@ class Texts:
         x[self.doc[hit], at[hit]] = 1
         return x
 
-    def telling(self, y: np.ndarray) -> np.ndarray:
-        """The KEPT places with the largest chi-squared against y."""
-        n, pos = self.n, y.sum()
-        all_, with_ = np.bincount(self.flat, minlength=PLACES), np.bincount(self.flat[y[self.doc] > 0], minlength=PLACES)
-        expected = all_ * pos / n
-        spread = expected * (1 - pos / n) * (1 - all_ / n)
+    def telling(self, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The KEPT places with the largest chi-squared against y among the documents `rows`."""
+        n, pos, seen = rows.sum(), y[rows].sum(), rows[self.doc]
+        all_, with_ = np.bincount(self.flat[seen], minlength=PLACES), np.bincount(self.flat[seen & (y[self.doc] > 0)], minlength=PLACES)
+        expected = all_ * pos / max(n, 1)
+        spread = expected * (1 - pos / max(n, 1)) * (1 - all_ / max(n, 1))
         chi = np.where((all_ >= 5) & (spread > 0), (with_ - expected) ** 2 / np.maximum(spread, 1e-12), 0)
         best = np.argsort(-chi, kind="stable")[:KEPT]
         return np.sort(best[chi[best] > 0])
@@ -88,18 +83,18 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, turns: int = 8) -> n
 
 @dataclass
 class Link:
-    """A model of the chain: weights of kept places, then of the earlier log-odds, then the constant; None: never labelled."""
+    """A model of the chain: weights of kept places, then of the earlier probabilities, then the constant; None: never labelled."""
 
     kept: np.ndarray
     weights: np.ndarray | None
 
-    def log_odds(self, texts: Texts, earlier: np.ndarray) -> np.ndarray:
+    def probability(self, texts: Texts, earlier: np.ndarray) -> np.ndarray:
         if self.weights is None:
-            return np.full(texts.n, -30.0)
+            return np.zeros(texts.n)
         k = len(self.kept)
         at = np.minimum(np.searchsorted(self.kept, texts.flat), max(k - 1, 0))
         per = np.where(self.kept[at] == texts.flat, self.weights[:k][at], 0) if k else np.zeros(len(texts.flat))
-        return np.clip(np.bincount(texts.doc, per, texts.n) + earlier @ self.weights[k:-1] + self.weights[-1], -30, 30)
+        return 1 / (1 + np.exp(-np.clip(np.bincount(texts.doc, per, texts.n) + earlier @ self.weights[k:-1] + self.weights[-1], -30, 30)))
 
 
 def fit_chain(texts: Texts, labels: np.ndarray) -> list[Link]:
@@ -107,21 +102,18 @@ def fit_chain(texts: Texts, labels: np.ndarray) -> list[Link]:
     fold = np.arange(texts.n) % FOLDS
     earlier, chain = np.zeros((texts.n, 0)), []
 
-    def fitted(rows: np.ndarray, y: np.ndarray, kept: np.ndarray, x: np.ndarray) -> Link:
+    def fitted(rows: np.ndarray, y: np.ndarray) -> Link:
         rows = rows & ~np.isnan(y)
         if not rows.any() or not (y[rows] > 0).any():
-            return Link(kept, None)
-        return Link(kept, logistic(np.hstack([x[rows], earlier[rows]]), y[rows]))
+            return Link(np.zeros(0, int), None)
+        kept = texts.telling(np.nan_to_num(y), rows)
+        return Link(kept, logistic(np.hstack([texts.dense(kept)[rows], earlier[rows]]), y[rows]))
 
     for y in labels.T:
-        known = np.nan_to_num(y)
-        kept = texts.telling(known)
-        x = texts.dense(kept)
         held_out = np.zeros(texts.n)
         for f in range(FOLDS):
-            link = fitted(fold != f, y, kept, x)
-            held_out[fold == f] = link.log_odds(texts, earlier)[fold == f]
-        chain.append(fitted(np.ones(texts.n, bool), y, kept, x))
+            held_out[fold == f] = fitted(fold != f, y).probability(texts, earlier)[fold == f]
+        chain.append(fitted(np.ones(texts.n, bool), y))
         earlier = np.hstack([earlier, held_out[:, None]])
     return chain
 
@@ -130,8 +122,8 @@ def chain_scores(chain: list[Link], texts: Texts) -> np.ndarray:
     """Probabilities, one column a category."""
     earlier = np.zeros((texts.n, 0))
     for link in chain:
-        earlier = np.hstack([earlier, link.log_odds(texts, earlier)[:, None]])
-    return 1 / (1 + np.exp(-earlier))
+        earlier = np.hstack([earlier, link.probability(texts, earlier)[:, None]])
+    return earlier
 
 
 def _texts(column: pa.ListArray) -> Texts:
@@ -167,18 +159,15 @@ def scored(docs: DataFrame, chain: list[Link], categories: Sequence[str]) -> Dat
     return rows.mapInArrow(run, "_id long, " + ", ".join(f"`{c}` double" for c in categories))
 
 
-def seeded_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(_id, CHAIN): the labels table's verdict, and it split by the seed words that the text holds."""
-    verdict = labels.where("toxic IS NOT NULL").groupBy(doc_key().alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    sample = verdict.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "[^\\p{L}\\p{N}]+"))
-    held = docs.select(doc_key().alias("_id"), words.alias("w")).join(F.broadcast(sample), "_id")
-    split = [F.when(F.arrays_overlap("w", F.array(*map(F.lit, seeds))), F.col("toxic")).otherwise(0).alias(c) for c, seeds in SEEDS.items()]
-    return held.select("_id", *split, "toxic").dropDuplicates(["_id"])
+def verdicts(labels: DataFrame) -> DataFrame:
+    """(_id, CHAIN): the labels table, one row a document; a null label is none of that category."""
+    said = [F.max(F.col(c).cast("int")).alias(c) for c in CHAIN]
+    known = F.coalesce(*[F.col(c).cast("int") for c in CHAIN]).isNotNull()
+    return labels.where(known).groupBy(doc_key().alias("_id")).agg(*said)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    chain = train(docs, seeded_labels(docs, table(spark, sf_dir, "labels")), CHAIN)
+    chain = train(docs, verdicts(table(spark, sf_dir, "labels")), CHAIN)
     out = scored(docs, chain, CHAIN)
     return out.select(doc_id_of(F.col("_id")).alias("doc_id"), *[F.col(c).alias(f"p_{c}") for c in CHAIN], (F.col("toxic") >= 0.5).alias("toxic"))
