@@ -29,13 +29,19 @@ def doc_id_of(key: Column) -> Column:
     return F.when(key != NULL_ID, key)
 
 
+#: Tables that `written` has made, in order.
+_PATHS: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the cluster names none, a temporary one (tests)."""
+    """The folder that driver and executors share; where the session names none, a temporary one, in local mode alone (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="scriven-")
         atexit.register(shutil.rmtree, path, True)
         sc.setCheckpointDir(path)
@@ -47,8 +53,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scriven-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _PATHS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession, start: int, stop: int | None = None) -> None:
+    """Deletes the tables that `written` made from number start up to stop: for a caller that has read or written all it wants of them."""
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _PATHS[start:stop]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+    del _PATHS[start:stop]
+
+
+def n_written() -> int:
+    return len(_PATHS)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

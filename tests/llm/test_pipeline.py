@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+import pytest
+
 import corpus_pipeline as C
 from scriven.llm import quality as Q
 
@@ -67,6 +69,26 @@ def test_stages_in_turn(spark):
     assert {r.doc_id for r in pieces} == set(after)
 
 
+def test_intermediate_tables_go(spark, tmp_path):
+    from scriven.llm import common
+
+    before = common.n_written()
+    a, b = (common.written(spark.range(3), n) for n in "ab")
+    assert a.count() == 3
+    common.drop_written(spark, before, before + 1)
+    assert b.count() == 3 and common.n_written() == before + 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        a.count()
+    common.drop_written(spark, before)
+    assert common.n_written() == before
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in C.STAGES:
+        assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0
+
+
 def test_extra_columns_and_nulls_pass(spark):
     docs = spark.createDataFrame([(None, None, None, "s", None, "v"), (1, "a b " * 40 + "end of it all here", "en", None, 3, None), (1, "a b " * 40 + "end of it all here", "en", None, 3, None)], "doc_id long, text string, lang string, source string, n_chars long, n_words string")
     for _, stage in C.STAGES[:-1]:
