@@ -108,3 +108,17 @@ def foreign_fields(rows: DataFrame, keys: list[str], fields: list[str]) -> DataF
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x")
     found = rows.select(*keys, pairs).select(*keys, "x.field", F.regexp_extract_all(F.coalesce("x.text", F.lit("")), F.lit(CYRILLIC), F.lit(0)).alias("hits"))
     return found.where(F.size("hits") > 0).withColumn("hits", F.slice("hits", 1, 3))
+
+
+def problems(cases: DataFrame, decisions: DataFrame, lines: DataFrame) -> DataFrame:
+    """(job, window, no, problem): where a response breaks its own rules: a status, deadline type outside the lists, a quote or deadline that is
+    in no line(job, window, id, text) of the window, a condition on an unconditional deadline, a case given twice."""
+    said = lines.groupBy("job", "window").agg(T.quote_norm(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), " ")).alias("_said"))
+    there = lambda c: F.coalesce("_said", F.lit("")).contains(T.quote_norm(F.col(c)))
+    wrong = lambda *pairs: F.explode(F.array_compact(F.array(*[F.when(cond, F.lit(text)) for cond, text in pairs])))
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    d = decisions.join(said, ["job", "window"], "left").select("job", "window", "no", wrong((~F.coalesce("status", F.lit("")).isin(*M.STATUSES), "status"), (~filled("quote") | ~there("quote"), "quote")).alias("problem"))
+    twice = F.count("*").over(Window.partitionBy("job", "window", "case_key"))
+    c = cases.withColumn("_n", twice).join(said, ["job", "window"], "left")
+    c = c.select("job", "window", "no", wrong((~F.coalesce("eta_type", F.lit("")).isin(*M.ETA_TYPES), "deadline type"), (filled("eta_raw") & ~there("eta_raw"), "deadline"), (filled("eta_condition") & (F.col("eta_type") != "conditional"), "condition"), (F.col("_n") > 1, "case given twice")).alias("problem"))
+    return d.unionByName(c)

@@ -4,34 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+STEPS = {"queued": 0, "running": 1, "done": 2, "failed": 2}
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
 
 def watch(spark: SparkSession, inbox: str, schema: str, state: str, checkpoint: str, process: Callable[[DataFrame], None]) -> StreamingQuery:
     """Runs what lies in the inbox and stops; a next call takes only what is new. process gets each batch of records.
 
-    Each job of a batch is logged as running, then done or failed, under its batch id, so a batch that runs
-    again after a crash is seen as such.
+    The stream keeps no state: a record (job, id) is new if the log of taken records, beside `state`, does not hold it from another
+    batch, an anti join. Each job of a batch is logged as queued, running, then done or failed, under its batch id, so a batch that
+    runs again after a crash is seen as such.
     """
+    taken = f"{state.rstrip('/')}-records"
 
     def log(jobs: DataFrame, batch: int, status: str) -> None:
-        jobs.select("job", F.lit(batch).cast("long").alias("batch"), F.lit(status).alias("status"), F.lit({"running": 0, "done": 1, "failed": 1}[status]).alias("step")).write.mode("append").parquet(state)
+        jobs.select("job", F.lit(batch).cast("long").alias("batch"), F.lit(status).alias("status"), F.lit(STEPS[status]).alias("step")).write.mode("append").parquet(state)
 
     def run(batch: DataFrame, number: int) -> None:
-        jobs = batch.select("job").distinct().persist()
+        before = _read(spark, taken)
+        fresh = batch.dropDuplicates(["job", "id"])
+        if before is not None:
+            fresh = fresh.join(before.where(F.col("batch") != number).select("job", "id"), ["job", "id"], "left_anti")
+        fresh = fresh.persist()
+        jobs = fresh.select("job").distinct()
         try:
+            log(jobs, number, "queued")
+            fresh.select("job", "id", F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(taken)
             log(jobs, number, "running")
-            process(batch)
+            process(fresh)
             log(jobs, number, "done")
         except Exception:
             log(jobs, number, "failed")
             raise
         finally:
-            jobs.unpersist()
+            fresh.unpersist()
 
-    records = spark.readStream.schema(schema).json(inbox).dropDuplicates(["job", "id"])
+    records = spark.readStream.schema(schema).json(inbox)
     return records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -158,3 +158,11 @@ def test_reports(spark):
     assert [(r.window, r.n) for r in A.repeated_keys(loops).collect()] == [(0, 3)]
     rows = spark.createDataFrame([(1, "bine", "тест раз и два x три"), (2, None, "ok")], "id long, topic string, summary string")
     assert [tuple(r) for r in A.foreign_fields(rows, ["id"], ["topic", "summary"]).collect()] == [(1, "summary", ["тест раз и два", "три"])]
+
+
+def test_problems_of_a_response(spark):
+    lines = table(spark, [(0, 0, "Mergem pe amoxicilină"), (0, 1, "de joi")], "job long, window long, id long, text string")
+    cases = table(spark, [case(0, 0, "a", eta=("relative", "de joi", None)), case(0, 1, "a", eta=("soon", "luni", "dacă"))], CASES)
+    decisions = table(spark, [said(0, 0, 0, 0, "x", quote="pe amoxicilină, de joi"), said(0, 1, 0, 0, "y", status="da", quote="altceva"), said(0, 1, 1, 0, "z")], DECISIONS)
+    got = sorted((r.no, r.problem) for r in A.problems(cases, decisions, lines).collect())
+    assert got == [(0, "case given twice"), (1, "case given twice"), (1, "condition"), (1, "deadline"), (1, "deadline type"), (1, "quote"), (1, "quote"), (1, "status")]

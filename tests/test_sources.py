@@ -40,10 +40,47 @@ def test_shapes_and_names(spark):
 
 
 def test_sinks(spark, tmp_path):
-    df = spark.createDataFrame([(1, "Caz <1>", "a & b", "approved", False), (1, "Caz <1>", "x", "approved", True)], "job long, case_key string, decision string, status string, superseded boolean")
-    assert sinks.minutes_html(df).first().html == "<h2>Caz &lt;1&gt;</h2><ul><li>a &amp; b <em>approved</em></li></ul>"
+    df = spark.createDataFrame([(1, "a"), (2, "b|c")], "job long, decision string")
     assert sinks.append_ledger(df, f"{tmp_path}/l").count() == 2 and sinks.append_ledger(df, f"{tmp_path}/l").count() == 4
-    assert sinks.markdown_table(df.select("job", "decision")).first().line == "| job | decision |"
+    assert [r.line for r in sinks.markdown_table(df).collect()] == ["| job | decision |", "|---|---|", "| 1 | a |", "| 2 | b\\|c |"]
+
+
+def test_replaced_json_keeps_the_old_until_the_new_is_whole(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    for rows in ([(1,)], [(2,), (3,)]):
+        sinks.write_json(spark.createDataFrame(rows, "x long"), path)
+        assert sorted(r.x for r in spark.read.json(path).collect()) == [x for (x,) in rows]
+    with pytest.raises(Exception, match="no rows today"):
+        sinks.write_json(spark.range(1).selectExpr("raise_error('no rows today') AS x"), path)
+    assert spark.read.json(path).count() == 2 and len([p for p in tmp_path.iterdir() if ".old" in p.name]) == 0
+
+
+def test_minutes_pages(spark):
+    cases = spark.createDataFrame([(1, 0, "Caz <1>", "temă", "rezumat", "relative", "joi", None), (1, 1, "Gol", "", "", "none", None, None)], "job long, case_no long, case_key string, topic string, summary string, eta_type string, eta_raw string, eta_condition string")
+    decisions = spark.createDataFrame([(1, 0, 0, 4, 65.0, "a & b", "aprobat", "q", True, None), (1, 0, 1, None, 70.0, "c", "respins", "", False, "quote not found")], "job long, case_no long, place int, turn_id long, at double, decision string, status string, quote string, superseded boolean, flag string")
+    facts = spark.createDataFrame([(1, 0, 0, "analize", "f1", 5.0), (1, 0, 1, "istoric", "f2", None)], "job long, case_no long, place int, category string, fact string, at double")
+    questions = spark.createDataFrame([(1, 0, 0, "când?")], "job long, case_no long, place long, question string")
+    page = sinks.minutes_html(cases, decisions, facts, questions).first().html
+    for part in ("<h2>1. Caz &lt;1&gt; — temă</h2><p>rezumat</p>", "<tr><th>Diagnostic și istoric</th><td>f2 [00:00]</td></tr><tr><th>Paraclinic</th><td>f1 [00:05]</td></tr>", "<li><em>decis</em> <s>a &amp; b</s> [01:05]<q>q</q></li>", "<li><em>respins</em> c [01:10]<div>Termen: joi</div><div>⚠ quote not found</div></li>", "<li>când?</li>", "<h2>2. Gol</h2><p>Fără decizii noi.</p>", "<h2>Note pentru verificare</h2><ul><li>⚠ c: quote not found</li></ul>"):
+        assert part in page
+    turns = spark.createDataFrame([(1, 4, 65.0, "linia 4"), (1, 5, 71.0, "linia 5")], "job long, id long, start double, line string")
+    sheet = sinks.verification_sheet(cases, decisions, turns).first().sheet
+    assert "`linia 4`" in sheet and sheet.index("`linia 5`") > sheet.index("- c: respins") and sheet.endswith("## 2. Gol\n[ ] caz identificat corect") and "a & b (înlocuită): aprobat" in sheet
+
+
+def test_stages_run_once(spark, tmp_path):
+    from scriven.streaming.stages import Stages
+
+    runs = []
+    make = lambda n: lambda: (runs.append(n), spark.range(n))[1]
+    s = Stages(spark, f"{tmp_path}/a")
+    assert s.run("one", make(2)).count() == 2 and s.run("one", make(9)).count() == 2 and runs == [2]
+    with pytest.raises(Exception, match="boom"):
+        s.run("two", lambda: spark.range(1).selectExpr("raise_error('boom') AS x"))
+    assert not s.done("two") and s.run("two", make(3)).count() == 3
+    assert {(r.stage, r.status) for r in s.ledger().collect()} == {("one", "done"), ("two", "done")}
+    v = s.variant(f"{tmp_path}/b", ["one"])
+    assert v.run("one", make(7)).count() == 2 and v.run("two", make(5)).count() == 5 and s.run("two", make(1)).count() == 3
 
 
 def test_inbox_takes_each_record_once(spark, tmp_path):
