@@ -18,6 +18,7 @@ QUERIES = {
 }
 #: Those without a twin are held against brute force, exact round trips or held-out accuracy in tests/llm.
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op10_quality_rules": quality.oracle(),
     "op2_chat_format": chat.oracle(),
     "op3_line_dedup": line_dedup.OP3_SQL,

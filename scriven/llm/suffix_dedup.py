@@ -372,3 +372,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(doc_id_of(F.col("_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Every window of every text by its digest; bytes are pairs of hexadecimal digits.
+OP1_SQL = f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, i) AS n FROM w) WHERE n > 1),
+m AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM m) GROUP BY doc_id, run),
+g AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM s UNION ALL SELECT d.doc_id, coalesce(max(s.b), 0), max(length(h)) // 2 FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed FROM s GROUP BY doc_id),
+p AS (SELECT d.doc_id, string_agg(substr(h, 2 * g.a + 1, 2 * (g.b - g.a)), '' ORDER BY g.a) AS kept FROM d JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN p USING (doc_id) LEFT JOIN c USING (doc_id)"""

@@ -1,5 +1,5 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -46,6 +46,50 @@ def test_votes_reject_junk_and_keep_the_rest(spark):
     assert Q.score(empty, Q.fit(Q.with_features(empty))).count() == 0
 
 
+def shingled(text):
+    words = WORD.findall((text or "").lower())
+    n = max(len(words) - 4, 1) if words else 0
+    return Counter(tuple(words[i : i + 5]) for i in range(n))
+
+
+def probability_jaccard(x, y):
+    """By its definition: one sum over the union for each common shingle."""
+    if not x or not y:
+        return 0.0
+    every = set(x) | set(y)
+    if max(x.values()) == max(y.values()) == 1:
+        return len(set(x) & set(y)) / len(every)
+    return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in every) for i in set(x) & set(y))
+
+
+def plain_near(docs):
+    """All pairs, then components: the smallest id of each."""
+    sets, parent = {i: shingled(r.text) for i, r in docs.items()}, {i: i for i in docs}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(docs)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            common = len(x.keys() & y.keys())
+            if docs[a].text == docs[b].text or common > 0.4 * (len(x) + len(y) - common) and probability_jaccard(x, y) >= 0.8:
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {root(i) for i in ids}
+
+
+def plain_contaminated(docs, items):
+    """Documents that hold an item: whole texts, every item."""
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+    wanted = [grams(w) for t in items if (w := words(t))]
+    held = {i: grams(words(r.text)) for i, r in docs.items()}
+    return {i for i, have in held.items() if any(len(g & have) >= 0.8 * len(g) for g in wanted)}
+
+
 def test_stages_in_turn(spark):
     """Each stage against what it must keep, on the smallest tables; run() gives the last stage's rows."""
     sf = "/root/testdata/sf0.001"
@@ -65,6 +109,11 @@ def test_stages_in_turn(spark):
             assert after.keys() == before.keys() and all(r.n_chars == len(r.text) for r in after.values())
         else:
             assert all(after[i] == before[i] for i in after)
+        if name == "near_dedup":
+            assert set(after) == plain_near(before)
+        if name == "decontamination":
+            items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+            assert set(before) - set(after) == plain_contaminated(before, items) != set()
     pieces = C.run(spark, sf).groupBy("doc_id").sum("length").collect()
     assert {r.doc_id for r in pieces} == set(after)
 
