@@ -110,12 +110,12 @@ def packed_chunks(regions: DataFrame, target: float, least: float, most: float,
 
 
 def merged_tiny(chunks: DataFrame, least: float, most: float) -> DataFrame:
-    """A chunk with less than `least` speech joins the one before it if the span stays within `most`; renumbered."""
+    """A chunk shorter than `least` joins the one before it if the span stays within `most`; renumbered."""
 
     def fold(key: tuple, rows: Iterator) -> Iterator[tuple]:
         held, n = None, 0
         for r in rows:
-            if held and r.speech < least and r.end - held[0] <= most:
+            if held and r.end - r.start < least and r.end - held[0] <= most:
                 held = (held[0], r.end, held[2] + r.speech)
                 continue
             if held:

@@ -36,7 +36,16 @@ def split_regions(spark, d):
     return G.split_regions(_regions(spark, d), frames, 60_000, 10_000, 90_000)
 
 
-@query()
+_CUT = "(s.b - t.a > 300000 OR s.a - t.b > 40000 OR (s.b - t.a > 100000 AND t.speech >= 20000))"
+
+
+@query(f"""WITH RECURSIVE {SEGMENTS_SQL}, s AS (SELECT job, start::DOUBLE AS a, "end"::DOUBLE AS b, row_number() OVER (PARTITION BY job ORDER BY start, "end") AS n FROM seg),
+t(job, n, idx, a, b, speech) AS (SELECT job, n, 0::BIGINT, a, b, b - a FROM s WHERE n = 1
+  UNION ALL SELECT s.job, s.n, t.idx + {_CUT}::INT, CASE WHEN {_CUT} THEN s.a ELSE t.a END, s.b, CASE WHEN {_CUT} THEN 0 ELSE t.speech END + s.b - s.a FROM t JOIN s ON s.job = t.job AND s.n = t.n + 1),
+c AS (SELECT job, idx, a, b, speech FROM (SELECT *, row_number() OVER (PARTITION BY job, idx ORDER BY n DESC) AS k FROM t) WHERE k = 1),
+u(job, idx, k, a, b, speech) AS (SELECT job, idx, 0::BIGINT, a, b, speech FROM c WHERE idx = 0
+  UNION ALL SELECT c.job, c.idx, u.k + (NOT (c.b - c.a < 5000 AND c.b - u.a <= 400000))::INT, CASE WHEN c.b - c.a < 5000 AND c.b - u.a <= 400000 THEN u.a ELSE c.a END, c.b, CASE WHEN c.b - c.a < 5000 AND c.b - u.a <= 400000 THEN u.speech ELSE 0 END + c.speech FROM u JOIN c ON c.job = u.job AND c.idx = u.idx + 1)
+SELECT job, k AS index, a AS start, b AS "end", speech FROM (SELECT *, row_number() OVER (PARTITION BY job, k ORDER BY idx DESC) AS z FROM u) WHERE z = 1""")
 def packed_chunks(spark, d):
     return P.merged_tiny(P.packed_chunks(_regions(spark, d), 100_000, 20_000, 300_000, 40_000), 5_000, 400_000)
 

@@ -67,7 +67,13 @@ def chunk_context(spark, d):
     return P.with_context(P.token_chunks(lines, BUDGET), lines, 2)
 
 
-@query()
+_JOINS = "(s.role = t.role AND s.role <> 'UNK' AND (strlen(t.text || ' ' || s.text) + 3) // 4 <= 120)"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+t(conv_id, n, id, role, first, last, text) AS (SELECT conv_id, n, 0::BIGINT, role, turn, turn, text FROM s WHERE n = 1
+  UNION ALL SELECT s.conv_id, s.n, t.id + (NOT {_JOINS})::INT, s.role, CASE WHEN {_JOINS} THEN t.first ELSE s.turn END, s.turn, CASE WHEN {_JOINS} THEN t.text || ' ' || s.text ELSE s.text END FROM t JOIN s ON s.conv_id = t.conv_id AND s.n = t.n + 1)
+SELECT conv_id, id, role AS speaker, first, last, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY n DESC) AS k FROM t) WHERE k = 1""")
 def capped_turns(spark, d):
     return P.capped_turns(turns(spark, d), 120)
 
