@@ -115,13 +115,19 @@ def build_segments(regions: DataFrame, least: float, gap: float, attach_gap: flo
         speech = speech.join(inside.groupBy("job", "grp").agg(F.sort_array(F.collect_list(F.struct(F.col("at").cast("double").alias("at"), F.col("energy").cast("double").alias("energy")))).alias("level")), ["job", "grp"], "left")
         level = F.col("level")
 
-    @F.pandas_udf("array<struct<start:double,end:double>>")
-    def cut(parts: pd.Series, levels: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b} for a, b in pieces(_rows(p, ("start", "end")), above, longest, least, _rows(q, ("at", "energy")))] for p, q in zip(parts, levels)])
-
-    whole = F.array(F.struct("start", "end"))
-    cuts = F.when(F.col("end") - F.col("start") <= above, whole).otherwise(cut(F.when(F.col("end") - F.col("start") > above, F.col("parts")).otherwise(whole), level))
-    flat = speech.select("job", F.col("grp"), F.col("by").alias("speaker"), F.posexplode(cuts).alias("k", "piece")).select("job", "speaker", "piece.*", (F.col("grp") * 2**20 + F.col("k")).alias("no"))
+    @F.pandas_udf("array<double>")
+    def cut(starts: pd.Series, ends: pd.Series, levels: pd.Series) -> pd.Series:
+        """Start and end of each piece, one after another."""
+        return pd.Series([np.array(pieces(np.column_stack([a, b]), above, longest, least, _rows(q, ("at", "energy")))).ravel() for a, b, q in zip(starts, ends, levels)])
+
+    speech = speech.withColumn("level", level)
+    long = F.col("end") - F.col("start") > above
+    each = lambda side: F.transform("parts", lambda p: p[side])
+    edges = speech.where(long).select("job", "grp", "by", cut(each("start"), each("end"), "level").alias("e"))
+    cuts = F.transform(F.sequence(F.lit(0), F.floor(F.size("e") / 2).cast("int") - 1), lambda i: F.struct(F.get("e", 2 * i).alias("start"), F.get("e", 2 * i + 1).alias("end")))
+    flat = edges.select("job", F.col("by").alias("speaker"), "grp", F.posexplode(cuts).alias("k", "piece")).select("job", "speaker", "piece.*", (F.col("grp") * 2**20 + F.col("k")).alias("no"))
+    # what is short enough does not leave the JVM
+    flat = flat.unionByName(speech.where(~long).select("job", F.col("by").alias("speaker"), "start", "end", (F.col("grp") * 2**20).alias("no")))
     # neighbours in the order of the segments, which need not be that of their ends
     w = Window.partitionBy("job").orderBy("no")
     low = F.coalesce((F.lag("end").over(w) + F.col("start")) / 2, F.lit(0.0))
