@@ -1,5 +1,6 @@
 """Golden cases and boundaries of the operators, hand-worked."""
 
+import random
 from itertools import product
 
 import numpy as np
@@ -156,6 +157,22 @@ def test_similarity():
         assert len(a) - d + i == len(b) and S.lcs(a, b) == S.lcs(b, a)
 
 
+def test_partial_ratio_skips_no_stretch(monkeypatch):
+    def plain(a, b):
+        stretches = [b[max(0, stop - len(a)) : stop] for stop in range(1, len(b) + len(a))]
+        return max((S.ratio(a, x) for x in stretches if x), default=0.0)
+
+    rng = random.Random(3)
+    for _ in range(300):
+        b, a = sorted(("".join(rng.choices("abcde", k=rng.randint(1, n))) for n in (40, 12)), key=len, reverse=True)
+        assert S.partial_ratio(a, b) == plain(a, b), (a, b)
+    # long texts: few stretches are looked at
+    looked, one = [], S._lcs
+    monkeypatch.setattr(S, "_lcs", lambda *x: looked.append(1) or one(*x))
+    a, b = ("".join(rng.choices("abcdefghijklmnop ", k=n)) for n in (300, 3000))
+    assert S.partial_ratio(a, b) > 0 and len(looked) < 1000
+
+
 def test_languages(spark):
     pick = lambda **s: one(spark, L.pick_language(F.col("m"), "ro", "ru", 0.2), m={k: float(v) for k, v in s.items()})
     assert pick(ro=-0.5, ru=-0.4, en=-2) == "ro" and pick(ro=-0.7, ru=-0.4) == "ru" and pick(ro=-0.5, ru=-0.4, en=-0.45) == "ru" and pick(en=-0.1, ro=-0.2) == "en"

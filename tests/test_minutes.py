@@ -46,6 +46,36 @@ def test_quotes(spark):
     assert got[0].ts_match and got[0].score > 80 and got[5].score == 100 and got[4].score == 0 and not got[4].ts_match
 
 
+def test_quotes_word_for_word_are_not_compared(spark, monkeypatch):
+    def compared(*_):
+        raise AssertionError("compared")
+
+    monkeypatch.setattr(M, "partial_ratio", compared)
+    monkeypatch.setattr(M, "ratio", compared)
+    texts = ["pacientul 21 are tuse", "pacientul 21 are tuse seacă", "mergem pe amoxicilina trei zile", "Mergem pe amoxicilina trei zile."]
+    turns = spark.createDataFrame([(1, 0, i, None, t) for i, t in enumerate(texts)], "job long, window long, id long, seconds long, text string")
+    quotes = spark.createDataFrame([(1, 0, i, t, None) for i, t in enumerate(texts)], "job long, window long, q_id long, quote string, at long")
+    # the first turn stands in the second one, and is the earlier of equals
+    assert {r.q_id: (r.turn_id, r.score) for r in M.resolved_quotes(quotes, turns).collect()} == {0: (0, 100), 1: (0, 100), 2: (2, 100), 3: (2, 100)}
+
+
+def test_quotes_against_all_turns(spark):
+    rng = random.Random(4)
+    said = [" ".join(rng.choices("ana are mere și pere verzi".split(), k=rng.randint(0, 6))) for _ in range(40)]
+    times = [rng.choice((None, 1, 2)) for _ in said]
+    turns = spark.createDataFrame([(1, 0, i, s, t) for i, (s, t) in enumerate(zip(times, said))], "job long, window long, id long, seconds long, text string")
+    asked = [(i, said[rng.randrange(40)][rng.randint(0, 5) :].strip(), rng.choice((None, 1, 2))) for i in range(60)]
+    quotes = spark.createDataFrame([(1, 0, *q) for q in asked], "job long, window long, q_id long, quote string, at long")
+    got = {r.q_id: r for r in M.resolved_quotes(quotes, turns).collect()}
+    for i, q, at in asked:
+        rows = []
+        for k, (t, s) in enumerate(zip(said, times)):
+            same, score = at is not None and at == s, (M.ratio if len(q) > 1.3 * len(t) else M.partial_ratio)(q, t)
+            if q and (same and score >= 90 if len(q) < 12 else score >= 80 or same and score >= 65):
+                rows.append((-score - 10 * same, k, score, same))
+        assert (got[i].turn_id, *((got[i].score, got[i].ts_match) if rows else ())) == (min(rows)[1:] if rows else (None,)), q
+
+
 def test_subjects(spark):
     subject = lambda t: one(spark, M.subject(F.lit(t)))
     assert subject("Pacient 71 de ani, salonul 3") == ([], ["3"]) and subject("пациентка 45, палата № 2") == (["45"], ["2"])
