@@ -1,9 +1,12 @@
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from scriven.functions import text as T
 from scriven.operators import detect as D
+from scriven.operators import frames as FR
 
 
 @pytest.mark.parametrize("most", [1_000_000, 3])
@@ -28,3 +31,16 @@ def test_drop_reasons(spark):
     s = s.withColumn("dropped", T.drop_reason(*(s[x] for x in c[1:])))
     assert [r.dropped for r in s.orderBy("id").collect()] == ["empty", "prompt_leak", "compression_ratio", "no_speech", None, "hallucination_phrase", None, "hallucination_phrase"]
     assert sorted(r.id for r in T.kept(s).collect()) == [4, 6]
+
+
+def test_threshold_is_the_one_of_the_sql(spark):
+    rng = random.Random(5)
+    rows = [(j, i, i // 9, None if j == 0 and i < 9 else round(rng.choice((rng.uniform(0, 500), 7.31)), 2)) for j in range(60) for i in range(rng.randint(1, 70))]
+    got = FR.adaptive_threshold(spark.createDataFrame(rows, "job long, idx long, at long, level double"), ["job"], F.col("at"), "level")
+    db = duckdb.connect()
+    db.execute("CREATE TABLE f (job BIGINT, idx BIGINT, block BIGINT, level DOUBLE)")
+    db.executemany("INSERT INTO f VALUES (?, ?, ?, ?)", rows)
+    want = db.execute("""WITH b AS (SELECT job, block, quantile_cont(level, 0.1) AS p10, quantile_cont(level, 0.95) AS p95 FROM f GROUP BY ALL), j AS (SELECT job, quantile_cont(level, 0.05) AS p5 FROM f GROUP BY job)
+        SELECT job, idx, greatest(least(p10 + 9, p95 - 10), p5 + 9) FROM f JOIN b USING (job, block) JOIN j USING (job)""").fetchall()
+    # to the last bit: a level may lie on its threshold
+    assert {(r.job, r.idx): r.threshold for r in got.collect()} == {(j, i): t for j, i, t in want} and len(want) == len(rows)
