@@ -22,7 +22,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 
-#: Distinct pieces kept per Python worker, about 150 bytes each, in two halves; the older half goes when the newer is full.
+#: Distinct pieces kept per Python worker, about 150 bytes each; when they are as many, an eighth goes, those not met for longest.
 CACHE_PIECES = 600_000
 #: Plain pieces of one call to the library.
 _TOGETHER = 256
@@ -96,21 +96,46 @@ def byte_letters() -> np.ndarray:
 
 
 class _Known:
-    """Pieces and their ids: piece number k has pool[start[k] : start[k] + size[k]]."""
+    """Pieces and their ids: piece number k has pool[start[k] : start[k] + size[k]]; numbers of pieces that went are given anew."""
 
     def __init__(self, dtype: np.dtype):
         self.number: dict[bytes, int] = {}
+        self.pieces: list[bytes | None] = []
         self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
+        #: when each piece was last asked for, counted in batches
+        self.met, self.now, self.free = np.zeros(0, np.int64), 0, np.zeros(0, np.int64)
 
     def add(self, pieces: list[bytes], size: np.ndarray, ids: np.ndarray) -> None:
-        self.number.update(zip(pieces, range(len(self.start), len(self.start) + len(pieces))))
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
-        self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, ids])
+        again, self.free = self.free[: len(pieces)], self.free[len(pieces) :]
+        n, more = len(self.start), len(pieces) - len(again)
+        at = np.concatenate([again, n + np.arange(more)])
+        self.pieces.extend(pieces[len(again) :])
+        for k, piece in zip(again.tolist(), pieces):
+            self.pieces[k] = piece
+        self.number.update(zip(pieces, at.tolist()))
+        self.start, self.size, self.met = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.start, self.size, self.met))
+        self.start[at], self.size[at], self.met[at] = len(self.pool) + np.cumsum(size) - size, size, self.now
+        self.pool = np.concatenate([self.pool, ids])
 
     def find(self, pieces: list[bytes]) -> np.ndarray:
         """Their numbers, -1 for an unknown one."""
         return np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
 
+    def make_room(self, new: int) -> None:
+        """Pieces not met for longest go, so that `new` more fit; never those of this batch."""
+        if len(self.number) + new <= CACHE_PIECES:
+            return
+        self.met[self.free] = self.now
+        old = np.flatnonzero(self.met < self.now)
+        least = min(len(old), len(self.number) + new - CACHE_PIECES + CACHE_PIECES // 8)
+        gone = old[np.argpartition(self.met[old], least - 1)[:least]] if least else old[:0]
+        for k in gone.tolist():
+            del self.number[self.pieces[k]]
+            self.pieces[k] = None
+        self.size[gone], self.free = 0, np.concatenate([self.free, gone])
+        self.pool = gathered(self.pool, self.start, self.size)
+        self.start = np.cumsum(self.size) - self.size
+
 
 class PieceEncoder:
     def __init__(self, path: str, drops_space: bool, specials: bool = False):
@@ -129,7 +154,7 @@ class PieceEncoder:
         self.words.normalizer = None
         self.words.pre_tokenizer = Split(self._lettered(self.mark), "isolated")
         (self.mark_id,) = self.words.encode(self._lettered(self.mark), add_special_tokens=False).ids
-        self.known, self.older = _Known(self.dtype), _Known(self.dtype)
+        self.known = _Known(self.dtype)
 
     def _lettered(self, raw: bytes) -> str:
         return self.letters[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le")
@@ -159,23 +184,17 @@ class PieceEncoder:
     def _numbers(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The number in self.known of each piece data[offsets[k] : offsets[k + 1]], all of them different."""
         pieces = slices(data, offsets)
-        if len(self.known.start) + len(pieces) > max(CACHE_PIECES // 2, 2 * len(pieces)):
-            self.known, self.older = _Known(self.dtype), self.known
+        self.known.now += 1
         at = self.known.find(pieces)
         new = np.flatnonzero(at < 0)
+        self.known.met[at[at >= 0]] = self.known.now
         if len(new):
-            wanted = [pieces[i] for i in new.tolist()]
-            old = self.older.find(wanted)
-            again = old >= 0
-            if again.any():
-                start, size = self.older.start[old[again]], self.older.size[old[again]]
-                self.known.add([p for p, x in zip(wanted, again.tolist()) if x], size, gathered(self.older.pool, start, size))
-            fresh = new[~again]
-            kind = kinds(data, offsets, self.drops_space)[fresh]
+            self.known.make_room(len(new))
+            kind = kinds(data, offsets, self.drops_space)[new]
             for k in range(3):
-                if len(some := fresh[kind == k]):
+                if len(some := new[kind == k]):
                     self._learn([pieces[i] for i in some.tolist()], k)
-            at[new] = self.known.find(wanted)
+            at[new] = self.known.find([pieces[i] for i in new.tolist()])
         return at
 
     def encode_bytes(self, data: np.ndarray, ends: np.ndarray) -> list[bytes]:

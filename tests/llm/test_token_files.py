@@ -132,3 +132,21 @@ def test_repeated_ids_and_rows_each_have_their_place(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert T.op9_token_files(spark, str(tmp_path)).count() == 0
+
+
+def test_pieces_are_learned_once_while_there_is_room(monkeypatch):
+    monkeypatch.setattr("scriven.llm.tokens.CACHE_PIECES", 1000)
+    enc, learned = PieceEncoder(T.byte_vocabulary(), False), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda pieces, kind: learned.extend(pieces) or learn(pieces, kind))
+    letters = "abcdefghij"
+    word = lambda k: " x" + "".join(letters[int(x)] for x in str(k))
+    batches = [["".join(map(word, range(100 * k, 100 * k + 100)))] for k in range(8)]
+    first = [enc.encode(b) for b in batches]
+    assert [enc.encode(b) for _ in range(2) for b in batches] == first * 2 and len(learned) == len(set(learned))
+    # more than there is room for: the oldest go, the ids stay right
+    wide = [["".join(map(word, range(100 * k, 100 * k + 100)))] for k in range(30)]
+    ids = [enc.encode(b) for b in wide + wide]
+    assert ids[:8] == first and ids[30:] == ids[:30] and len(enc.known.number) <= 1000
+    plain = PieceEncoder(T.byte_vocabulary(), False).tokenizer
+    assert [list(np.frombuffer(b[0], enc.dtype)) for b in ids[:30]] == [plain.encode(b[0], add_special_tokens=False).ids for b in wide]
