@@ -3,6 +3,7 @@
 import random
 from itertools import product
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from scriven.operators import glossary as G
 from scriven.operators import intervals as I
 from scriven.operators import packing as P
 from scriven.operators import segmentation as SG
+from scriven.plans.registry import ORACLES, QUERIES
 
 
 def one(spark, expr, **row):
@@ -70,6 +72,20 @@ def test_interval_bounds(spark):
     assert I.speaker_overlaps(df.limit(0), ["job"]).count() == 0
 
 
+def test_all_overlaps_is_the_one_of_the_sql(spark, tmp_path):
+    # no two rows of a job share start and end, since the SQL leaves their order open
+    rows = [(2, "2024-01-01 00:00:05", 1, "a", 0.002), (4, "2024-01-01 00:00:05", 1, "a", None), (6, "2024-01-01 00:00:09", 1, "a", None), (3, "2024-01-01 00:00:06.5", 1, "b", 0.004), (8, None, 1, "a", 0.01)]
+    rows += [(10, "1969-12-31 23:59:50.5", 2, "a", 0.005), (11, "1969-12-31 23:59:53.999999", 2, "b", 0.009), (12, "1970-01-01 00:00:00.5", 2, "b", 0.0), (14, "1969-12-31 23:59:57", 2, "b", 0.001)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE)")
+    db.executemany("INSERT INTO events VALUES (?, ?, ?, ?, ?)", rows)
+    db.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = sorted((tuple(r) for r in QUERIES["all_overlaps"](spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(db.execute(ORACLES["all_overlaps"]).fetchall(), key=str)
+    at = 1704067205
+    assert {r for r in got if r[0] == 1} == {(1, at, at + 2, 3), (1, at + 4, None, 1), (1, None, None, 1)}
+
+
 def test_hysteresis(spark):
     f = spark.createDataFrame(list(enumerate([0.0, 0.4, 0.9, 0.4, 0.0, 0.4, 0.42, 0.0])), "i int, p double").withColumn("job", F.lit(1))
     assert [(r.first, r.last) for r in I.hysteresis(f, ["job"], "i", F.col("p"), 0.5).collect()] == [(1, 3)]
