@@ -72,3 +72,20 @@ def n_written() -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key that holds more than one in so many rows is heavy; there are at most so many heavy keys.
+HEAVY = 1000
+
+
+def keyed_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """rows beside the one row of keyed that has their key; weight is keyed's column with the number of rows of each key.
+
+    Keys that hold over a thousandth of the rows, a thousand at most, are broadcast, so no key makes a large task whatever its
+    share; keyed's other columns must be of bounded size. rows is read twice: a written table.
+    """
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * HEAVY > total
+    few = keyed.where(heavy)
+    light = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(keyed.where(~heavy), on)
+    return rows.join(F.broadcast(few), on).unionByName(light)

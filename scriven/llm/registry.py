@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html_text, line_dedup, near_dedup, packing, quality, suffix_dedup, token_files, toxicity, turn_repair
+from . import chat, decontam, html_text, line_dedup, near_dedup, packing, prefix_trie, quality, suffix_dedup, token_files, toxicity, turn_repair
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,12 +16,14 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_quality_rules": quality.op10_quality_rules,
     "op12_turn_repair": turn_repair.op12_turn_repair,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 #: Those without a twin are held against brute force, exact round trips or held-out accuracy in tests/llm.
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op10_quality_rules": quality.oracle(),
     "op12_turn_repair": turn_repair.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
     "op2_chat_format": chat.oracle(),
     "op3_line_dedup": line_dedup.OP3_SQL,
 }
