@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html_text, line_dedup, near_dedup, packing, prefix_trie, quality, suffix_dedup, token_files, toxicity, turn_repair
+from . import chat, decontam, flat_graph, html_text, line_dedup, near_dedup, packing, prefix_trie, quality, suffix_dedup, token_files, toxicity, turn_repair
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_token_files": token_files.op9_token_files,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_flat_graph": flat_graph.op11_flat_graph,
     "op12_turn_repair": turn_repair.op12_turn_repair,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op10_quality_rules": quality.oracle(),
+    "op11_flat_graph": flat_graph.OP11_SQL,
     "op12_turn_repair": turn_repair.OP12_SQL,
     "op13_prefix_trie": prefix_trie.OP13_SQL,
     "op2_chat_format": chat.oracle(),
