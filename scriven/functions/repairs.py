@@ -112,30 +112,47 @@ def realign(raw: pd.Series, lines: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else aligned(r, list(ls)) for r, ls in zip(raw, lines)], dtype=object)
 
 
-_PLACE = "(?U)(?i)\\b(pat|box|salon|pacient)\\p{L}*\\s+(?:nr\\.?\\s*)?(\\d+)"
+# fixed values: how a bed, box, room, reserve or patient with a number is written, a box without one, and how each is named
+PLACE = "pat(?:ul)?|box[aăe]?|salon(?:ul)?|rezerva|pacient(?:ul|a)?"
+BOX = "box|bocs|бокс"
+PLACE_NAMES = {"pat": "Pacient patul", "box": "Pacient boxă", "sal": "Pacient salonul", "rez": "Pacient rezerva", "pac": "Pacientul"}
+
+_NUMBERED = f"(?iU)\\b({PLACE})\\s+(?:nr\\.?\\s*)?(\\d+)"
 
 
 def patient_ids(text: Column) -> Column:
-    """Kind and number of each bed, box, room or patient that a text names, as kind:number."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_distinct(F.zip_with(F.regexp_extract_all(t, F.lit(_PLACE), F.lit(1)), F.regexp_extract_all(t, F.lit(_PLACE), F.lit(2)), lambda k, n: F.concat(F.substring(k, 1, 3), F.lit(":"), n)))
+    """Kind and number of each bed, box, room, reserve or patient that a text names, as kind:number, in order; a box named without any number is box: alone."""
+    t = F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(t, F.lit(_NUMBERED), F.lit(1)), F.regexp_extract_all(t, F.lit(_NUMBERED), F.lit(2))
+    ids = F.array_distinct(F.zip_with(*found, lambda k, n: F.concat(F.substring(F.lower(k), 1, 3), F.lit(":"), n)))
+    bare = t.rlike(f"(?iU)\\b(?:{BOX})") & ~F.exists(ids, lambda x: F.startswith(x, F.lit("box:")))
+    return F.when(bare, F.concat(ids, F.array(F.lit("box:")))).otherwise(ids)
+
+
+def plain_label(label: Column) -> Column:
+    """A label in lower case, its words parted by one space, other signs gone."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), "(?U)[^\\w\\s]", " "), "(?U)\\s+", " "))
 
 
-def same_patient(a: Column, b: Column) -> Column:
-    """A place in common; without any, one text begins with the other."""
-    x, y = patient_ids(a), patient_ids(b)
-    norm = lambda t: F.trim(F.regexp_replace(F.lower(t), "[^\\p{L}\\p{N}]+", " "))
-    p, q = norm(a), norm(b)
+def same_patient(a: Column, b: Column, cue_a: Column | None = None, cue_b: Column | None = None) -> Column:
+    """A place in common, in labels or cues; where neither has any, one label begins with the other."""
+    with_cue = lambda label, cue: patient_ids(F.concat_ws(" ", label, cue) if cue is not None else label)
+    x, y = with_cue(a, cue_a), with_cue(b, cue_b)
+    p, q = plain_label(a), plain_label(b)
     begins = lambda s, t: (s != "") & ((s == t) | F.startswith(t, F.concat(s, F.lit(" "))))
     return F.when((F.size(x) > 0) | (F.size(y) > 0), F.arrays_overlap(x, y)).otherwise(begins(p, q) | begins(q, p))
 
 
+def place_name(place: Column) -> Column:
+    """What kind:number is called."""
+    names = F.create_map(*[F.lit(x) for kv in PLACE_NAMES.items() for x in kv])
+    return F.trim(F.concat(F.try_element_at(names, F.substring_index(place, ":", 1)), F.lit(" "), F.substring_index(place, ":", -1)))
+
+
 def canonical_key(key: Column, label: Column) -> Column:
-    """The label's only place where the key does not have it."""
+    """The label's only place, by name, where the key does not have it; else the key."""
     want = patient_ids(label)
-    names = F.create_map(*[F.lit(x) for kv in (("pat", "Patul "), ("box", "Boxa "), ("sal", "Salonul "), ("pac", "Pacient ")) for x in kv])
-    only = F.get(want, F.lit(0))
-    return F.when((F.size(want) != 1) | F.arrays_overlap(patient_ids(key), want), key).otherwise(F.concat(F.try_element_at(names, F.substring(only, 1, 3)), F.substring(only, 5, 9)))
+    return F.when((F.size(want) != 1) | F.arrays_overlap(patient_ids(key), want), key).otherwise(place_name(F.get(want, F.lit(0))))
 
 
 def repaired_order(order: Column, n: Column) -> Column:

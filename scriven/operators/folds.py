@@ -2,34 +2,46 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+#: Rows of a result batch.
+BATCH = 10_000
+
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[tuple, Iterator], Iterable[tuple]], schema: str) -> DataFrame:
-    """fold(key, rows) yields tuples of `schema` for each key's rows in order.
+    """fold(key, rows) yields tuples of `schema` for each key's rows in order; nulls come first and are None, a null key is a key.
 
     One shuffle on the keys, sorted inside partitions; rows stream through Arrow batches, so a long group needs
     no more memory than the fold keeps.
     """
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
-    names = kind.fieldNames()
+    arrow = to_arrow_schema(kind)
+    row = namedtuple("Row", df.columns, rename=True)._make
+    at = [df.columns.index(k) for k in keys]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (r for b in batches for r in b.itertuples(index=False))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row(r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         out: list[tuple] = []
-        for key, group in groupby(rows, lambda r: tuple(getattr(r, k) for k in keys)):
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow, strict=True)], schema=arrow)
+            out.clear()
+            return batch
+
+        for key, group in groupby(rows, lambda r: tuple(r[i] for i in at)):
             for x in fold(key, group):
                 out.append(x)
-                if len(out) >= 10_000:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
+                if len(out) >= BATCH:
+                    yield made()
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield made()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -92,7 +92,10 @@ def with_context(chunks: DataFrame, lines: DataFrame, k: int) -> DataFrame:
 
 def packed_chunks(regions: DataFrame, target: float, least: float, most: float, max_gap: float) -> DataFrame:
     """regions(job, start, end) in order to chunks (job, index, start, end, speech): one closes at a gap over max_gap,
-    where its span would pass `most`, or where it would pass `target` with `least` speech packed."""
+    where its span would pass `most`, or where it would pass `target` with `least` speech packed.
+
+    A region without an end is a point at its start; one without a start is left out.
+    """
 
     def fold(key: tuple, rows: Iterator) -> Iterator[tuple]:
         held, n = None, 0
@@ -106,7 +109,8 @@ def packed_chunks(regions: DataFrame, target: float, least: float, most: float,
         if held:
             yield (*key, n, *held)
 
-    return ordered_fold(regions.select("job", "start", "end"), ["job"], ["start", "end"], fold, "job long, index long, start double, end double, speech double")
+    known = regions.where("start IS NOT NULL").select("job", "start", F.coalesce("end", "start").alias("end"))
+    return ordered_fold(known, ["job"], ["start", "end"], fold, "job long, index long, start double, end double, speech double")
 
 
 def merged_tiny(chunks: DataFrame, least: float, most: float) -> DataFrame:
@@ -129,7 +133,10 @@ def merged_tiny(chunks: DataFrame, least: float, most: float) -> DataFrame:
 
 
 def thinned_starts(starts: DataFrame, apart: float) -> DataFrame:
-    """starts(job, at, entity): one counts only if it is `apart` after the last that counted and names another entity."""
+    """starts(job, at, entity): one counts only if it is `apart` after the last that counted and names another entity.
+
+    An unknown entity is an entity of its own; a start without a time is left out.
+    """
 
     def fold(key: tuple, rows: Iterator) -> Iterator[tuple]:
         last = None
@@ -138,4 +145,4 @@ def thinned_starts(starts: DataFrame, apart: float) -> DataFrame:
                 last = (r.at, r.entity)
                 yield (*key, *last)
 
-    return ordered_fold(starts.select("job", "at", "entity"), ["job"], ["at", "entity"], fold, "job long, at double, entity string")
+    return ordered_fold(starts.where("at IS NOT NULL").select("job", "at", "entity"), ["job"], ["at", "entity"], fold, "job long, at double, entity string")

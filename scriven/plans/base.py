@@ -50,3 +50,18 @@ CLOCK_SQL = """clock AS (
   FROM (SELECT *, greatest(20, (length(coalesce(text, '')) * 20 + 13) // 26)::BIGINT AS dur FROM conversations)
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
 )"""
+
+
+def said(text, pairs: list[tuple[str, str]]):
+    """A text with some of its words changed for what is said in meetings: the tables' own texts have none of it."""
+    out = F.coalesce(text, F.lit(""))
+    for word, phrase in pairs:
+        out = F.replace(out, F.lit(f" {word} "), F.lit(f" {phrase} "))
+    return out
+
+
+def said_sql(text: str, pairs: list[tuple[str, str]]) -> str:
+    out = f"coalesce({text}, '')"
+    for word, phrase in pairs:
+        out = f"replace({out}, ' {word} ', ' {phrase} ')"
+    return out

@@ -15,7 +15,7 @@ from scriven.operators import evaluation as E
 from scriven.operators import minutes as M
 from scriven.operators import packing as P
 from scriven.operators import segmentation as G
-from scriven.operators.patients import patient_windows
+from scriven.operators.patients import cue_fragments
 
 from .base import SEGMENTS_SQL, query, segments, table, turns
 
@@ -39,22 +39,22 @@ def split_regions(spark, d):
 _CUT = "(s.b - t.a > 300000 OR s.a - t.b > 40000 OR (s.b - t.a > 100000 AND t.speech >= 20000))"
 
 
-@query(f"""WITH RECURSIVE {SEGMENTS_SQL}, s AS (SELECT job, start::DOUBLE AS a, "end"::DOUBLE AS b, row_number() OVER (PARTITION BY job ORDER BY start, "end") AS n FROM seg),
+@query(f"""WITH RECURSIVE {SEGMENTS_SQL}, s AS (SELECT job, start::DOUBLE AS a, coalesce("end", start)::DOUBLE AS b, row_number() OVER (PARTITION BY job ORDER BY start, coalesce("end", start)) AS n FROM seg WHERE start IS NOT NULL),
 t(job, n, idx, a, b, speech) AS (SELECT job, n, 0::BIGINT, a, b, b - a FROM s WHERE n = 1
-  UNION ALL SELECT s.job, s.n, t.idx + {_CUT}::INT, CASE WHEN {_CUT} THEN s.a ELSE t.a END, s.b, CASE WHEN {_CUT} THEN 0 ELSE t.speech END + s.b - s.a FROM t JOIN s ON s.job = t.job AND s.n = t.n + 1),
+  UNION ALL SELECT s.job, s.n, t.idx + {_CUT}::INT, CASE WHEN {_CUT} THEN s.a ELSE t.a END, s.b, CASE WHEN {_CUT} THEN 0 ELSE t.speech END + s.b - s.a FROM t JOIN s ON s.job IS NOT DISTINCT FROM t.job AND s.n = t.n + 1),
 c AS (SELECT job, idx, a, b, speech FROM (SELECT *, row_number() OVER (PARTITION BY job, idx ORDER BY n DESC) AS k FROM t) WHERE k = 1),
 u(job, idx, k, a, b, speech) AS (SELECT job, idx, 0::BIGINT, a, b, speech FROM c WHERE idx = 0
-  UNION ALL SELECT c.job, c.idx, u.k + (NOT (c.b - c.a < 5000 AND c.b - u.a <= 400000))::INT, CASE WHEN c.b - c.a < 5000 AND c.b - u.a <= 400000 THEN u.a ELSE c.a END, c.b, CASE WHEN c.b - c.a < 5000 AND c.b - u.a <= 400000 THEN u.speech ELSE 0 END + c.speech FROM u JOIN c ON c.job = u.job AND c.idx = u.idx + 1)
+  UNION ALL SELECT c.job, c.idx, u.k + (NOT (c.b - c.a < 5000 AND c.b - u.a <= 400000))::INT, CASE WHEN c.b - c.a < 5000 AND c.b - u.a <= 400000 THEN u.a ELSE c.a END, c.b, CASE WHEN c.b - c.a < 5000 AND c.b - u.a <= 400000 THEN u.speech ELSE 0 END + c.speech FROM u JOIN c ON c.job IS NOT DISTINCT FROM u.job AND c.idx = u.idx + 1)
 SELECT job, k AS index, a AS start, b AS "end", speech FROM (SELECT *, row_number() OVER (PARTITION BY job, k ORDER BY idx DESC) AS z FROM u) WHERE z = 1""")
 def packed_chunks(spark, d):
     return P.merged_tiny(P.packed_chunks(_regions(spark, d), 100_000, 20_000, 300_000, 40_000), 5_000, 400_000)
 
 
-@query(f"""WITH RECURSIVE {SEGMENTS_SQL}, s AS (SELECT job, start::DOUBLE AS "at", speaker AS entity, row_number() OVER (PARTITION BY job ORDER BY start, speaker) AS n FROM seg
+@query(f"""WITH RECURSIVE {SEGMENTS_SQL}, s AS (SELECT job, start::DOUBLE AS "at", speaker AS entity, row_number() OVER (PARTITION BY job ORDER BY start, speaker NULLS FIRST) AS n FROM seg WHERE start IS NOT NULL
 ), t(job, n, last, entity, kept, "at") AS (SELECT job, n, "at", entity, true, "at" FROM s WHERE n = 1
-  UNION ALL SELECT s.job, s.n, CASE WHEN s."at" - t.last >= 40000 AND s.entity <> t.entity THEN s."at" ELSE t.last END,
-    CASE WHEN s."at" - t.last >= 40000 AND s.entity <> t.entity THEN s.entity ELSE t.entity END, s."at" - t.last >= 40000 AND s.entity <> t.entity, s."at"
-  FROM t JOIN s ON s.job = t.job AND s.n = t.n + 1)
+  UNION ALL SELECT s.job, s.n, CASE WHEN s."at" - t.last >= 40000 AND s.entity IS DISTINCT FROM t.entity THEN s."at" ELSE t.last END,
+    CASE WHEN s."at" - t.last >= 40000 AND s.entity IS DISTINCT FROM t.entity THEN s.entity ELSE t.entity END, s."at" - t.last >= 40000 AND s.entity IS DISTINCT FROM t.entity, s."at"
+  FROM t JOIN s ON s.job IS NOT DISTINCT FROM t.job AND s.n = t.n + 1)
 SELECT job, "at", entity FROM t WHERE kept""")
 def thinned_starts(spark, d):
     s = segments(spark, d).select("job", F.col("start").cast("double").alias("at"), F.col("speaker").alias("entity"))
@@ -143,5 +143,6 @@ def numbers_as_digits(spark, d):
 
 @query()
 def patient_fragments(spark, d):
+    """Fragments by cues alone, for meetings without proposed starts."""
     t = P.with_clock(turns(spark, d)).select(F.col("conv_id").alias("job"), F.col("turn").alias("id"), (F.col("start_ds") / 10).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
-    return patient_windows(t.withColumn("tokens_est", est_tokens(F.col("text"))), 15, 220, 3)
+    return cue_fragments(t.withColumn("tokens_est", est_tokens(F.col("text"))), 15, 220, 3)

@@ -99,19 +99,6 @@ def bed_numbers(spark, d):
     return _events(spark, d, "CASE WHEN event_id % 2 = 0 THEN 'patul nou ' ELSE 'un pat nouă ' END || event_type").select("event_id", R.fix_bed_numbers(F.col("t")).alias("t"))
 
 
-@query("SELECT event_id, 'pat:' || event_id % 40 || ',sal:' || event_id % 9 || CASE WHEN event_id % 5 = 0 THEN ',pac:' || event_id ELSE '' END AS places FROM events")
-def named_places(spark, d):
-    t = "'Patul ' || event_id % 40 || ', salonul nr ' || event_id % 9 || CASE WHEN event_id % 5 = 0 THEN ' pacientul ' || event_id ELSE ' patul ' || event_id % 40 END"
-    return _events(spark, d, t).select("event_id", F.array_join(R.patient_ids(F.col("t")), ",").alias("places"))
-
-
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Patul ' || event_id % 40 WHEN 1 THEN 'Patul ' || event_id % 40 || ', cardio' ELSE 'Organizare' END AS key FROM events")
-def canonical_keys(spark, d):
-    key = "CASE event_id % 3 WHEN 0 THEN 'Apatul nou' WHEN 1 THEN 'Patul ' || event_id % 40 || ', cardio' ELSE 'Organizare' END"
-    label = F.when(F.col("event_id") % 3 < 2, F.concat(F.lit("patul "), (F.col("event_id") % 40).cast("string"))).otherwise("temă")
-    return _events(spark, d, key).select("event_id", R.canonical_key(F.col("t"), label).alias("key"))
-
-
 @query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'aprobat' WHEN 1 THEN 'respins' WHEN 2 THEN 'amânat' ELSE 'în discuție' END AS status FROM events")
 def closed_words(spark, d):
     said = "element_at(array('APROBAT', 'respins ', 'amânatt', 'cu totul altfel', ''), int(event_id % 5) + 1)"

@@ -19,10 +19,10 @@ def test_review_sheet(spark):
     assert C.review_sheet(d, lines).first().sheet == "- [ ] A: do\n  > said\n- [ ] B: go\n  > (not found)"
 
 
-def test_patient_windows(spark):
-    from scriven.operators.patients import patient_windows
+def test_cue_fragments(spark):
+    from scriven.operators.patients import cue_fragments
 
     said = [(0, "bună ziua"), (20, "Pacientul din patul 3 are febră"), (25, "patul 3 continuă"), (60, "trecem la patul 5"), (65, "patul 7 pe scurt"), (80, "x " * 40), (90, "y " * 40)]
     lines = spark.createDataFrame([(1, i, float(at), t, 5 + len(t) // 4) for i, (at, t) in enumerate(said)], "job long, id long, at double, text string, tokens_est long")
-    got = [tuple(r)[1:] for r in patient_windows(lines, 15, 40, 2).orderBy("fragment", "chunk").collect()]
+    got = [tuple(r)[1:] for r in cue_fragments(lines, 15, 40, 2).orderBy("fragment", "chunk").collect()]
     assert got == [(0, 0, 0, 0, None, 0), (1, 0, 1, 2, "patul 3", 0), (2, 0, 3, 4, "patul 5", 1), (2, 1, 5, 5, "patul 5", 3), (2, 2, 6, 6, "patul 5", 4)]
