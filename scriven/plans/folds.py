@@ -18,6 +18,7 @@ from scriven.operators import segmentation as G
 from scriven.operators.patients import cue_fragments
 
 from .base import SEGMENTS_SQL, query, segments, table, turns
+from .reports import _CELLS, _DEL, _SUB, _WORDS
 
 
 def _regions(spark, d):
@@ -71,7 +72,9 @@ def resolved_quotes(spark, d):
     return M.resolved_quotes(quotes, lines).where("turn_id IS NOT NULL AND score = 100")
 
 
-@query()
+@query(f"""WITH t AS (SELECT conv_id, turn, role, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS a, lead(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations
+), p AS (SELECT conv_id, turn, a, coalesce(next, []) AS b FROM t WHERE role = 'user'), c AS (SELECT conv_id, turn, a, {_CELLS} AS r FROM p)
+SELECT conv_id, turn, r // {_SUB} % 100000 AS "S", r // {_DEL} % 100000 AS "D", r % 100000 AS "I", len(a) AS "N" FROM c""")
 def word_errors(spark, d):
     """Each user turn against the assistant turn after it, as reference and hypothesis."""
     w = Window.partitionBy("conv_id").orderBy("turn")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriven.operators import evaluation as E
+from scriven.operators import scoring as C
 
 from .base import SEGMENTS_SQL, query, segments, table, turns
 
@@ -70,27 +71,39 @@ def constraint_counters(spark, d):
     return s.groupBy("job").agg(F.count_if(F.col("next") < F.col("end")).alias("overlaps"), F.count_if(dur < 1000).alias("short"), F.count_if(dur > 50000).alias("over_soft"), F.count_if(dur > 150000).alias("over_hard"))
 
 
-_OPS_SQL = """w AS (SELECT conv_id, turn, role, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0d]+') AS w FROM conversations), x AS (SELECT conv_id, turn, role, i - 1 AS i, w[i] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)),
-ops AS (SELECT *, CASE WHEN tag <> 'ins' THEN word END AS ref, CASE WHEN tag = 'sub' THEN reverse(word) WHEN tag <> 'del' THEN word END AS hyp FROM (SELECT *, CASE WHEN i % 13 = 6 THEN 'ins' WHEN i % 11 = 5 THEN 'del' WHEN i % 7 = 3 THEN 'sub' ELSE 'eq' END AS tag FROM x))"""
+_WORDS = "[^\\x20\\x09-\\x0d]+"
+#: The edit table of two word lists in SQL, row by row; a cell holds cost, S, D and I in one number and takes the diagonal first, then a deletion.
+_COST, _SUB, _DEL, _INS = 10**15, 10**10, 10**5, 1
+_CELLS = f"""list_reduce(b, lambda r, y: list_reduce(range(1, len(a) + 1), lambda acc, i: acc || [CASE
+  WHEN r[i] // {_COST} + (a[i] <> y)::INT <= least(r[i + 1], acc[-1]) // {_COST} + 1 THEN r[i] + CASE WHEN a[i] <> y THEN {_COST + _SUB}::BIGINT ELSE 0 END
+  WHEN acc[-1] // {_COST} <= r[i + 1] // {_COST} THEN acc[-1] + {_COST + _DEL}::BIGINT ELSE r[i + 1] + {_COST + _INS}::BIGINT END], [r[1] + {_COST + _INS}::BIGINT]),
+  list_transform(range(len(a) + 1), lambda k: k * {_COST + _DEL}::BIGINT))[-1]"""
+#: Each turn's words and the same words misheard: some doubled, some lost, some turned round.
+_HEARD_SQL = f"""pairs AS (
+  SELECT conv_id, turn, role, w AS a, list_filter(flatten(list_transform(w, lambda x, i: CASE WHEN (i + turn) % 13 = 7 THEN [x, x] WHEN (i + conv_id) % 11 = 6 THEN [] WHEN i % 7 = 4 THEN [reverse(x)] ELSE [x] END)), lambda x: true) AS b
+  FROM (SELECT conv_id, turn, role, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM conversations)
+), counted AS (SELECT conv_id, turn, role, a, b, {_CELLS} AS r FROM pairs
+), errors AS (SELECT conv_id, turn, role, a, b, r // {_SUB} % 100000 AS "S", r // {_DEL} % 100000 AS "D", r % 100000 AS "I", len(a) AS "N" FROM counted)"""
 
 
 def _ops(spark, d):
-    """The words of conversations as steps of an alignment."""
+    """The words of turns against the same words misheard, as steps of their alignment."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    x = turns(spark, d).select("conv_id", "turn", "role", F.posexplode(words).alias("i", "word"))
-    x = x.withColumn("tag", F.when(F.col("i") % 13 == 6, "ins").when(F.col("i") % 11 == 5, "del").when(F.col("i") % 7 == 3, "sub").otherwise("eq"))
-    return x.withColumn("ref", F.when(F.col("tag") != "ins", F.col("word"))).withColumn("hyp", F.when(F.col("tag") == "sub", F.reverse("word")).when(F.col("tag") != "del", F.col("word")))
+    heard = F.flatten(F.transform("a", lambda x, i: F.when((i + 1 + F.col("turn")) % 13 == 7, F.array(x, x)).when((i + 1 + F.col("conv_id")) % 11 == 6, F.array().cast("array<string>")).when((i + 1) % 7 == 4, F.array(F.reverse(x))).otherwise(F.array(x))))
+    pairs = turns(spark, d).select("conv_id", "turn", "role", words.alias("a")).withColumn("b", heard)
+    steps = C.aligned(pairs, "a", "b").select("conv_id", "turn", "role", "a", "b", F.posexplode("steps").alias("i", "s"))
+    return steps.select("conv_id", "turn", "role", "i", "s.tag", F.get("a", F.col("s.i")).alias("ref"), F.get("b", F.col("s.j")).alias("hyp"))
 
 
-@query(f"""WITH {_OPS_SQL}, s AS (SELECT conv_id, unnest(['all', 'clean', 'user']) AS slice, unnest([true, turn % 2 = 0, role = 'user']) AS fits, tag FROM ops),
-c AS (SELECT conv_id, slice, count(*) FILTER (WHERE fits AND tag = 'sub') AS "S", count(*) FILTER (WHERE fits AND tag = 'del') AS "D", count(*) FILTER (WHERE fits AND tag = 'ins') AS "I", count(*) FILTER (WHERE fits AND tag <> 'ins') AS "N" FROM s GROUP BY ALL)
+@query(f"""WITH {_HEARD_SQL}, s AS (SELECT conv_id, unnest(['all', 'clean', 'user']) AS slice, unnest([true, turn % 2 = 0, role = 'user']) AS fits, * EXCLUDE (conv_id) FROM errors WHERE len(a) > 0 OR len(b) > 0),
+c AS (SELECT conv_id, slice, coalesce(sum("S") FILTER (WHERE fits), 0)::BIGINT AS "S", coalesce(sum("D") FILTER (WHERE fits), 0)::BIGINT AS "D", coalesce(sum("I") FILTER (WHERE fits), 0)::BIGINT AS "I", coalesce(sum("N") FILTER (WHERE fits), 0)::BIGINT AS "N" FROM s GROUP BY ALL)
 SELECT *, ("S" + "D" + "I")::DOUBLE / nullif("N", 0) AS rate FROM c""")
 def error_rollup(spark, d):
     """Errors of each conversation: of all turns, of every second, of the user's."""
     return E.rollup(_ops(spark, d), ["conv_id"], {"all": F.lit(True), "clean": F.col("turn") % 2 == 0, "user": F.col("role") == "user"})
 
 
-@query(f"""WITH {_OPS_SQL} SELECT conv_id, turn, coalesce(string_agg(ref, ' ' ORDER BY i), '') AS ref, coalesce(string_agg(hyp, ' ' ORDER BY i), '') AS hyp, count(*) FILTER (WHERE tag <> 'eq') AS errors, count(ref) AS "N", count(*) FILTER (WHERE tag <> 'eq')::DOUBLE / nullif(count(ref), 0) AS wer FROM ops GROUP BY conv_id, turn""")
+@query(f"""WITH {_HEARD_SQL} SELECT conv_id, turn, array_to_string(a, ' ') AS ref, array_to_string(b, ' ') AS hyp, "S" + "D" + "I" AS errors, "N", ("S" + "D" + "I")::DOUBLE / nullif("N", 0) AS wer FROM errors WHERE len(a) > 0 OR len(b) > 0""")
 def unit_detail(spark, d):
     return E.unit_details(_ops(spark, d), ["conv_id", "turn"])
 
