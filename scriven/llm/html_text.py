@@ -50,6 +50,7 @@ _BODY = re.compile(r"<body(?=[\s>/])", re.I)
 _IN_HEAD = frozenset("base basefont bgsound html link meta noframes noscript template".split())
 _ATTRS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME_WORDS = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"([a-z])([A-Z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Opening one of these closes an open element of the same set below it.
@@ -63,17 +64,47 @@ ORDINARY = ("#long", "#plain", "#sentence")
 KEEP, DROP = "keep", "/keep"
 
 
+#: In a name of several words each of these tells of the page's layout or of something beside or inside the element: has-sidebar, comments-open.
+ABOUT = frozenset("has no not non with without open opened closed enabled disabled free layout is show hide".split())
+#: Share of a page's words from which an element with the headline in it holds the page; words of sentences that may lie outside one that does.
+WIDE, FEW = 0.15, 25
+#: Share of a page's sentences under which what was found cannot be its main text.
+LITTLE = 0.1
+
+
+def _names(value: str) -> set[str]:
+    """Features of a class, id or role: =whole-name of one of several words, and .word for its words, unless one of them says that it is about something else."""
+    found = set()
+    for name in value.split():
+        words = _NAME_WORDS.findall(_HUMP.sub(r"\1-\2", name).lower())
+        if len(words) > 1:
+            found.add(f"={'-'.join(words)}")
+        found |= {"=about"} if len(words) > 1 and not ABOUT.isdisjoint(words) else {f".{w}" for w in words}
+    return found
+
+
 class Page:
-    """Tokens of a page: for each tag or text, its words, the features of its elements and those of its block."""
+    """Tokens of a page: for each tag or text its words, its element and the features of its block; for each element its parent and features."""
 
     def __init__(self, source: str):
         self.kinds: list[str] = []  # a tag's name, or "" for text
         self.texts: list[str] = []
-        self.features: list[tuple[str, ...]] = []
+        self.nodes: list[int] = []
         self.blocks: list[tuple[str, ...]] = []
         self.linked: list[bool] = []
         self.labels: list[bool] = []
-        stack: list[tuple[str, tuple[str, ...]]] = []
+        # elements in the order in which they open; 0 stands for the page
+        self.parents, self.own, self.named, self.in_link, self.heads = [0], [()], [()], [False], [False]
+        stack: list[tuple[str, int]] = []
+        places: dict[str, list[int]] = defaultdict(list)  # where an element of a name is open
+
+        def shut(to: int) -> None:
+            while len(stack) > to:
+                places[stack.pop()[0]].pop()
+
+        def last(names) -> int:
+            return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
         kept = in_head = False
         at, unclosed = 0, set()
         while at < len(source):
@@ -99,42 +130,92 @@ class Page:
                 if tag in _IN_HEAD or not tag and not (m["text"] or "").strip():
                     continue
                 in_head = False
+            node = stack[-1][1] if stack else 0
             if (text := m["text"]) is not None:
-                self._add("", html.unescape(text), tuple(sorted({f for _, fs in stack for f in fs} | self._nested(stack))), kept, any(n == "a" for n, _ in stack))
+                self._add("", html.unescape(text), node, kept)
             elif raw.startswith("<!--"):
                 kept = {KEEP: True, DROP: False}.get(raw[4:-3], kept)
-            elif (name := m["name"]) is not None:
-                name = name.lower()
+            elif tag:
                 if m["end"]:
-                    places = [i for i, (n, _) in enumerate(stack) if n == name]
-                    if places:
-                        del stack[places[-1] :]
+                    if places.get(tag):
+                        shut(places[tag][-1])
                 else:
-                    shut = CLOSES.get(name, {"p"} if name not in INLINE and name not in VOID else set())
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] in shut:
-                            del stack[i:]
-                            break
-                        if stack[i][0] in _BARRIERS:
-                            break
-                    if name not in VOID:
-                        words = set() if name in ("html", "body") else {w for a in _ATTRS.findall(m["attrs"]) for w in _NAME_WORDS.findall("".join(a).lower())}
-                        stack.append((name, (*(() if name in INLINE else (f"<{name}>",)), *(f".{w}" for w in words))))
-                self._add(name, "", (), kept, False)
+                    open_ = last(CLOSES.get(tag, {"p"} if tag not in INLINE and tag not in VOID else ()))
+                    if open_ >= 0 and open_ >= last(_BARRIERS):
+                        shut(open_)
+                    if tag not in VOID:
+                        parent = stack[-1][1] if stack else 0
+                        names = () if tag in ("html", "body") else tuple({f for v in _ATTRS.findall(m["attrs"]) for f in _names("".join(v))})
+                        own = () if tag in INLINE else (f"<{tag}>", "article header") if tag == "header" and places.get("article") else (f"<{tag}>",)
+                        places[tag].append(len(stack))
+                        stack.append((tag, len(self.parents)))
+                        self.parents.append(parent)
+                        self.own.append(own)
+                        self.named.append(names)
+                        self.in_link.append(tag == "a" or self.in_link[parent])
+                        self.heads.append(tag in ("h1", "main"))
+                self._add(tag, "", node, kept)
         self._describe()
-
-    @staticmethod
-    def _nested(stack: list[tuple[str, tuple[str, ...]]]) -> set[str]:
-        """The header of an article holds its headline."""
-        names = [n for n, _ in stack]
-        return {"article header"} if "article" in names and "header" in names[names.index("article") :] else set()
-
-    def _add(self, kind: str, text: str, features: tuple[str, ...], kept: bool, linked: bool) -> None:
+        self._widen()
+
+    def _widen(self) -> None:
+        """Names of an element that holds the page tell nothing: of one with the headline, <main> or the only <article> in it and a good part of the words,
+        or with nearly all sentences."""
+        count = len(self.parents)
+        words, self.sentences, articles = [0] * count, [0] * count, [0] * count
+        for node, text, kind, block in zip(self.nodes, self.texts, self.kinds, self.blocks):
+            if not kind and not self.in_link[node]:
+                n = len(text.split())
+                words[node] += n
+                self.sentences[node] += n * ("#sentence" in block)
+        for node in range(count - 1, 0, -1):
+            up = self.parents[node]
+            words[up] += words[node]
+            self.sentences[up] += self.sentences[node]
+            articles[up] += articles[node] + (self.own[node] == ("<article>",))
+            self.heads[up] |= self.heads[node]
+        for node in range(1, count):
+            most = 2 * words[node] >= words[0]
+            alone = self.sentences[node] >= words[node] / 2 and self.sentences[0] - self.sentences[node] < FEW
+            if self.heads[node] and words[node] >= WIDE * words[0] or most and (articles[node] == 1 or alone):
+                self.named[node] = ()
+
+    def without_names_of_most(self) -> None:
+        """Also of elements with half of the sentences."""
+        for node in range(1, len(self.parents)):
+            if 2 * self.sentences[node] >= self.sentences[0]:
+                self.named[node] = ()
+
+    def summed(self, of) -> list[float]:
+        """For each element the sum of of(feature) over what is open there, each feature once."""
+        out, path, open_ = [0.0] * len(self.parents), [], Counter()
+        for node in range(1, len(self.parents)):
+            while path and path[-1] != self.parents[node]:
+                for f in (*self.own[path[-1]], *self.named[path[-1]]):
+                    open_[f] -= 1
+                path.pop()
+            path.append(node)
+            out[node] = out[self.parents[node]]
+            for f in (*self.own[node], *self.named[node]):
+                if not open_[f]:
+                    out[node] += of(f)
+                open_[f] += 1
+        return out
+
+    def features(self, node: int) -> set[str]:
+        """What is open at an element: for the few that are learned from."""
+        found: set[str] = set()
+        while node:
+            found |= {*self.own[node], *self.named[node]}
+            node = self.parents[node]
+        return found
+
+    def _add(self, kind: str, text: str, node: int, kept: bool) -> None:
         self.kinds.append(kind)
         self.texts.append(text)
-        self.features.append(features)
+        self.nodes.append(node)
         self.labels.append(kept)
-        self.linked.append(linked)
+        self.linked.append(self.in_link[node])
 
     def _describe(self) -> None:
         """The block features of each token: of its length, links and end."""
@@ -182,6 +263,10 @@ _JUNK = (
 )
 _BLOCKS = ("<p>{40.}</p>", "<p>{25.}</p>", "<p>{60.}</p>", "<p>{30.}</p>", "<p>{3.}</p>", "<p>{1.}</p>", "<p>{8.}</p>", "<p>{20} <a href=x>{3}</a> {14.}</p>", "<p><b>{4}</b> {22.}</p>", "<p><b>{12.}<br><p>{30.}</p>", "<h2>{4}</h2>", "<h3>{2}</h3><p>{20.}</p>", "<ul>|<li>{8}</li>*</ul>", "<ol>|<li>{14.}</li>*</ol>", "<blockquote>{14.}</blockquote>", "<blockquote><p>{20.}</p></blockquote>", "<pre>{9}</pre>", "<figure><img src=x><figcaption>{7}</figcaption></figure>", "<table>|<tr><td>{3}</td><td>{2}</td></tr>*</table>", "{25.}<br><br>{30.}<br>", "<div>{35.}</div>", "<dl><dt>{2}</dt><dd>{12.}</dd></dl>")
 _BARE = "nav header footer aside".split()
+#: Second words of names of junk as of main text.
+_PARTS = "left right top bottom fixed sticky page list area box inner wrapper main item".split()
+#: What wrappers of main text say about the junk beside or inside them.
+_ABOUT_JUNK = ("has-{}", "has-{}", "no-{}", "with-{}", "without-{}", "{}-open", "{}-closed", "{}-enabled", "{}-disabled", "{}-fixed", "{}-left", "{}-right", "{}-free", "{}-page", "sticky-{}", "layout-{}", "layout-{}-left", "is-{}", "show-{}", "hide-{}")
 
 
 def labelled_pages(n: int = 600, seed: int = 1) -> list[str]:
@@ -201,7 +286,7 @@ def labelled_pages(n: int = 600, seed: int = 1) -> list[str]:
         """An opening tag: of the names one or two, invented ones, or none; `sure`: one of the names."""
         drawn = rng.random()
         if names and (sure or drawn < 0.3):
-            said = [rng.choice(names)] + [word()] * (rng.random() < 0.3)
+            said = [rng.choice(names)] + [rng.choice((word(), word(), rng.choice(_PARTS)))] * (rng.random() < 0.3)
         elif drawn < 0.6:
             said = [rng.choice(_NEUTRAL) if rng.random() < 0.4 else word()]
         else:
@@ -211,6 +296,15 @@ def labelled_pages(n: int = 600, seed: int = 1) -> list[str]:
             return f"<{name} role={said[0]}>"
         return f"<{name} {rng.choice(('class', 'class', 'id'))}='{rng.choice((' ', '-')).join(said)}'>"
 
+    def wrapper(name: str, names: list[str]) -> str:
+        """An opening tag of what holds main text: one in three says something about junk."""
+        if rng.random() > 0.35:
+            return named(name, names, False)
+        about = rng.choice(_ABOUT_JUNK).format(rng.choice([x for _, x, _ in _JUNK if x][rng.randrange(len(_JUNK) - 1)].split()))
+        said = [about] + [rng.choice(names or _NEUTRAL)] * (rng.random() < 0.5)
+        rng.shuffle(said)
+        return f"<{name} class='{' '.join(said)}'>"
+
     def junk(kinds: tuple[int, ...]) -> str:
         tags, names, fillings = _JUNK[rng.choice(kinds)]
         filling = rng.choice(fillings)
@@ -228,7 +322,7 @@ def labelled_pages(n: int = 600, seed: int = 1) -> list[str]:
             if inner and k and rng.random() < 0.3:
                 body.append(f"<!--{DROP}-->{junk((3, 4, 5, 5, 5, 6, 7))}<!--{KEEP}-->")
         tail = junk((6, 9, 9, 2, 3)) if rng.random() < 0.3 else ""
-        opened = "".join(f"<{w}>" if w in ("table", "tr") else named(w, _MAIN, False) for w in wraps)
+        opened = "".join(f"<{w}>" if w in ("table", "tr") else wrapper(w, _MAIN) for w in wraps)
         return f"{opened}<!--{KEEP}-->{''.join(body)}<!--{DROP}-->{tail}{''.join(f'</{w}>' for w in reversed(wraps))}"
 
     out = []
@@ -237,7 +331,7 @@ def labelled_pages(n: int = 600, seed: int = 1) -> list[str]:
         after = "".join(junk((9, 9, 2, 2, 3, 5, 6, 7, 8)) for _ in range(rng.randint(0, 4)))
         around = rng.choice(("", "", "div"))
         page = before + content() + after
-        out.append(f"<html><body>{filled(named(around, [], False) + page + '</div>' if around else page)}</body></html>")
+        out.append(f"<html><body>{filled(wrapper(around, []) + page + '</div>' if around else page)}</body></html>")
     return out
 
 
@@ -248,15 +342,15 @@ class Weights:
         rows, labels, counts, tags, met = [], [], [], defaultdict(lambda: [1.0, 1.0]), Counter()
         totals = [1.0, 1.0]
         for page in map(Page, pages):
-            for kind, text, features, block, kept in zip(page.kinds, page.texts, page.features, page.blocks, page.labels):
+            for kind, text, node, block, kept in zip(page.kinds, page.texts, page.nodes, page.blocks, page.labels):
                 if kind:
                     tags[kind][kept] += 1
                 elif n := len(text.split()):
-                    rows.append((*features, *block))
+                    rows.append((*page.features(node), *block))
                     labels.append(kept)
                     counts.append(n**0.5)  # a short text that is judged wrongly is wrong too
                     totals[kept] += n
-            met.update({f for fs in page.features for f in fs} | {f for fs in page.blocks for f in fs})
+            met.update({f for fs in (*page.own, *page.named, *page.blocks) for f in fs})
         names = sorted(f for f, times in met.items() if times >= 4)  # most invented names are met on fewer pages
         place = {f: i for i, f in enumerate(names)}
         x = np.zeros((len(rows), len(names) + 1))
@@ -273,20 +367,24 @@ class Weights:
         #: what a tag costs: at least 0.1; rarer inside main text, more
         self.tags = {t: -max(0.1, 0.2 + 0.15 * float(np.log(out / totals[0] / (inside / totals[1])))) for t, (out, inside) in tags.items()}
         self.known = sorted((f[1:] for f in names if f[0] == "." and len(f) > 5), key=len, reverse=True)
-        self.seen: dict[tuple[str, ...], float] = {}
+        self.seen: dict[str, float] = {}
 
-    def _of(self, feature: str) -> float:
-        """An unknown name that begins or ends with a known one (commentlist, subheader) counts as that."""
+    def of(self, feature: str) -> float:
+        """The weight of a feature. An unknown name that begins or ends with a known one (commentlist, subheader) counts as that."""
         if feature in self.words or feature[0] != ".":
             return self.words.get(feature, 0.0)
-        return next((self.words["." + k] for k in self.known if feature.startswith(k, 1) or feature.endswith(k)), 0.0)
-
-    def word(self, features: tuple[str, ...]) -> float:
-        if features not in self.seen:
+        if feature not in self.seen:
             if len(self.seen) > 100_000:
                 self.seen = {}
-            self.seen[features] = self.bias + sum(map(self._of, features))
-        return self.seen[features]
+            self.seen[feature] = next((self.words["." + k] for k in self.known if feature.startswith(k, 1) or feature.endswith(k)), 0.0)
+        return self.seen[feature]
+
+    def places(self, page: Page) -> list[float]:
+        """What each element of a page says about a word in it."""
+        return [self.bias + s for s in page.summed(self.of)]
+
+    def block(self, features: tuple[str, ...]) -> float:
+        return sum(self.words.get(f, 0.0) for f in features)
 
     def tag(self, name: str) -> float:
         return self.tags.get(name, -0.2)
@@ -309,15 +407,15 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return where
 
 
-def priced(page: Page, w: Weights) -> list[float]:
+def priced(page: Page, w: Weights, places: list[float]) -> list[float]:
     """The scores for the scan: a word's times its words, a tag's; a run of negative words and their tags costs HOLE at most."""
     out, hole, since = [], 0.0, None
-    for kind, text, features, block in zip(page.kinds, page.texts, page.features, page.blocks):
+    for kind, text, node, block in zip(page.kinds, page.texts, page.nodes, page.blocks):
         if kind:
             s = w.tag(kind)
         else:
             n = len(text.split())
-            s = w.word((*features, *block)) * n
+            s = (places[node] + w.block(block)) * n
             if s > 0:
                 since = None
             elif n and since is None:
@@ -331,12 +429,21 @@ def priced(page: Page, w: Weights) -> list[float]:
 def main_text(source: str | None, w: Weights | None = None) -> str:
     w = w or weights()
     page = Page(source or "")
-    start, stop = best_region(priced(page, w))
+    places = w.places(page)
+    start, stop = best_region(priced(page, w, places))
+    if page.sentences[0] >= FEW and sum(len(t.split()) for t in page.texts[start:stop]) < LITTLE * page.sentences[0]:
+        # a page has a main text: where hardly any was found, a name stood against it that means something else here
+        page.without_names_of_most()
+        places = w.places(page)
+        start, stop = best_region(priced(page, w, places))
+    ordinary = w.block(ORDINARY)
     blocks, block = [], []
     for i in range(start, stop):
         kind = page.kinds[i]
         if not kind:
-            if w.word((*page.features[i], *ORDINARY)) > 0:
+            place = places[page.nodes[i]]
+            # junk inside the region speaks against itself twice: by its elements, were it an ordinary paragraph, and as it is
+            if place + ordinary > 0 or place + w.block(page.blocks[i]) > 0:
                 block.append(page.texts[i])
         elif kind == "br":
             block.append(" ")

@@ -37,6 +37,39 @@ def test_unknown_containers(before, after):
     assert H.main_text(before + SAID + after) == SAID
 
 
+WRAPPERS = [
+    '<div class="has-sidebar">', '<div class="has-sidebar"><article>', '<div id="main" class="no-sidebar">', '<main class="with-sidebar">', '<article class="post comments-open">', '<div class="no-comments"><main><article class="post">',
+    '<div class="header-fixed">', '<div class="sticky-header content">', '<div class="page share-enabled">', '<div class="contact-page">', '<section class="news-alert">', '<div class="popular-science"><article>',
+    '<div class="search-result-page"><article>', '<div class="layout-sidebar-left">', '<div class="main content has-sidebar">', '<div class="widget-free">', '<div class="ad-free article">', '<div class="hasSidebar">', '<div class="header-image-post">',
+]
+MENU = "<nav class=menu><ul><li><a href=x>Home</a></li><li><a href=x>About us</a></li></ul></nav>"
+ASIDE = "<aside class=sidebar><h3>Related</h3><p>You may like this other story about some things here.</p></aside>"
+COMMENTS = "<section class=comments><h3>Comments</h3>" + "<div class=comment><p>I think this is a really good page and I liked reading it, thanks.</p></div>" * 6 + "</section><footer><p>All rights are reserved for ever and ever, dear reader.</p></footer>"
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_named_after_junk(wrapper):
+    """No article is lost to a name on what holds it, whatever stands around."""
+    paragraphs, ends = f"<p>{SAID}</p>" * 3, "</article></main></section></div>"
+    for before, head, after in (("", "", ""), (MENU, "", ends), (MENU, "<h1>Head line</h1>", ends + COMMENTS), (MENU, "", ASIDE + ends + COMMENTS), (MENU, "", ends + COMMENTS)):
+        assert H.main_text(before + wrapper + head + paragraphs + after) == " ".join(["Head line"] * bool(head) + [SAID] * 3)
+
+
+@pytest.mark.parametrize("name", ["sidebar-left", "left-sidebar", "ad-right", "footer-main", "comments-area", "related-list", "cookie-box"])
+def test_junk_of_several_words_goes(name):
+    page = f"<div class=page><article><h1>Head line</h1><p>{SAID}</p></article><div class='{name}'><p>Something else that nobody asked for is here.</p></div></div>"
+    assert H.main_text(page) == f"Head line {SAID}"
+
+
+@pytest.mark.parametrize("unclosed", ["<b>x ", "<div>x ", "<b>x <h2>", "<div class=c{}>x ", "<li class=sidebar>x ", "</i></div><span>x "])
+def test_time_is_linear_in_open_elements(unclosed):
+    import time
+
+    began = time.process_time()
+    got = H.main_text("<article>" + "".join(unclosed.format(i) for i in range(100_000)))
+    assert time.process_time() - began < 10 and isinstance(got, str)
+
+
 def test_a_long_advert_does_not_cut_an_article_in_two():
     advert = "<div class=advert><p>" + "Buy more of it now. " * 300 + "</p></div>"
     assert H.main_text(f"<div><p>{SAID}</p>{advert}<p>{SAID}</p></div>") == f"{SAID} {SAID}"
