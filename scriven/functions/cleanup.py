@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,21 +14,25 @@ from pyspark.sql import functions as F
 def collapse_repeats(words: list[str], word_times: int = 4, phrase_times: int = 3, longest: int = 8) -> list[str]:
     """Units of one to eight words repeated too often in a row stand once; units shorter first.
 
-    Words are compared in lower case without signs; a word of signs only ends a run.
+    Words are compared in lower case without signs; a word of signs only ends a run. Words that equal the n-th word behind them
+    form stretches; one of length m says that a unit of n words stands m // n + 1 times in a row.
     """
-    plain = [re.sub(r"[^\w]", "", w.lower()) for w in words]
-    keep = list(range(len(words)))
+    numbers: dict[str, int] = {"": -1}
+    code = np.array([numbers.setdefault(re.sub(r"[^\w]", "", w.lower()), len(numbers)) for w in words], np.int64)
+    at = np.arange(len(words))
     for n in range(1, longest + 1):
-        times, i = word_times if n == 1 else phrase_times, 0
-        while i + n * times <= len(keep):
-            unit = [plain[k] for k in keep[i : i + n]]
-            runs = 1
-            while all(unit) and [plain[k] for k in keep[i + runs * n : i + (runs + 1) * n]] == unit:
-                runs += 1
-            if runs >= times:
-                del keep[i + n : i + runs * n]
-            i += 1
-    return [words[k] for k in keep]
+        c = code[at]
+        if len(c) <= n:
+            break
+        same = np.concatenate([[False], (c[:-n] == c[n:]) & (c[n:] >= 0), [False]])
+        starts, stops = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:])
+        times = (stops - starts) // n + 1
+        stays = np.ones(len(c), bool)
+        for start, k in zip(starts, times):
+            if k >= (word_times if n == 1 else phrase_times):
+                stays[start + n : start + k * n] = False
+        at = at[stays]
+    return [words[i] for i in at]
 
 
 def with_collapsed(df: DataFrame, words: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,9 +77,13 @@ def strip_unspoken_units(text: Column, source: Column) -> Column:
     return out
 
 
+# fixed values: a bed that is "nou" is bed nine, whose number lost its last letter
+BED_NINE = "(?iU)\\b(pat(?:ul)?|patului)\\s+nou\\b(?!ă)"
+
+
 def fix_bed_numbers(text: Column) -> Column:
-    """A bed is not "nou": the number nine lost its last letter."""
-    return F.regexp_replace(text, "(?iU)\\b(pat(?:ul)?|patului)\\s+nou\\b(?!ă)", "$1 9")
+    """A bed is not "nou"."""
+    return F.regexp_replace(text, BED_NINE, "$1 9")
 
 
 # fixed values: words of repetition
@@ -91,19 +97,28 @@ def extend_recurring(raw: Column, lines: Column) -> Column:
     return F.coalesce(F.get(found, F.lit(0)), raw)
 
 
+def _folded(line: str) -> tuple[str, list[int]]:
+    """A line for comparing, and the place in the line of each of its letters: ß is two."""
+    parts = [c.casefold() for c in line]
+    return "".join(parts), [i for i, p in enumerate(parts) for _ in p]
+
+
 def aligned(raw: str, lines: list[str], least: float = 85) -> str | None:
-    """What a line has in place of raw: its nearest stretch, grown to whole words, from 0.6 to 1.6 of raw's length."""
-    wanted = raw.casefold()
-    spans = [(*partial_span(wanted, line.casefold(), least), line) for line in lines]
-    score, start, stop, line = max(spans, key=lambda s: s[0], default=(0.0, 0, 0, ""))
-    if score < least:
+    """What a line has in place of raw: the whole words that its nearest stretch touches, if they are 0.6 to 1.6 times as long. The first line of equals."""
+    best = (least, None, 0, 0)
+    for line in lines:
+        said, origin = _folded(line)
+        score, start, stop = partial_span(raw.casefold(), said, least)
+        if score >= least and (best[1] is None or score > best[0]) and start < stop:
+            best = (score, line, origin[start], origin[stop - 1] + 1)
+    _, line, start, stop = best
+    if line is None:
         return None
-    while start and line[start - 1].isalnum():
-        start -= 1
-    while stop < len(line) and line[stop].isalnum():
-        stop += 1
-    span = line[start:stop].strip(" ,.;:!?")
-    return span if 0.6 <= len(span) / max(len(raw), 1) <= 1.6 else None
+    for word in re.finditer(r"[^\W_]+", line):
+        start, stop = (min(start, word.start()), stop) if word.start() < start < word.end() else (start, stop)
+        stop = max(stop, word.end()) if word.start() < stop <= word.end() else stop
+    found = line[start:stop].strip(" ,.;:!?")
+    return found if 0.6 * len(raw) <= len(found) <= 1.6 * max(len(raw), 1) else None
 
 
 @F.pandas_udf(StringType())
