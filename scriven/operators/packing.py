@@ -20,6 +20,29 @@ def with_clock(turns: DataFrame, job: str = "conv_id", turn: str = "turn") -> Da
     return out.withColumn("end_ds", F.col("start_ds") + F.col("dur_ds")).drop("dur_ds")
 
 
+def with_given_clock(turns: DataFrame, job: str = "conv_id", turn: str = "turn", start_ms: int = 1000) -> DataFrame:
+    """start_ds and end_ds in tenths of a second for turns with at_ms, pause_ms and dur_ms, each null where it is not given.
+
+    A turn with a time begins then; another begins 0.8 s and its pause after the end of the turn before, the first one at start_ms. A turn takes its
+    given length, else 13 letters a second and 2 s at least. An end closer than 0.2 s to the next start, or behind it, moves to 0.2 s
+    before it, but leaves half a second. The sum restarts at each given time, so it is a window, not a fold.
+    """
+    c, w = F.col, Window.partitionBy(job).orderBy(turn)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    own = F.greatest(F.lit(20), F.floor((F.length(F.coalesce("text", F.lit(""))) * 20 + 13) / 26)).cast("long") * 100
+    t = turns.withColumn("_took", F.coalesce(F.when(c("dur_ms") > 0, c("dur_ms")), own).cast("long"))
+    t = t.withColumn("_run", F.count("at_ms").over(upto))
+    inside = Window.partitionBy(job, "_run").orderBy(turn)
+    before = F.coalesce(F.sum(c("_took") + 800).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pauses = F.coalesce(F.sum(F.when(c("at_ms").isNull(), c("pause_ms"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    base = F.coalesce(F.first("at_ms").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(start_ms))
+    t = t.withColumn("_at", (base + before + pauses).cast("long"))
+    tenths = lambda ms: F.floor((ms + 50) / 100)
+    t = t.withColumn("start_ds", tenths(c("_at"))).withColumn("_end", tenths(c("_at") + c("_took"))).withColumn("_next", F.lead("start_ds").over(w))
+    end = F.when(c("_end") > c("_next") - 2, F.greatest(c("start_ds") + 5, c("_next") - 2)).otherwise(c("_end"))
+    return t.withColumn("end_ds", end).drop("_took", "_run", "_at", "_end", "_next")
+
+
 def speaker_runs(turns: DataFrame, job: str = "conv_id", order: str = "turn", speaker: str = "role") -> DataFrame:
     """run: number of the run of one speaker; UNK never joins."""
     w = Window.partitionBy(job).orderBy(order)

@@ -127,7 +127,6 @@ def test_cases_of_a_meeting(spark):
     assert [r.question for r in got.questions.orderBy("place").collect()] == ["Cine semnează?", "Când?"]
     model = table(spark, [(0, [0, 1])], "job long, case_no long, places array<int>")
     assert [r.superseded for r in M.superseded_by_model(got.decisions, model).orderBy("place").collect()] == [True, False]
-    got.release()
 
 
 def test_a_model_is_asked_about_keys_in_between(spark):
