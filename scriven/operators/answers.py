@@ -32,34 +32,77 @@ def _items(df: DataFrame, keys: list[str], v: Column, path: str, place: str) ->
     return listed.where(F.schema_of_variant("_v").startswith("OBJECT")).withColumn(place, F.col(place).cast("long"))
 
 
+_KEYS = ["job", "window", "no"]
+
+
+def _parsed(answers: DataFrame) -> dict[str, DataFrame]:
+    """The tables of raw answers with each repaired field beside what was said, as `_said_<field>`; empty rows are still there."""
+    raw = answers.select("job", "window", F.try_parse_json("answer").alias("_a"))
+    c = _items(raw, ["job", "window"], F.col("_a"), "$.cases", "no")
+    v = F.col("_v")
+    named = F.when(_said(v, "$.case_key") != "", _said(v, "$.case_key")).otherwise(_said(v, "$.topic"))
+    c = c.withColumn("_said_case_key", named).withColumn("case_key", fix_bed_numbers(named))
+    said_type, eta_raw, condition = (_said(v, f"$.eta.{x}") for x in ("type", "raw", "condition"))
+    some = lambda x: F.when(x != "", x)
+    c = c.withColumn("_said_eta_type", some(said_type)).withColumn("eta_type", F.coalesce(M.repaired(said_type, M.ETA_TYPES, None), F.when(eta_raw != "", "vague").otherwise("none")))
+    c = c.withColumn("_said_eta_raw", some(eta_raw)).withColumn("eta_raw", F.when(F.col("eta_type") != "none", some(eta_raw)))
+    c = c.withColumn("_said_eta_condition", some(condition)).withColumn("eta_condition", F.when(F.col("eta_type") == "conditional", some(condition)))
+    c = c.withColumn("_said_summary", _said(v, "$.discussion_summary")).withColumn("summary", T.split_ranges(F.col("_said_summary"))).withColumn("topic", _said(v, "$.topic"))
+    full = c.where("case_key != ''")
+    d = _items(full, _KEYS, v, "$.decisions", "n")
+    d = d.select(*_KEYS, "n", _code(v, "$.timestamp").alias("at"), _said(v, "$.decision").alias("_said_decision"), _said(v, "$.quote").alias("_said_quote"), _said(v, "$.status").alias("_said_status"), F.coalesce(F.try_variant_get(v, "$.replaces_previous", "boolean"), F.lit(False)).alias("replaces"))
+    d = d.withColumn("quote", T.clean_quote(F.col("_said_quote"))).withColumn("status", M.repaired(F.col("_said_status"), M.STATUSES, M.DEFAULT_STATUS))
+    d = d.withColumn("decision", fix_weekday(F.col("_said_decision"), F.col("quote")))
+    f = _items(full, _KEYS, v, "$.facts", "n").select(*_KEYS, "n", _said(v, "$.fact").alias("_said_fact"), _said(v, "$.category").alias("_said_category"), _code(v, "$.timestamp").alias("at"))
+    f = f.withColumn("fact", T.split_ranges(F.col("_said_fact"))).withColumn("category", M.repaired(F.col("_said_category"), M.FACT_CATEGORIES, M.DEFAULT_CATEGORY))
+    q = full.select(*_KEYS, F.posexplode(F.try_variant_get(v, "$.open_questions", "array<variant>")).alias("n", "_v")).select(*_KEYS, F.col("n").cast("long").alias("n"), _said(v, "$").alias("_said_question")).withColumn("question", T.split_ranges(F.col("_said_question")))
+    return {"case": c, "decision": d, "fact": f, "question": q}
+
+
 def sanitized(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """answers(job, window, answer: JSON text) to cases, decisions, facts and questions as in `minutes`.
 
     A case without key and topic goes, as do empty decisions, facts and questions; statuses, deadline types and categories are words
     of their lists; quotes lose codes and labels; a weekday that the quote names otherwise is the quote's. `fixed` tells
-    whether a decision's status or quote was changed. An answer that is not JSON has no rows. `at` is the time code in seconds.
+    whether a decision's status or quote was changed; `fix_log` has all changes. An answer that is not JSON has no rows. `at` is the time code in seconds.
     """
-    keys = ["job", "window", "no"]
-    raw = answers.select("job", "window", F.try_parse_json("answer").alias("_a"))
-    c = _items(raw, ["job", "window"], F.col("_a"), "$.cases", "no")
-    named = F.when(_said(F.col("_v"), "$.case_key") != "", _said(F.col("_v"), "$.case_key")).otherwise(_said(F.col("_v"), "$.topic"))
-    c = c.withColumn("case_key", fix_bed_numbers(named)).where("case_key != ''")
-    said_type, eta_raw, condition = (_said(F.col("_v"), f"$.eta.{x}") for x in ("type", "raw", "condition"))
-    kind = F.coalesce(M.repaired(said_type, M.ETA_TYPES, None), F.when(eta_raw != "", "vague").otherwise("none"))
-    some = lambda x: F.when(x != "", x)
-    cases = c.withColumn("eta_type", kind).select(
-        *keys, "case_key", _said(F.col("_v"), "$.topic").alias("topic"), T.split_ranges(_said(F.col("_v"), "$.discussion_summary")).alias("summary"), "eta_type",
-        F.when(F.col("eta_type") != "none", some(eta_raw)).alias("eta_raw"), F.when(F.col("eta_type") == "conditional", some(condition)).alias("eta_condition"),
-    )
-    v = F.col("_v")
-    d = _items(c, keys, v, "$.decisions", "n")
-    d = d.select(*keys, "n", _code(v, "$.timestamp").alias("at"), _said(v, "$.decision").alias("_d"), _said(v, "$.quote").alias("_q"), _said(v, "$.status").alias("_s"), F.coalesce(F.try_variant_get(v, "$.replaces_previous", "boolean"), F.lit(False)).alias("replaces"))
-    d = d.withColumn("quote", T.clean_quote(F.col("_q"))).where("_d != '' or quote != ''").withColumn("status", M.repaired(F.col("_s"), M.STATUSES, M.DEFAULT_STATUS))
-    decisions = d.select(*keys, "n", "at", fix_weekday(F.col("_d"), F.col("quote")).alias("decision"), "status", "quote", "replaces", ((F.col("status") != F.col("_s")) | (F.col("quote") != F.col("_q"))).alias("fixed"))
-    f = _items(c, keys, v, "$.facts", "n").withColumn("fact", T.split_ranges(_said(v, "$.fact"))).where("fact != ''")
-    facts = f.select(*keys, "n", M.repaired(_said(v, "$.category"), M.FACT_CATEGORIES, M.DEFAULT_CATEGORY).alias("category"), "fact", _code(v, "$.timestamp").alias("at"))
-    q = c.select(*keys, F.posexplode(F.try_variant_get(v, "$.open_questions", "array<variant>")).alias("n", "_v")).select(*keys, F.col("n").cast("long").alias("n"), T.split_ranges(_said(v, "$")).alias("question")).where("question != ''")
-    return cases, decisions, facts, q
+    t = _parsed(answers)
+    cases = t["case"].where("case_key != ''").select(*_KEYS, "case_key", "topic", "summary", "eta_type", "eta_raw", "eta_condition")
+    fixed = (F.col("status") != F.col("_said_status")) | (F.col("quote") != F.col("_said_quote"))
+    decisions = t["decision"].where("_said_decision != '' or quote != ''").select(*_KEYS, "n", "at", "decision", "status", "quote", "replaces", fixed.alias("fixed"))
+    facts = t["fact"].where("fact != ''").select(*_KEYS, "n", "category", "fact", "at")
+    return cases, decisions, facts, t["question"].where("question != ''").select(*_KEYS, "n", "question")
+
+
+def fix_log(answers: DataFrame) -> DataFrame:
+    """What `sanitized` changes: (job, window, no, n, field, said, now), a row each; n is null for a case.
+
+    A row that goes because nothing stands in it is logged under its kind with null as what it is now; then its fields are not. A field
+    that only loses the space around it is unchanged.
+    """
+    t, c = _parsed(answers), F.col
+    fields = {"case": ["case_key", "eta_type", "eta_raw", "eta_condition", "summary"], "decision": ["quote", "status", "decision"], "fact": ["category", "fact"], "question": ["question"]}
+    gone = {"case": c("case_key") == "", "decision": (c("_said_decision") == "") & (c("quote") == ""), "fact": c("fact") == "", "question": c("question") == ""}
+    out = None
+    for kind, names in fields.items():
+        text = lambda x: F.coalesce(c(x), F.lit(""))
+        changes = F.filter(F.array(*[F.struct(F.lit(x).alias("field"), c(f"_said_{x}").alias("said"), c(x).alias("now"), (text(f"_said_{x}") != text(x)).alias("differs")) for x in names]), lambda x: x.differs)
+        empty = F.array(F.struct(F.lit(kind).alias("field"), F.lit("").alias("said"), F.lit(None).cast("string").alias("now"), F.lit(True).alias("differs")))
+        n = F.lit(None).cast("long").alias("n") if kind == "case" else c("n")
+        rows = t[kind].select(*_KEYS, n, F.explode(F.when(gone[kind], empty).otherwise(changes)).alias("x")).select(*_KEYS, "n", "x.field", "x.said", "x.now")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def deadline_log(cases: DataFrame, checked: DataFrame) -> DataFrame:
+    """What `minutes.checked_deadlines` changed of cases: (job, window, no, event, said, now), the deadline's words and its type a row each."""
+    was = cases.select(*_KEYS, F.col("eta_raw").alias("_raw"), F.col("eta_type").alias("_type"))
+    both = checked.join(was, _KEYS)
+    events = F.array(
+        F.struct(F.col("eta_event").alias("event"), F.col("_raw").alias("said"), F.col("eta_raw").alias("now")),
+        F.struct(F.when(~F.col("eta_type").eqNullSafe(F.col("_type")), "type").alias("event"), F.col("_type").alias("said"), F.col("eta_type").alias("now")),
+    )
+    return both.select(*_KEYS, F.explode(F.filter(events, lambda x: x.event.isNotNull())).alias("x")).select(*_KEYS, "x.event", "x.said", "x.now")
 
 
 def fixed_clauses(texts: DataFrame, lines: DataFrame) -> DataFrame:

@@ -163,6 +163,20 @@ def fixed_clauses(spark, d):
 @query("""SELECT user_id AS job, event_id AS win, 'Caz ' || event_type AS case_key, CASE WHEN event_id % 2 = 0 THEN 'vineri' ELSE 'joi' END AS decision, CASE WHEN event_id % 3 = 0 THEN 'aprobat' ELSE 'în discuție' END AS status, 'vineri' || CASE WHEN event_id % 2 = 0 THEN '' ELSE ' sau joi' END AS quote, event_id % 60 + 60 AS "at" FROM events WHERE event_id % 5 > 0""")
 def sanitized_answers(spark, d):
     """One answer for each event: some are no JSON, some statuses are unknown, some days differ from the quote's."""
-    answer = F.expr("""CASE WHEN event_id % 5 = 0 THEN 'nimic' ELSE '{"cases": [{"case_key": " Caz ' || event_type || '", "decisions": [{"decision": "joi", "quote": "„[01:05] vineri' || CASE WHEN event_id % 2 = 0 THEN '' ELSE ' sau joi' END || '”", "status": "' || CASE WHEN event_id % 3 = 0 THEN 'Aprobat' ELSE 'nu se știe' END || '", "timestamp": "[01:' || lpad(string(event_id % 60), 2, '0') || ']"}, {"decision": " "}, 7]}, 8]}' END""")
-    cases, decisions, _, _ = A.sanitized(table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("window"), answer.alias("answer")))
+    cases, decisions, _, _ = A.sanitized(_answers(spark, d))
     return decisions.join(cases.select("job", "window", "no", "case_key"), ["job", "window", "no"]).select("job", F.col("window").alias("win"), "case_key", "decision", "status", "quote", "at")
+
+
+def _answers(spark, d):
+    answer = F.expr("""CASE WHEN event_id % 5 = 0 THEN 'nimic' ELSE '{"cases": [{"case_key": " Caz ' || event_type || '", "decisions": [{"decision": "joi", "quote": "„[01:05] vineri' || CASE WHEN event_id % 2 = 0 THEN '' ELSE ' sau joi' END || '”", "status": "' || CASE WHEN event_id % 3 = 0 THEN 'Aprobat' ELSE 'nu se știe' END || '", "timestamp": "[01:' || lpad(string(event_id % 60), 2, '0') || ']"}, {"decision": " "}, 7]}, 8]}' END""")
+    return table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("window"), answer.alias("answer"))
+
+
+@query("""WITH e AS (SELECT user_id AS job, event_id, 'vineri' || CASE WHEN event_id % 2 = 0 THEN '' ELSE ' sau joi' END AS quote FROM events WHERE event_id % 5 > 0)
+SELECT job, event_id AS win, 0::BIGINT AS n, 'quote' AS field, '„[01:05] ' || quote || '”' AS said, quote AS now FROM e
+UNION ALL SELECT job, event_id, 0, 'status', CASE WHEN event_id % 3 = 0 THEN 'Aprobat' ELSE 'nu se știe' END, CASE WHEN event_id % 3 = 0 THEN 'aprobat' ELSE 'în discuție' END FROM e
+UNION ALL SELECT job, event_id, 0, 'decision', 'joi', 'vineri' FROM e WHERE event_id % 2 = 0
+UNION ALL SELECT job, event_id, 1, 'decision', '', NULL FROM e UNION ALL SELECT job, event_id, NULL, 'eta_type', NULL, 'none' FROM e""")
+def answer_fixes(spark, d):
+    """What was changed in each answer: quotes, statuses, weekdays, decisions that say nothing."""
+    return A.fix_log(_answers(spark, d)).select("job", F.col("window").alias("win"), "n", "field", "said", "now")

@@ -8,20 +8,55 @@ from pyspark.sql import functions as F
 from scriven.functions.text import clock_seconds
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, line): the lines of text files, which tasks read by byte ranges; `at` orders the lines of a file.
+
+    A range is known by where it begins, a line in it by the order in which its task reads, which is the same each time a file
+    of the same size is read.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k")).alias("at"), F.col("value").alias("line"))
+    return raw.withColumn("line", F.regexp_replace("line", "^\ufeff", ""))
+
+
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, line): line numbers within each file; files are read whole, one task a file, as their order is their meaning."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    text = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
-    return whole.select("file", F.posexplode(F.split(F.regexp_replace(text, "\n$", ""), "\n")).alias("n", "line"))
+    """(file, n, line): lines with their numbers in each file, counted range by range."""
+    rows = _lines(spark, path).select("file", "at.block", "at.k", "line")
+    counts = rows.groupBy("file", "block").agg(F.count("*").alias("size"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("file", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("k"))
+    return rows.withColumn("i", inside - 1).join(counts, ["file", "block"]).select("file", (F.col("before") + F.col("i")).cast("int").alias("n"), "line")
+
+
+def _good_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, at, line, r) before the first line of each file that is no record of the schema; an empty line is none."""
+    rows = _lines(spark, path).withColumn("r", F.from_json("line", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    first = rows.where(F.col("r").isNull() | F.col("r._bad").isNotNull()).groupBy("file").agg(F.min("at").alias("torn"))
+    return rows.join(F.broadcast(first) if _few_files(spark, path) else first, "file", "left").where(F.col("torn").isNull() | (F.col("at") < F.col("torn"))).drop("torn")
+
+
+#: Files up to this number have their first bad lines broadcast: a row each.
+FEW_FILES = 100_000
+
+
+def _few_files(spark: SparkSession, path: str) -> bool:
+    if any(c in path for c in "*?[{,"):
+        return False
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getFileCount() <= FEW_FILES
 
 
 def jsonl_log(spark: SparkSession, path: str, schema: str, key: str = "id") -> DataFrame:
-    """Records of a log before its first bad line, the last one of each key."""
-    rows = _numbered(spark, path).withColumn("r", F.from_json("line", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
-    bad = F.min(F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), F.col("n"))).over(Window.partitionBy("file"))
-    good = rows.withColumn("first_bad", bad).where(F.col("first_bad").isNull() | (F.col("n") < F.col("first_bad")))
-    last = F.row_number().over(Window.partitionBy("file", F.col(f"r.{key}")).orderBy(F.desc("n")))
-    return good.withColumn("k", last).where("k = 1").select("r.*").drop("_bad")
+    """Records of each log file before its first bad line, the last one of each key. Files of any size are read by byte ranges."""
+    good = _good_lines(spark, path, schema)
+    return good.groupBy("file", F.col(f"r.{key}").alias("_key")).agg(F.max_by("r", "at").alias("r")).select("r.*").drop("_bad")
+
+
+def recovered_log(spark: SparkSession, path: str, schema: str, target: str) -> DataFrame:
+    """The good prefix of a log written to target as text, in order over its files, and read back as lines; the log itself stays as it is."""
+    good = _good_lines(spark, path, schema).select("file", "at", "line")
+    good.repartitionByRange("file", "at").sortWithinPartitions("file", "at").select("line").write.mode("errorifexists").text(target)
+    return spark.read.text(target)
 
 
 def json_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

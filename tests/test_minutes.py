@@ -1,3 +1,5 @@
+import json
+
 """Minutes: hand-worked meetings, and the rules on cases and decisions against a plain reading of them."""
 
 import random
@@ -195,3 +197,32 @@ def test_problems_of_a_response(spark):
     decisions = table(spark, [said(0, 0, 0, 0, "x", quote="pe amoxicilină, de joi"), said(0, 1, 0, 0, "y", status="da", quote="altceva"), said(0, 1, 1, 0, "z")], DECISIONS)
     got = sorted((r.no, r.problem) for r in A.problems(cases, decisions, lines).collect())
     assert got == [(0, "case given twice"), (1, "case given twice"), (1, "condition"), (1, "deadline"), (1, "deadline type"), (1, "quote"), (1, "quote"), (1, "status")]
+
+
+def test_fix_log(spark):
+    from scriven.operators import answers as A
+
+    answer = {"cases": [
+        {"case_key": "Patul nou", "discussion_summary": "a [0:10–0:20]", "eta": {"type": "relativ", "raw": "mâine", "condition": "dacă"},
+         "decisions": [{"decision": "control joi", "quote": "on Friday", "status": "aprobat"}, {"decision": "", "quote": " "}, {"decision": "x", "quote": "„q”", "status": "Respins"}],
+         "facts": [{"fact": "", "category": "analize"}, {"fact": "f [1:00-2:00]", "category": "Analize"}], "open_questions": ["", "când?"]},
+        {"topic": ""}]}
+    df = spark.createDataFrame([(1, 0, json.dumps(answer)), (1, 1, "no json"), (2, 0, None)], "job long, window long, answer string")
+    got = sorted(((r.no, r.n, r.field, r.said, r.now) for r in A.fix_log(df).collect()), key=str)
+    assert got == sorted([
+        (0, None, "case_key", "Patul nou", "Patul 9"), (0, None, "summary", "a [0:10–0:20]", "a [0:10] [0:20]"), (0, None, "eta_type", "relativ", "relative"), (0, None, "eta_condition", "dacă", None),
+        (0, 0, "decision", "control joi", "control vineri"), (0, 1, "decision", "", None), (0, 2, "quote", "„q”", "q"), (0, 2, "status", "Respins", "respins"),
+        (0, 0, "fact", "", None), (0, 1, "fact", "f [1:00-2:00]", "f [1:00] [2:00]"), (0, 1, "category", "Analize", "analize"), (0, 0, "question", "", None), (1, None, "case", "", None),
+    ], key=str)
+
+
+def test_deadline_log(spark):
+    from scriven.operators import answers as A
+
+    cases = table(spark, [case(0, i, f"c{i}", eta=e) for i, e in enumerate([("absolute", "mâine dimineață", None), ("vague", "peste un an", None), ("duration", "luna", None), ("conditional", "daca creste febra", "febră"), ("none", None, None)])], CASES)
+    lines = table(spark, [(0, 0, "Mâine dimineață, la opt"), (0, 1, "vine la fiecare luna"), (0, 2, "Dacă crește febra, sunați")], "job long, window long, id long, text string")
+    checked = M.checked_deadlines(cases, table(spark, [said(0, 3, 0, 2, "x")], DECISIONS), lines)
+    got = {(r.no, r.event): (r.said, r.now) for r in A.deadline_log(cases, checked).collect()}
+    assert got == {
+        (0, "type"): ("absolute", "relative"), (1, "not in transcript"): ("peste un an", None), (2, "extended"): ("luna", "la fiecare luna"), (2, "type"): ("duration", "recurring"), (3, "realigned"): ("daca creste febra", "Dacă crește febra"),
+    }

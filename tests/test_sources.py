@@ -12,6 +12,29 @@ def test_log_with_torn_tail(spark, tmp_path):
     assert sorted((r.id, r.t) for r in R.jsonl_log(spark, f"{tmp_path}/a.jsonl", "id long, t string").collect()) == [(1, "y"), (2, "z")]
 
 
+def test_long_log_is_read_in_parts(spark, tmp_path):
+    """Byte ranges of several tasks, a torn line in the middle, an older record of a key, a second log without a fault."""
+    rows = [json.dumps({"id": i % 30_000, "t": f"{i} " + "x" * (i % 40)}) for i in range(40_000)]
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.jsonl").write_text("\ufeff" + "\n".join(rows[:35_000]) + '\n{"id": 1, "t"\n' + "\n".join(rows[35_000:]))
+    (tmp_path / "logs" / "b.jsonl").write_text('{"id": 7, "t": "b"}\r\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        log = R.jsonl_log(spark, f"{tmp_path}/logs", "id long, t string")
+        assert spark.read.text(f"{tmp_path}/logs").rdd.getNumPartitions() > 4
+        got = sorted((r.id, int(r.t.split()[0])) for r in log.where("t <> 'b'").collect())
+        assert got == [(i, i + 30_000 if i < 5000 else i) for i in range(30_000)] and log.count() == 30_001
+        back = R.recovered_log(spark, f"{tmp_path}/logs/a.jsonl", "id long, t string", f"{tmp_path}/good")
+        assert back.count() == 35_000
+        parts = sorted((tmp_path / "good").glob("part-*"))
+        assert "".join(p.read_text() for p in parts).splitlines() == rows[:35_000]
+        (tmp_path / "l.txt").write_text("\n".join(f"{i}\t{i + 1}\tn{i}" for i in range(60_000)))
+        assert [r.text for r in R.labels(spark, f"{tmp_path}/l.txt").orderBy("n").collect()] == [f"n{i}" for i in range(60_000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_labels(spark, tmp_path):
     (tmp_path / "l.txt").write_text("0,5\t1.25\tda\n\\\t100\t200\n# no\n\n2\t3\n")
     assert [(r.start, r.end, r.text) for r in R.labels(spark, f"{tmp_path}/l.txt").orderBy("n").collect()] == [(0.5, 1.25, "da"), (2, 3, "")]
@@ -95,3 +118,29 @@ def test_inbox_takes_each_record_once(spark, tmp_path):
     go()
     assert sorted(seen) == [(1, 1), (1, 2), (2, 1)]
     assert {(r.job, r.status) for r in inbox.current_states(spark, f"{tmp_path}/state").collect()} == {(1, "done"), (2, "done")}
+
+
+def test_a_failed_batch_comes_again(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    put = lambda n, rows: (tmp_path / "in" / f"{n}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    seen, broken = [], [True]
+
+    def process(batch):
+        seen.append(sorted((r.job, r.id) for r in batch.collect()))
+        if broken[0]:
+            raise ValueError("boom")
+
+    def go():
+        inbox.watch(spark, f"{tmp_path}/in", "job long, id long", f"{tmp_path}/state", f"{tmp_path}/ck", process).awaitTermination(120)
+
+    put(1, [{"job": 1, "id": 1}, {"job": 2, "id": 1}])
+    with pytest.raises(Exception, match="boom"):
+        go()
+    assert {(r.job, r.status) for r in inbox.current_states(spark, f"{tmp_path}/state").collect()} == {(1, "failed"), (2, "failed")}
+    broken[0] = False
+    put(2, [{"job": 1, "id": 1}, {"job": 3, "id": 1}])
+    go()
+    go()
+    assert seen == [[(1, 1), (2, 1)], [(1, 1), (2, 1)], [(3, 1)]]
+    assert {(r.job, r.batch) for r in spark.read.parquet(f"{tmp_path}/state").where("status = 'failed'").collect()} == {(1, 0), (2, 0)}
+    assert {(r.job, r.status) for r in inbox.current_states(spark, f"{tmp_path}/state").collect()} == {(1, "done"), (2, "done"), (3, "done")}
