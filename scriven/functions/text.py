@@ -202,14 +202,38 @@ def uncertain_turn(low_confidence: Column, marker: Column, ratio: Column, overla
 MADE_UP = "субтитр|корректор\\s+[а-я]\\.|продолжение следует|спасибо за просмотр|подписывайтесь на( наш)? канал|thanks? (you )?for watching|please subscribe|like and subscribe|mul[țţt]umesc pentru vizionare|abona[țţt]i-v[ăa]|v[ăa] mul[țţt]umim pentru vizionare|v[ăa] abona[țţt]i|abona[țţt]i-v[ăa] la canal|da[țţt]i (un )?like|l[ăa]sa[țţt]i un comentariu|distribui[țţt]i acest (material|video|clip)|material(ul)? video|re[țţt]ele(le)? sociale|ставьте лайк|подписывайтесь|don'?t forget to (like|subscribe)"
 
 
+def phrase_verdict(text: Column, phrases: str = MADE_UP, short: int = 12) -> Column:
+    """drop: a text of up to `short` words, or with two different phrases; flag: a longer one with a single phrase; null without any."""
+    said = F.coalesce(text, F.lit(""))
+    hits = F.array_distinct(F.transform(F.regexp_extract_all(said, F.lit(f"(?iu)(?:{phrases})"), F.lit(0)), F.lower))
+    words = F.size(F.filter(F.split(said, "\\s+"), lambda w: w != ""))
+    return F.when((F.size(hits) > 0) & ((words <= short) | (F.size(hits) >= 2)), "drop").when(F.size(hits) > 0, "flag")
+
+
+def head(text: Column, n: int) -> Column:
+    """The first n words of a text, one space apart; a null text has none."""
+    return F.array_join(F.slice(F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), 1, n), " ")
+
+
+def head_says(text: Column, words: str, n: int) -> Column:
+    """Whether one of the words, a pattern, stands among the first n words."""
+    return head(text, n).rlike(f"(?iU)\\b(?:{words})\\b")
+
+
+def context_size(tokens: Column, factor: float, predict: int, base: int, most: int, expand: bool = True) -> Column:
+    """The context that a prompt of so many tokens and an answer of `predict` need: base if it does, else if allowed the next 1,024 up to `most`;
+    null: it does not fit, and the call is skipped."""
+    need = F.floor(tokens * factor).cast("long") + predict
+    wide = F.when(need <= most, (F.ceil(need / 1024) * 1024).cast("long")) if expand else F.lit(None).cast("long")
+    return F.when(need <= base, F.lit(base).cast("long")).otherwise(wide)
+
+
 def drop_reason(text: Column, prompt_leak: Column, ratio: Column, no_speech: Column, logprob: Column, phrases: str = MADE_UP, most_ratio: float = 2.4, most_silent: float = 0.6) -> Column:
     """Why a segment is dropped, the first reason that holds, or null: empty, prompt_leak, compression_ratio (of its text), no_speech
     (with a log-probability under -1), hallucination_phrase (a text of up to 12 words, or with two different phrases)."""
     said = F.coalesce(text, F.lit(""))
-    hits = F.array_distinct(F.transform(F.regexp_extract_all(said, F.lit(f"(?iu)(?:{phrases})"), F.lit(0)), F.lower))
-    words = F.size(F.filter(F.split(said, "\\s+"), lambda w: w != ""))
     silent = (F.coalesce(no_speech, F.lit(0.0)) > most_silent) & (F.coalesce(logprob, F.lit(0.0)) < -1.0)
-    return F.when(said == "", "empty").when(F.coalesce(prompt_leak, F.lit(False)), "prompt_leak").when(ratio > most_ratio, "compression_ratio").when(silent, "no_speech").when((F.size(hits) > 0) & ((words <= 12) | (F.size(hits) >= 2)), "hallucination_phrase")
+    return F.when(said == "", "empty").when(F.coalesce(prompt_leak, F.lit(False)), "prompt_leak").when(ratio > most_ratio, "compression_ratio").when(silent, "no_speech").when(phrase_verdict(text, phrases) == "drop", "hallucination_phrase")
 
 
 def kept(segments, text: str = "text", dropped: str = "dropped"):

@@ -106,12 +106,15 @@ def build_segments(regions: DataFrame, least: float, gap: float, attach_gap: flo
                 yield (*key, no, n, span.speaker)
 
     groups = ordered_fold(merged, ["job"], ["no"], fold, "job long, no long, grp long, by string")
-    speech = rows.join(groups, ["job", "no"]).groupBy("job", "grp", "by").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("parts"))
+    groups = groups.select(F.col("job").alias("_job"), F.col("no").alias("_no"), "grp", "by")
+    speech = rows.join(groups, F.col("job").eqNullSafe(F.col("_job")) & (F.col("no") == F.col("_no"))).groupBy("job", "grp", "by").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("parts"))
     # levels are wanted only inside segments that are too long
     speech = speech.withColumn("start", F.element_at("parts", 1)["start"]).withColumn("end", F.array_max(F.transform("parts", lambda p: p["end"])))
     level = F.lit(None).cast("array<struct<at:double,energy:double>>")
     if frames is not None:
-        inside = speech.where(F.col("end") - F.col("start") > longest).select("job", "grp", "start", "end").join(frames.select("job", "at", "energy"), "job").where("at >= start and at < end")
+        # a segment meets the frames of the time buckets that it touches, not all of its job
+        wide = speech.where(F.col("end") - F.col("start") > longest).select("job", "grp", "start", "end")
+        inside = I.points_in(frames.select("job", "at", "energy"), wide, ["job"], "at", longest).where("r.grp IS NOT NULL AND p.at < r.end").select("r.job", "r.grp", "p.at", "p.energy")
         speech = speech.join(inside.groupBy("job", "grp").agg(F.sort_array(F.collect_list(F.struct(F.col("at").cast("double").alias("at"), F.col("energy").cast("double").alias("energy")))).alias("level")), ["job", "grp"], "left")
         level = F.col("level")
 
@@ -154,8 +157,9 @@ def split_regions(regions: DataFrame, frames: DataFrame | None, target: float, l
     if frames is None:
         long = long.withColumn("level", F.lit(None).cast("array<struct<at:double,energy:double>>"))
     else:
-        found = long.alias("r").join(frames.select("job", F.col("at").cast("double").alias("at"), F.col("energy").cast("double").alias("energy")).alias("f"), "job", "left").where("at is null or (at >= start - 1 and at <= end + 1)")
-        level = found.groupBy("job", "start", "end").agg(F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "energy")))).alias("level"))
+        around = long.distinct().select("job", F.col("start").alias("_a"), F.col("end").alias("_b"), (F.col("start") - 1).alias("start"), (F.col("end") + 1).alias("end"))
+        found = I.points_in(frames.select("job", F.col("at").cast("double").alias("at"), F.col("energy").cast("double").alias("energy")), around, ["job"], "at", most).where("_a IS NOT NULL")
+        level = found.groupBy("r.job", F.col("_a").alias("start"), F.col("_b").alias("end")).agg(F.sort_array(F.collect_list(F.struct("at", "energy"))).alias("level"))
         long = long.join(level, ["job", "start", "end"], "left")
 
     @F.pandas_udf("array<double>")

@@ -105,11 +105,12 @@ def script_counts(spark, d):
     return s.where(F.size("s") > 0).select("doc_id", *[_share("s", k) for k in ("mixed", "cyrl", "latn")])
 
 
-@query("SELECT doc_id, ((strlen(text) + 3) // 4)::BIGINT AS tokens_est, (ceil((((strlen(text) + 3) // 4 * 156 // 100) + 900) / 1024.0) * 1024)::BIGINT AS context, CASE WHEN length(regexp_replace(text, '[^а-яА-ЯёЁ]', '', 'g')) > length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) THEN 'ru' ELSE 'ro' END AS lang_guess FROM documents")
+@query("""WITH t AS (SELECT doc_id, text, ((strlen(text) + 3) // 4)::BIGINT AS tokens_est, ((strlen(text) + 3) // 4 * 156 // 100)::BIGINT + 900 AS need FROM documents)
+SELECT doc_id, tokens_est, CASE WHEN need <= 1500 THEN 1500 WHEN need <= 4096 THEN (need + 1023) // 1024 * 1024 END AS context, CASE WHEN length(regexp_replace(text, '[^а-яА-ЯёЁ]', '', 'g')) > length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) THEN 'ru' ELSE 'ro' END AS lang_guess FROM t""")
 def context_budget(spark, d):
+    """The context of a call for each document: 1,500 where that does, up to 4,096, none where it does not fit."""
     est = T.est_tokens(F.col("text"))
-    need = F.floor(est * 156 / 100) + 900
-    return table(spark, d, "documents").select("doc_id", est.alias("tokens_est"), (F.ceil(need / 1024) * 1024).cast("long").alias("context"), T.lang_of(F.col("text")).alias("lang_guess"))
+    return table(spark, d, "documents").select("doc_id", est.alias("tokens_est"), T.context_size(est, 1.56, 900, 1500, 4096).alias("context"), T.lang_of(F.col("text")).alias("lang_guess"))
 
 
 @query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-zăâîșț]+')) AS word FROM documents)
@@ -180,9 +181,8 @@ def uncertain_turns(spark, d):
 SELECT doc_id, CASE WHEN n <= 12 OR len(hits) >= 2 THEN 'drop' ELSE 'flag' END AS verdict FROM m WHERE len(hits) > 0""")
 def hallucination_filter(spark, d):
     """A listed phrase drops a short text or one with two different phrases, and flags the others."""
-    hits = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(the the|disgusting|stupid|of the)"), F.lit(1)))
-    n = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    return table(spark, d, "documents").select("doc_id", hits.alias("h"), n.alias("n")).where(F.size("h") > 0).select("doc_id", F.when((F.col("n") <= 12) | (F.size("h") >= 2), "drop").otherwise("flag").alias("verdict"))
+    verdict = T.phrase_verdict(F.col("text"), "the the|disgusting|stupid|of the")
+    return table(spark, d, "documents").select("doc_id", verdict.alias("verdict")).where("verdict IS NOT NULL")
 
 
 @query("""SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(lower(nfc_normalize(text)), '[\\p{L}\\p{M}\\p{N}_]+'), lambda w: substr(w, 1, 5)), ' ') AS stems FROM conversations WHERE text IS NOT NULL""")
@@ -199,11 +199,14 @@ def foreign_fields(spark, d):
     return A.foreign_fields(rows, ["doc_id"], ["case_key", "topic", "summary"]).select("doc_id", "field", F.array_join("hits", "|").alias("hits"))
 
 
-@query("""SELECT conv_id, turn, regexp_matches(lower(array_to_string(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0d]+')[1:10], ' ')), '\\b(the|der|la)\\b')
-  OR coalesce(regexp_matches(lower(array_to_string(regexp_extract_all(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '[^\\x20\\x09-\\x0d]+')[1:10], ' ')), '\\b(the|der|la)\\b'), false) AS cue FROM conversations""")
+_HEAD = "' ' || lower(array_to_string(regexp_extract_all(coalesce({}, ''), '[^\\x20\\x09-\\x0d]+')[1:{}], ' ')) || ' '"
+_CUES = "'[^\\p{L}\\p{M}\\p{N}_](" + "{}" + ")[^\\p{L}\\p{M}\\p{N}_]'"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, regexp_matches({_HEAD.format("text", 10)}, {_CUES.replace("{}", "the|der|la")}) AS says, regexp_matches({_HEAD.format("text", 4)}, {_CUES.replace("{}", "und|que|of")}) AS topic FROM conversations)
+SELECT conv_id, turn, says OR coalesce(lead(says) OVER (PARTITION BY conv_id ORDER BY turn), false) AS cue, topic FROM c""")
 def opening_cues(spark, d):
-    first = lambda t: F.lower(F.array_join(F.slice(F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), 1, 10), " "))
-    pattern = "(?-U)(?<![A-Za-z0-9_])(the|der|la)(?![A-Za-z0-9_])"
     w = Window.partitionBy("conv_id").orderBy("turn")
-    t = turns(spark, d).withColumn("here", first(F.coalesce("text", F.lit(""))).rlike(pattern)).withColumn("there", first(F.col("text")).rlike(pattern))
-    return t.select("conv_id", "turn", (F.col("here") | F.coalesce(F.lead("there").over(w), F.lit(False))).alias("cue"))
+    t = turns(spark, d).withColumn("says", T.head_says(F.col("text"), "the|der|la", 10))
+    topic = T.head_says(F.col("text"), "und|que|of", 4)
+    return t.select("conv_id", "turn", (F.col("says") | F.coalesce(F.lead("says").over(w), F.lit(False))).alias("cue"), topic.alias("topic"))

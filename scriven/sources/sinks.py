@@ -98,6 +98,52 @@ def minutes_html(cases: DataFrame, decisions: DataFrame, facts: DataFrame, quest
     return out.select("job", join('<!doctype html><html lang="ro"><meta charset="utf-8"><h1>Proces-verbal</h1>', both("x"), some(both("y"), "<h2>Note pentru verificare</h2><ul>", both("y"), "</ul>"), "</html>").alias("html"))
 
 
+def minutes_markdown(cases: DataFrame, decisions: DataFrame, facts: DataFrame, questions: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """The tables of `minutes_html` to (job, markdown), a line an entry; notes(job, n, note), such as `moved_note` and errors of a run, close the page behind
+    the doubtful decisions."""
+    join = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    some = lambda c, *x: F.when(F.coalesce(c, F.lit("")) != "", join(*x)).otherwise("")
+    text = lambda c: F.coalesce(F.regexp_replace(c, "\\s*\\n\\s*", " "), F.lit(""))
+
+    section = F.coalesce(*[F.when(F.col("category").isin(*kinds), F.lit(k)) for k, (_, kinds) in enumerate(SECTIONS)])
+    told = facts.withColumn("section", section).where("section IS NOT NULL")
+    rows = told.groupBy("job", "case_no", "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", join("- ", text("fact"), " ", _coded("at"), "\n").alias("x")))), lambda p: p["x"]), "").alias("items"))
+    told = _listed(rows, "section", join("**", F.get(F.array(*[F.lit(n) for n, _ in SECTIONS]), F.col("section")), ":**\n", F.col("items"), "\n"), "facts")
+
+    status = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STATUS_NAMES.items() for x in kv]), F.col("status")), F.col("status"))
+    last = F.row_number().over(Window.partitionBy("job", "case_no", "superseded").orderBy(F.desc("place")))
+    due = F.when((F.col("_last") == 1) & ~F.col("superseded") & ~F.col("eta_type").isin("none", "vague"), some(F.col("eta_raw"), " — termen: ", text("eta_raw"), some(F.col("eta_condition"), " (condiție: ", text("eta_condition"), ")"))).otherwise("")
+    said = F.when(F.col("superseded"), join("~~", text("decision"), "~~ (modificată ulterior)")).otherwise(text("decision"))
+    d = decisions.withColumn("_last", last).join(cases.select("job", "case_no", "case_key", "eta_type", "eta_raw", "eta_condition"), ["job", "case_no"])
+    held = _listed(d, "place", join("- **", status, "**: ", said, due, " ", _coded("at"), some(F.col("flag"), " ⚠"), "\n", some(F.col("quote"), "  - _sursa: „", text("quote"), "”_\n")), "decisions")
+    doubts = _listed(d.where("flag IS NOT NULL"), "place", join("- ⚠ Punctul ", (F.col("case_no") + 1).cast("string"), " (", text("case_key"), "), decizia ", _coded("at"), ": ", text("flag"), ".\n"), "doubts")
+    asked = _listed(questions, "place", join("- ", text("question"), "\n"), "questions")
+
+    whole = cases
+    for part in (told, held, asked, doubts):
+        whole = whole.join(part, ["job", "case_no"], "left")
+    card = join(
+        "### ", (F.col("case_no") + 1).cast("string"), ". ", text("case_key"), some(F.col("topic"), " — ", text("topic")), "\n\n", some(F.col("summary"), "_", text("summary"), "_\n\n"), F.coalesce("facts", F.lit("")),
+        "**Plan / decizii:**\n", F.coalesce("decisions", F.lit("- fără decizii noi\n")), some(F.col("questions"), "\n**În așteptare / de clarificat:**\n", F.col("questions")), "\n",
+    )
+    parts = F.sort_array(F.collect_list(F.struct("case_no", card.alias("x"), F.coalesce("doubts", F.lit("")).alias("y"))))
+    out = whole.groupBy("job").agg(parts.alias("p"))
+    if notes is not None:
+        listed = F.sort_array(F.collect_list(F.struct("n", join("- ⚠ ", text("note"), "\n").alias("x"))))
+        out = out.join(notes.groupBy("job").agg(F.array_join(F.transform(listed, lambda x: x["x"]), "").alias("_notes")), "job", "left")
+    else:
+        out = out.withColumn("_notes", F.lit(""))
+    both = lambda field: F.array_join(F.transform("p", lambda x: x[field]), "")
+    return out.select("job", join("# Proces-verbal al ședinței\n\n## Puncte discutate\n\n", both("x"), "## Note pentru verificare\n\n", both("y"), F.coalesce("_notes", F.lit(""))).alias("markdown"))
+
+
+def moved_note(decisions: DataFrame) -> DataFrame:
+    """(job, n, note): how many decisions of `minutes.attributed` went to another case; a job without any has no row."""
+    moved = decisions.where("moved_from IS NOT NULL").groupBy("job").agg(F.count("*").alias("k"))
+    said = F.when(F.col("k") == 1, "1 decizie a fost mutată").otherwise(F.concat(F.col("k").cast("string"), F.lit(" decizii au fost mutate")))
+    return moved.select("job", F.lit(0).alias("n"), F.concat(said, F.lit(" automat la pacientul discutat în acel moment.")).alias("note"))
+
+
 def verification_sheet(cases: DataFrame, decisions: DataFrame, turns: DataFrame) -> DataFrame:
     """(job, sheet): each case and decision with boxes to tick, its quote, and the line that was recognised there: of turns(job, id, start, line)
     the decision's own, or else the one that begins nearest to its time."""

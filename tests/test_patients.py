@@ -97,3 +97,11 @@ def test_null_jobs_are_one_job(spark):
     assert [tuple(r) for r in K.packed_chunks(regions, 100, 20, 300, 40).collect()] == [(None, 0, 0.0, 9.0, 7.0)]
     lines = spark.createDataFrame([(None, 0, "a", "x"), (None, 1, "a", "y")], "conv_id long, turn long, role string, text string")
     assert [tuple(r) for r in K.capped_turns(lines, 100).collect()] == [(None, 0, "a", 0, 1, "x y")]
+
+
+def test_null_jobs_in_segments(spark):
+    from scriven.operators import segmentation as G
+
+    regions = spark.createDataFrame([(j, a, b, "x") for j in (None, 1) for a, b in ((0.0, 4.0), (4.2, 9.0), (30.0, 31.0))], "job long, start double, end double, speaker string")
+    got = sorted((tuple(r) for r in G.build_segments(regions, 1, 0.5, 2, 60, 90, 0.1).collect()), key=str)
+    assert [r[1:] for r in got if r[0] is None] == [r[1:] for r in got if r[0] == 1] and len(got) >= 4

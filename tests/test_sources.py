@@ -86,6 +86,41 @@ def test_minutes_pages(spark):
     page = sinks.minutes_html(cases, decisions, facts, questions).first().html
     for part in ("<h2>1. Caz &lt;1&gt; — temă</h2><p>rezumat</p>", "<tr><th>Diagnostic și istoric</th><td>f2 [00:00]</td></tr><tr><th>Paraclinic</th><td>f1 [00:05]</td></tr>", "<li><em>decis</em> <s>a &amp; b</s> [01:05]<q>q</q></li>", "<li><em>respins</em> c [01:10]<div>Termen: joi</div><div>⚠ quote not found</div></li>", "<li>când?</li>", "<h2>2. Gol</h2><p>Fără decizii noi.</p>", "<h2>Note pentru verificare</h2><ul><li>⚠ c: quote not found</li></ul>"):
         assert part in page
+    moved = sinks.moved_note(spark.createDataFrame([(1, "x"), (1, "y"), (1, None), (2, None)], "job long, moved_from string"))
+    got = sinks.minutes_markdown(cases, decisions, facts, questions, moved).first().markdown
+    assert got == """# Proces-verbal al ședinței
+
+## Puncte discutate
+
+### 1. Caz <1> — temă
+
+_rezumat_
+
+**Diagnostic și istoric:**
+- f2 [00:00]
+
+**Paraclinic:**
+- f1 [00:05]
+
+**Plan / decizii:**
+- **decis**: ~~a & b~~ (modificată ulterior) [01:05]
+  - _sursa: „q”_
+- **respins**: c — termen: joi [01:10] ⚠
+
+**În așteptare / de clarificat:**
+- când?
+
+### 2. Gol
+
+**Plan / decizii:**
+- fără decizii noi
+
+## Note pentru verificare
+
+- ⚠ Punctul 1 (Caz <1>), decizia [01:10]: quote not found.
+- ⚠ 2 decizii au fost mutate automat la pacientul discutat în acel moment.
+"""
+    assert sinks.minutes_markdown(cases, decisions, facts, questions).first().markdown.endswith("quote not found.\n")
     turns = spark.createDataFrame([(1, 4, 65.0, "linia 4"), (1, 5, 71.0, "linia 5")], "job long, id long, start double, line string")
     sheet = sinks.verification_sheet(cases, decisions, turns).first().sheet
     assert "`linia 4`" in sheet and sheet.index("`linia 5`") > sheet.index("- c: respins") and sheet.endswith("## 2. Gol\n[ ] caz identificat corect") and "a & b (înlocuită): aprobat" in sheet
