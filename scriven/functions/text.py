@@ -135,7 +135,7 @@ def clean_quote(text: Column) -> Column:
 
 def split_ranges(text: Column) -> Column:
     """[a-b] of two time codes as [a] [b]."""
-    return F.regexp_replace(text, "\\[(\\d+:\\d{2})\\s*[-–—]\\s*(\\d+:\\d{2})\\]", "[$1] [$2]")
+    return F.regexp_replace(text, "\\[(\\d+:\\d{2}(?::\\d{2})?)\\s*[-–—]\\s*(\\d+:\\d{2}(?::\\d{2})?)\\]", "[$1] [$2]")
 
 
 #: fixed values: number words that count as digits

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriven.functions import cleanup as C
 from scriven.functions import languages as L
 from scriven.functions import repairs as R
 from scriven.functions import text as T
@@ -46,59 +45,17 @@ def clock_times(spark, d):
     return turns(spark, d).select("conv_id", "turn", T.clock_seconds(said).alias("seconds"))
 
 
-@query("SELECT doc_id, source || ' ' || lang AS quote FROM documents")
-def cleaned_quotes(spark, d):
-    said = F.concat(F.lit("„[01:02] SPEAKER_01: "), "source", F.lit(" "), "lang", F.lit(" [?]”"))
-    return table(spark, d, "documents").select("doc_id", T.clean_quote(said).alias("quote"))
-
-
-@query("SELECT event_id, 'de la [01:0' || event_id % 10 || '] [02:1' || event_id % 7 || '] ' || event_type AS t FROM events")
-def single_codes(spark, d):
-    return _events(spark, d, "'de la [01:0' || event_id % 10 || '–02:1' || event_id % 7 || '] ' || event_type").select("event_id", T.split_ranges(F.col("t")).alias("t"))
-
-
-@query("SELECT event_id, '3|' || event_id || '|' || event_id % 90 || '.5|10' AS numbers FROM events")
-def stated_numbers(spark, d):
-    return _events(spark, d, "'Trei zile, ' || event_id || ' mg, ' || event_id % 90 || ',5 grade, zece ' || event_type").select("event_id", F.array_join(T.numbers(F.col("t")), "|").alias("numbers"))
-
-
 @query("SELECT conv_id, turn, trim(regexp_replace(replace(coalesce(text, ''), '. ', ' '), '\\s+', ' ', 'g')) AS t FROM conversations")
 def without_notes(spark, d):
     return turns(spark, d).select("conv_id", "turn", T.ref_text(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(" [notă, 1] "))).alias("t"))
 
 
-_RAWS = "element_at(array('mâine la opt', 'zilnic', '4 martie, luni', 'peste o lună', 'каждый час', 'luni'), int(event_id % 6) + 1)"
-
-
-@query("""SELECT event_id, CASE WHEN event_id % 6 IN (1, 4) THEN CASE WHEN event_id % 7 = 3 THEN 'conditional' ELSE 'recurring' END WHEN event_id % 7 = 3 THEN 'conditional' WHEN event_id % 7 < 3 AND event_id % 6 IN (0, 5) THEN 'relative' WHEN event_id % 7 < 3 THEN 'absolute' ELSE 'vague' END AS kind FROM events""")
-def deadline_types(spark, d):
-    given = F.when(F.col("event_id") % 7 < 3, "absolute").when(F.col("event_id") % 7 == 3, "conditional").otherwise("vague")
-    return _events(spark, d, _RAWS).select("event_id", T.eta_type(given, F.col("t")).alias("kind"))
-
-
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '0,3' WHEN 1 THEN '' WHEN 2 THEN '4' ELSE '5' END AS days FROM events")
-def named_weekdays(spark, d):
-    t = "element_at(array('joi sau luni', 'peste 3 luni', 'on Friday', 'в субботу'), int(event_id % 4) + 1)"
-    return _events(spark, d, t).select("event_id", F.array_join(R.weekdays(F.col("t")).cast("array<string>"), ",").alias("days"))
-
-
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'vizită vineri ' || event_id WHEN 1 THEN 'vizită joi ' || event_id ELSE 'vizită joi ' || event_id END AS t FROM events")
-def corrected_weekdays(spark, d):
-    quote = F.get(F.array(F.lit("see you on Friday"), F.lit("joi sau vineri"), F.lit("azi")), (F.col("event_id") % 3).cast("int"))
-    return _events(spark, d, "'vizită joi ' || event_id").select("event_id", R.fix_weekday(F.col("t"), quote).alias("t"))
-
-
 @query("SELECT event_id, 'doza ' || event_id || CASE event_id % 3 WHEN 0 THEN ' mg/zi' ELSE '' END || ', 5' || CASE event_id % 2 WHEN 0 THEN ' ml' ELSE '' END AS t FROM events")
 def spoken_units(spark, d):
     line = F.concat(F.lit("doza"), F.when(F.col("event_id") % 3 == 0, " în miligrame").otherwise(""), F.when(F.col("event_id") % 2 == 0, " și cinci mililitri").otherwise(", cinci"))
     return _events(spark, d, "'doza ' || event_id || ' mg/zi, 5 ml'").select("event_id", R.strip_unspoken_units(F.col("t"), line).alias("t"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'patul 9 ' ELSE 'un pat nouă ' END || event_type AS t FROM events")
-def bed_numbers(spark, d):
-    return _events(spark, d, "CASE WHEN event_id % 2 = 0 THEN 'patul nou ' ELSE 'un pat nouă ' END || event_type").select("event_id", R.fix_bed_numbers(F.col("t")).alias("t"))
-
-
 @query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'aprobat' WHEN 1 THEN 'respins' WHEN 2 THEN 'amânat' ELSE 'în discuție' END AS status FROM events")
 def closed_words(spark, d):
     said = "element_at(array('APROBAT', 'respins ', 'amânatt', 'cu totul altfel', ''), int(event_id % 5) + 1)"
@@ -146,12 +103,6 @@ def letters_by_script(spark, d):
     return table(spark, d, "documents").select("doc_id", count("Latin").alias("latin"), count("Cyrillic").alias("cyrillic"))
 
 
-@query("SELECT event_id, event_type || repeat(' da', CASE WHEN event_id % 6 >= 4 THEN 1 ELSE (event_id % 6)::INT END) || ' gata' || repeat(' nu știu', CASE WHEN event_id % 5 >= 3 THEN 1 ELSE (event_id % 5)::INT END) AS t FROM events")
-def collapsed_repeats(spark, d):
-    words = F.split(F.expr("event_type || repeat(' da', int(event_id % 6)) || ' gata' || repeat(' nu știu', int(event_id % 5))"), " ")
-    return C.with_collapsed(table(spark, d, "events").select("event_id", words.alias("w")), "w").select("event_id", F.array_join("w", " ").alias("t"))
-
-
 @query("SELECT event_id, 'vizită ' || CASE WHEN event_id % 2 = 0 THEN 'vineri, ' ELSE 'joi, ' END || event_id || CASE WHEN event_id % 2 = 0 THEN '' ELSE ' mg' END || ' [0:' || CASE WHEN event_id % 2 = 0 THEN '10' ELSE '30' END || '] gata' AS t FROM events")
 def fixed_clauses(spark, d):
     """A clause on a Friday without units, or on no day with them, in every job."""
