@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import folds, intervals, meetings, minutes, more, reports, rules, scalars, terms, text  # noqa: F401
+from . import checks, folds, intervals, meetings, minutes, more, reports, rules, scalars, terms, text  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
