@@ -6,7 +6,7 @@ a rule; EM itself runs over one row that holds the counts of the vote patterns,
 
 Defined cases: null or empty text has no words and fails the base rules; a repeated row is judged each
 time alike; an empty table returns no row; other columns of the input pass through `score` unchanged
-unless they carry one of the result's names, which is then replaced.
+unless they carry one of the result's names, which is then replaced, or begin with _q_, as steps in between do: such columns are left out.
 """
 
 from __future__ import annotations
