@@ -83,7 +83,23 @@ def word_errors(spark, d):
     return E.edit_columns(t.select("conv_id", "turn", words(F.col("text")).alias("ref"), words(F.col("next")).alias("hyp")), "ref", "hyp").select("conv_id", "turn", "S", "D", "I", "N")
 
 
-@query()
+def _lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two texts, row by row."""
+    return f"list_reduce(string_split({b}, ''), lambda r, y: list_reduce(range(1, length({a}) + 1), lambda acc, i: acc || [CASE WHEN {a}[i] = y THEN r[i] + 1 ELSE greatest(r[i + 1], acc[-1]) END], [0::BIGINT]), list_transform(range(length({a}) + 1), lambda z: 0::BIGINT))[-1]"
+
+
+_SORTED = "array_to_string(list_sort({}), ' ')"
+
+
+@query(f"""WITH b AS (SELECT item_id, lower(text) AS text FROM benchmark), p AS (SELECT b.item_id, b.text AS a, coalesce(n.text, b.text) AS b FROM b LEFT JOIN b n ON n.item_id = b.item_id + 1
+), w AS (SELECT *, list_filter(regexp_split_to_array(a, '\\s+'), lambda x: x <> '') AS wa, list_filter(regexp_split_to_array(b, '\\s+'), lambda x: x <> '') AS wb FROM p
+), s AS (SELECT *, list_intersect(wa, wb) AS shared, list_distinct(wa) AS da, list_distinct(wb) AS db FROM w
+), t AS (SELECT *, {_SORTED.format("wa")} AS sa, {_SORTED.format("wb")} AS sb, {_SORTED.format("shared")} AS common, list_filter(da, lambda x: NOT list_contains(wb, x)) AS only_a, list_filter(db, lambda x: NOT list_contains(wa, x)) AS only_b FROM s
+), u AS (SELECT *, trim(common || ' ' || {_SORTED.format("only_a")}) AS with_a, trim(common || ' ' || {_SORTED.format("only_b")}) AS with_b FROM t
+), r AS (SELECT *, {_lcs("a", "b")} AS l1, {_lcs("sa", "sb")} AS l2, {_lcs("with_a", "with_b")} AS l3 FROM u)
+SELECT item_id, 200.0::DOUBLE * l1 / (length(a) + length(b)) AS ratio, 200.0::DOUBLE * l2 / (length(sa) + length(sb)) AS token_sort,
+  CASE WHEN len(shared) > 0 AND (len(only_a) = 0 OR len(only_b) = 0) THEN 100.0::DOUBLE ELSE greatest(200.0::DOUBLE * l3 / (length(with_a) + length(with_b)),
+    CASE WHEN len(shared) > 0 THEN 200.0::DOUBLE * length(common) / (length(common) + length(with_a)) ELSE 0 END, CASE WHEN len(shared) > 0 THEN 200.0::DOUBLE * length(common) / (length(common) + length(with_b)) ELSE 0 END) END AS token_set FROM r""")
 def fuzzy_scores(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("text"))
     after = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
