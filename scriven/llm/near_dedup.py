@@ -337,3 +337,28 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays = near_classes(docs).where("is_head").select("_id", "_text").distinct()
     keyed = docs.select(F.struct(*docs.columns).alias("_doc"), doc_key().alias("_id"), _text_key().alias("_text"))
     return keyed.join(stays, ["_id", "_text"]).dropDuplicates(["_id", "_text"]).select("_doc.*")
+
+
+#: All pairs of texts that share a shingle, by the similarity itself; equal to the query where the bands miss no pair (3e-6 of those at 0.8). Common shingles
+#: are grouped by their two weights, so a pair's sum is over a few groups.
+OP4_SQL = """
+WITH RECURSIVE rows_ AS (
+  SELECT coalesce(doc_id, -9223372036854775808) AS doc, sha256(coalesce(text, '')) AS sha, lower(coalesce(text, '')) AS text FROM documents
+), nodes AS (
+  SELECT row_number() OVER (ORDER BY min(doc), sha) AS node, min(doc) AS doc, sha, regexp_extract_all(any_value(text), '[^\\x20\\x09-\\x0d]+') AS w FROM rows_ GROUP BY sha
+), shingles AS (
+  SELECT node, s, count(*) AS n FROM (SELECT node, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM nodes WHERE len(w) > 0) GROUP BY ALL
+), totals AS (SELECT node, sum(n) AS total FROM shingles GROUP BY node
+), common AS (
+  SELECT a.node AS a, b.node AS b, a.n AS x, b.n AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.node < b.node GROUP BY ALL
+), pairs AS (
+  SELECT a, b, list({'x': x, 'y': y, 'c': c}) AS groups, sum(x * c) AS sx, sum(y * c) AS sy FROM common GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN totals ta ON ta.node = a JOIN totals tb ON tb.node = b
+  WHERE list_sum(list_transform(groups, lambda i: i.c / ((ta.total - sx) / i.x::DOUBLE + (tb.total - sy) / i.y::DOUBLE + list_sum(list_transform(groups, lambda j: j.c * greatest(j.x / i.x::DOUBLE, j.y / i.y::DOUBLE)))))) >= 0.8
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN ways l ON l.a = r.b
+), heads AS (SELECT reach.a AS node, min({'doc': doc, 'sha': sha}) AS head FROM reach JOIN nodes ON nodes.node = reach.b GROUP BY reach.a)
+SELECT nullif(r.doc, -9223372036854775808) AS doc_id, nullif(head.doc, -9223372036854775808) AS class_id, r.doc = head.doc AND r.sha = head.sha AS is_representative
+FROM rows_ r JOIN nodes USING (sha) JOIN heads USING (node)
+"""

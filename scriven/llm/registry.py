@@ -27,5 +27,6 @@ ORACLES: dict[str, str] = {
     "op12_turn_repair": turn_repair.OP12_SQL,
     "op13_prefix_trie": prefix_trie.OP13_SQL,
     "op2_chat_format": chat.oracle(),
+    "op4_near_dedup": near_dedup.OP4_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
 }
