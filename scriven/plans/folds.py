@@ -30,7 +30,15 @@ def built_segments(spark, d):
     return G.build_segments(_regions(spark, d), 1000, 600, 3600, 60_000, 90_000, 300)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEGMENTS_SQL}, r AS (SELECT row_number() OVER () AS id, job, start::DOUBLE AS a, "end"::DOUBLE AS b FROM seg
+), f AS (SELECT job, list({{'at': start::DOUBLE, 'energy': value}}) AS frames FROM seg GROUP BY job
+), walk(id, job, a, b, "from", "at", k) AS (
+  SELECT id, job, a, b, a, a, 0 FROM r WHERE b - a > 90000
+  UNION ALL SELECT id, job, a, b, "at", least(greatest(CASE WHEN len(near) = 0 THEN "at" + 60000 ELSE list_min(list_transform(near, lambda x: {{'e': x.energy, 'at': x."at"}}))."at" END, "at" + 10000), "at" + 90000, b), k + 1
+  FROM (SELECT w.*, list_filter(frames, lambda x: abs(x."at" - (w."at" + 60000)) <= 1 AND x."at" >= w.a - 1 AND x."at" <= w.b + 1) AS near FROM walk w JOIN f USING (job) WHERE w.b - w."at" > 90000)
+), last AS (SELECT id, job, b, max("at") AS "at" FROM walk GROUP BY ALL)
+SELECT job, a AS start, b AS "end" FROM r WHERE b - a <= 90000
+UNION ALL SELECT job, "from", "at" FROM walk WHERE k > 0 UNION ALL SELECT job, "at", b FROM last""")
 def split_regions(spark, d):
     """Segments over 90,000 seconds cut near every 60,000; the quietest of the events of the job are the levels."""
     frames = segments(spark, d).select("job", F.col("start").cast("double").alias("at"), F.col("value").alias("energy"))
