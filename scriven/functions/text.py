@@ -73,6 +73,17 @@ def norm_key(text: Column) -> Column:
     return _spaced(F.lower(without_marks(F.coalesce(text, F.lit("")))), "\\p{L}\\p{N}_")
 
 
+@F.pandas_udf(StringType())
+def _nfd_unmarked(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"), na_action="ignore")
+
+
+def error_norm(text: Column) -> Column:
+    """A text as error rates compare it: lower case, no marks that NFD parts from their letters, everything but letters, digits and _ a space."""
+    plain = _where("[^\\x{0}-\\x{7F}]", _nfd_unmarked, F.lower(F.coalesce(text, F.lit(""))))
+    return _spaced(plain, "\\p{L}\\p{N}_")
+
+
 def script_of(word: Column) -> Column:
     latin, cyrillic = word.rlike("\\p{IsLatin}"), word.rlike("\\p{IsCyrillic}")
     return F.when(latin & cyrillic, "mixed").when(cyrillic, "cyrl").when(latin, "latn").otherwise("other")

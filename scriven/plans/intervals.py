@@ -14,9 +14,11 @@ DAY, HOUR = 86400, 3600
 
 
 def _union_sql(op: str, gap: int, source: str = "seg", more: str = "") -> str:
-    return f"""marked AS (
-  SELECT *, CASE WHEN start - max("end") OVER (PARTITION BY job ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) {op} {gap} THEN 0 ELSE 1 END AS new FROM {source}{more}
-), numbered AS (SELECT *, sum(new) OVER (PARTITION BY job ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM marked)"""
+    """Islands; both windows read equal rows in one order, numbered beforehand, so that the first of them opens an island in both."""
+    return f"""tied AS (SELECT *, row_number() OVER () AS tie FROM {source}{more}
+), marked AS (
+  SELECT *, CASE WHEN start - max("end") OVER (PARTITION BY job ORDER BY start, "end", tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) {op} {gap} THEN 0 ELSE 1 END AS new FROM tied
+), numbered AS (SELECT *, sum(new) OVER (PARTITION BY job ORDER BY start, "end", tie ROWS UNBOUNDED PRECEDING) AS island FROM marked)"""
 
 
 @query(f"""WITH {SEGMENTS_SQL}, r AS (

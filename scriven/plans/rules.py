@@ -136,3 +136,9 @@ def collapsed_repeats(spark, d):
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     out = C.with_collapsed(table(spark, d, "documents").select("doc_id", words.alias("w")), "w")
     return out.select("doc_id", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5"), "repetition")
+
+
+@query(f"WITH s AS (SELECT conv_id, turn, {_TEXT} AS t FROM conversations) SELECT conv_id, turn, {_KEY.format('t')} AS norm FROM s")
+def error_norms(spark, d):
+    """Texts as word error rates compare them."""
+    return _said(spark, d).select("conv_id", "turn", T.error_norm(F.col("t")).alias("norm"))

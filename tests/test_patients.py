@@ -105,3 +105,11 @@ def test_null_jobs_in_segments(spark):
     regions = spark.createDataFrame([(j, a, b, "x") for j in (None, 1) for a, b in ((0.0, 4.0), (4.2, 9.0), (30.0, 31.0))], "job long, start double, end double, speaker string")
     got = sorted((tuple(r) for r in G.build_segments(regions, 1, 0.5, 2, 60, 90, 0.1).collect()), key=str)
     assert [r[1:] for r in got if r[0] is None] == [r[1:] for r in got if r[0] == 1] and len(got) >= 4
+
+
+def test_error_norm(spark):
+    from scriven.functions import text as T
+
+    texts = ["Bună  ziua, 38-40 la 0.22!", "ÎNCEPEM_acum", "й ё é ﬁ", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.error_norm(F.col("t"))).collect()]
+    assert got == ["buna ziua 38 40 la 0 22", "incepem_acum", "и е e ﬁ", "", ""]
