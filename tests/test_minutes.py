@@ -4,11 +4,13 @@ import json
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from scriven.operators import answers as A
 from scriven.operators import minutes as M
+from scriven.plans.registry import ORACLES, QUERIES
 
 CASES = "job long, window long, no long, case_key string, topic string, summary string, eta_type string, eta_raw string, eta_condition string"
 DECISIONS = "job long, window long, no long, n long, turn_id long, at double, decision string, status string, quote string, replaces boolean"
@@ -226,3 +228,15 @@ def test_deadline_log(spark):
     assert got == {
         (0, "type"): ("absolute", "relative"), (1, "not in transcript"): ("peste un an", None), (2, "extended"): ("luna", "la fiecare luna"), (2, "type"): ("duration", "recurring"), (3, "realigned"): ("daca creste febra", "Dacă crește febra"),
     }
+
+
+def test_deadline_fixes_is_the_one_of_the_sql(spark, tmp_path):
+    # words that are nearly those of the deadline, and a word of repetition before a turn's own words
+    rows = [(2, 0, "am spus una doi"), (3, 1, "each fiecare luna trei"), (3, 0, "vezi каждый месяц aici"), (1, 0, "nimic de spus"), (2, 4, "și the gata"), (6, 0, None)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations (conv_id BIGINT, turn INT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, 'user', ?)", rows)
+    db.execute(f"COPY conversations TO '{tmp_path}/conversations.parquet' (FORMAT parquet)")
+    got = {tuple(r) for r in QUERIES["deadline_fixes"](spark, str(tmp_path)).collect()}
+    assert got == set(db.execute(ORACLES["deadline_fixes"]).fetchall())
+    assert got == {(2, 0, "not in transcript", "luna", None), (3, 0, "extended", "месяц", "каждый месяц"), (1, 0, "not in transcript", "xqzk wvjj yyqx", None), (2, 4, "extended", "luna", "fiecare luna")}
