@@ -93,8 +93,8 @@ def _ops(spark, d):
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     heard = F.flatten(F.transform("a", lambda x, i: F.when((i + 1 + F.col("turn")) % 13 == 7, F.array(x, x)).when((i + 1 + F.col("conv_id")) % 11 == 6, F.array().cast("array<string>")).when((i + 1) % 7 == 4, F.array(F.reverse(x))).otherwise(F.array(x))))
     pairs = turns(spark, d).select("conv_id", "turn", "role", words.alias("a")).withColumn("b", heard)
-    steps = C.aligned(pairs, "a", "b").select("conv_id", "turn", "role", "a", "b", F.posexplode("steps").alias("i", "s"))
-    return steps.select("conv_id", "turn", "role", "i", "s.tag", F.get("a", F.col("s.i")).alias("ref"), F.get("b", F.col("s.j")).alias("hyp"))
+    told = F.transform("steps", lambda s: F.struct(s.tag.alias("tag"), F.get("a", s.i).alias("ref"), F.get("b", s.j).alias("hyp")))
+    return C.aligned(pairs, "a", "b").select("conv_id", "turn", "role", F.posexplode(told).alias("i", "s")).select("conv_id", "turn", "role", "i", "s.*")
 
 
 @query(f"""WITH {_HEARD_SQL}, s AS (SELECT conv_id, unnest(['all', 'clean', 'user']) AS slice, unnest([true, turn % 2 = 0, role = 'user']) AS fits, * EXCLUDE (conv_id) FROM errors WHERE len(a) > 0 OR len(b) > 0),
