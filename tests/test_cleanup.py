@@ -1,3 +1,7 @@
+import tracemalloc
+
+import pyarrow as pa
+
 from scriven.functions import cleanup as C
 
 
@@ -13,6 +17,16 @@ def test_collapse_column(spark):
     assert {r.id: (r.w, r.repetition) for r in C.with_collapsed(df, "w").collect()} == {1: (["x"], True), 2: ([], None), 3: (["a"], False)}
 
 
+def test_collapse_holds_one_row(spark):
+    words = [[f"w{(i + k) % 40 // (1 + k % 3)}" for k in range(100)] + ["da"] * (i % 7) for i in range(2000)]
+    rows = pa.array([["not", "read"], *words]).slice(1)
+    tracemalloc.start()
+    got = C._shortened(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6 and got.to_pylist() == [C.collapse_repeats(w) for w in words]
+
+
 def test_review_sheet(spark):
     d = spark.createDataFrame([(1, "A", "do", 2), (1, "B", "go", None)], "job long, case_key string, decision string, turn_id long")
     lines = spark.createDataFrame([(1, 2, "said")], "job long, id long, line string")
