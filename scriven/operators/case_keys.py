@@ -2,7 +2,8 @@
 
 The score of a pair is the first of the ranked `RULES` that says something. The index keeps the keys as rows of arrays and bounds
 the score of a new key against all of them at once, from the letters of their words and from the words they share; only keys whose bound
-reaches what is asked are compared, so a meeting of many cases costs array operations, not comparisons.
+reaches what is asked are compared, so a meeting of many cases costs array operations, not comparisons. Where few keys are asked about, all are compared
+and no arrays are made.
 """
 
 from __future__ import annotations
@@ -79,6 +80,9 @@ def key_score(a: Key, b: Key) -> float:
     return next(score for rule in RULES if (score := rule(a, b)) is not None)
 
 
+#: So many keys are compared one by one.
+FEW = 16
+
 #: Letters fall into so many classes: a bound from classes is never below the one from letters.
 CLASSES = 48
 
@@ -139,13 +143,13 @@ class KeyIndex:
         self.keys: list[Key] = []
         self._plain: dict[str, list[int]] = {}
         self._places: dict[str, list[int]] = {}
-        self._kinds = np.zeros((64, 3), np.int64)  # with places, a topic, its numbers
         self._numbers: dict[frozenset[str], int] = {frozenset(): 0}
-        self._texts, self._sets, self._topics = _Texts(False), _Texts(True), _Texts(True)
+        self._texts: _Texts | None = None
 
     def add(self, k: Key) -> None:
-        n = len(self.keys)
         self.keys.append(k)
+
+    def _put(self, k: Key, n: int) -> None:
         self._plain.setdefault(k.plain, []).append(n)
         for p in k.places:
             self._places.setdefault(p, []).append(n)
@@ -158,9 +162,17 @@ class KeyIndex:
 
     def near(self, k: Key, least: float, since: int = 0) -> Iterator[tuple[int, float]]:
         """(number, score) of keys from number since on that score least (over 0) or more with k, in order."""
-        sure = {n for n in self._plain.get(k.plain, ()) if n >= since} | {n for p in k.places for n in self._places.get(p, ()) if n >= since}
-        if since == len(self.keys):
+        if len(self.keys) - since <= FEW:
+            for n in range(since, len(self.keys)):
+                if (score := key_score(k, self.keys[n])) >= least:
+                    yield n, score
             return
+        if self._texts is None:
+            self._kinds = np.zeros((64, 3), np.int64)  # with places, a topic, its numbers
+            self._texts, self._sets, self._topics = _Texts(False), _Texts(True), _Texts(True)
+        for n in range(self._texts.n, len(self.keys)):
+            self._put(self.keys[n], n)
+        sure = {n for n in self._plain.get(k.plain, ()) if n >= since} | {n for p in k.places for n in self._places.get(p, ()) if n >= since}
         placed, topic, numbers = self._kinds[since : len(self.keys)].T
         fits = ~(placed.astype(bool) & bool(k.places))
         if k.digits:

@@ -19,7 +19,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Callabl
     """fold(key, rows) yields tuples of `schema` for each key's rows in order; nulls come first and are None, a null key is a key.
 
     One shuffle on the keys, sorted inside partitions; rows stream through Arrow batches, so a long group needs
-    no more memory than the fold keeps.
+    no more memory than the fold keeps. Small rows may mean much work: there are as many parts as a shuffle has, whatever their size.
     """
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
@@ -44,4 +44,5 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Callabl
         if out:
             yield made()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions") or 1)
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
