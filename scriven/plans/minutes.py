@@ -14,8 +14,9 @@ _BASE_SQL = "e AS (SELECT user_id AS job, event_id, event_type, row_number() OVE
 
 
 def _events(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select(F.col("user_id").alias("job"), "event_id", "event_type", (F.row_number().over(w) - 1).cast("long").alias("t"))
+    # named before it is dealt by job: what is worked out inside a job later is not dealt again
+    w = Window.partitionBy("job").orderBy("ts", "event_id")
+    return table(spark, d, "events").withColumnRenamed("user_id", "job").select("job", "event_id", "event_type", (F.row_number().over(w) - 1).cast("long").alias("t"))
 
 
 def _text(c):

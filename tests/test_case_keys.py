@@ -2,6 +2,8 @@ import random
 import re
 import time
 
+from pyspark.sql import functions as F
+
 from scriven.functions import cleanup as C
 from scriven.functions import repairs as R
 from scriven.operators import case_keys as K
@@ -71,3 +73,54 @@ def test_aligned_keeps_its_place_behind_long_letters():
     assert R.aligned("termen luni diminață", [line]) == "termen luni dimineață"
     assert R.aligned("luni diminață", ["altceva", line, "luni diminață"]) == "luni diminață"
     assert R.aligned("", ["x"]) is None and R.aligned("x", [""]) is None
+
+
+def row_by_row(keys, model=None):
+    """The case of each key, each row in turn against all cases."""
+    firsts, out = [], []
+    for k in keys:
+        scores = [(K.key_score(k, f), i) for i, f in enumerate(firsts)]
+        i = max((x for x in scores if x[0] >= 90), default=(0, None))[1]
+        if i is None and model:
+            i = next((i for s, i in sorted(scores, reverse=True)[:2] if s > 60 and model.same_case(k.said, firsts[i].said)), None)
+        if i is None:
+            i = len(firsts)
+            firsts.append(k)
+        out.append(i)
+    return out
+
+
+def test_rows_that_come_again_against_each_row_in_turn(spark):
+    from scriven.operators import minutes as M
+
+    rng = random.Random(6)
+    rows = []
+    for job in range(12):
+        some = [some_key(rng).said for _ in range(25)]
+        some += [f"Organizare: {' '.join(rng.sample('orar cantina buget audit igiena program'.split(), 4))}" for _ in range(15)]
+        rows += [(job, n // 4, n % 4, rng.choice([*some, None, ""])) for n in range(200)]
+    cases = spark.createDataFrame(rows, "job long, window long, no long, case_key string")
+    features = {r.said: K.Key(r.said, r.plain, frozenset(r.places), frozenset(r.digits), r.person, r.topic) for r in cases.select(K.key_features(F.col("case_key")).alias("k")).select("k.*").distinct().collect()}
+    said = sorted(features)
+    answers = {frozenset((a, b)): rng.random() < 0.5 for i, a in enumerate(said) for b in said[:i]}
+    moved = 0
+    for model in (None, M.ScriptedModel(answers)):
+        found = {(r.job, r.window, r.no): r.case_no for r in M.clustered(cases, model).collect()}
+        assert len(found) == len(rows)
+        for job in range(12):
+            own = [r for r in rows if r[0] == job]
+            want = row_by_row([features[r[3] or ""] for r in own], model)
+            assert [found[r[:3]] for r in own] == want
+            moved += len({(r[3], i) for r, i in zip(own, want)}) - len({r[3] for r in own})
+    assert moved > 0  # some keys change their case
+
+
+def test_first_rows_alone_are_folded(spark, monkeypatch):
+    from scriven.operators import minutes as M
+
+    folded = []
+    fold = M.ordered_fold
+    monkeypatch.setattr(M, "ordered_fold", lambda df, *more: folded.append(df.count()) or fold(df, *more))
+    cases = spark.createDataFrame([(1, n, 0, f"Tema: {'abc'[n % 3] * 6}") for n in range(300)], "job long, window long, no long, case_key string")
+    assert M.clustered(cases).groupBy("case_no").count().where("count = 100").count() == 3
+    assert folded == [3]
