@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column
@@ -75,6 +76,7 @@ RULES = (
 )
 
 
+@lru_cache(1 << 14)  # many meetings have the same keys
 def key_score(a: Key, b: Key) -> float:
     """How sure two case keys mean one case: 0 another, 100 the same."""
     return next(score for rule in RULES if (score := rule(a, b)) is not None)
@@ -92,7 +94,7 @@ class _Texts:
 
     def __init__(self, once: bool):
         self.once = once
-        self.letters = np.zeros((64, CLASSES), np.int16)
+        self.letters = np.zeros((CLASSES, 64), np.int16)
         self.sizes = np.zeros(64, np.int32)
         self.words: dict[str, list[int]] = {}
         self.n = 0
@@ -109,8 +111,8 @@ class _Texts:
 
     def add(self, text: str) -> None:
         if self.n == len(self.sizes):
-            self.letters, self.sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.letters, self.sizes))
-        words, self.letters[self.n], self.sizes[self.n] = self._parts(text, self.once)
+            self.letters, self.sizes = (np.concatenate([a, np.zeros_like(a)], axis=-1) for a in (self.letters, self.sizes))
+        words, self.letters[:, self.n], self.sizes[self.n] = self._parts(text, self.once)
         for w in words:
             self.words.setdefault(w, []).append(self.n)
         self.n += 1
@@ -121,10 +123,12 @@ class _Texts:
         least -= 1e-9
         sizes = self.sizes[since : self.n]
         # lengths alone rule out most texts, letters most of the rest
-        at = np.flatnonzero(fits & (200.0 * np.minimum(sizes, size) >= least * (sizes + size)))
-        common = np.minimum(self.letters[since + at], letters).sum(1)
-        out = np.zeros(self.n - since, bool)
-        out[at[200.0 * common >= least * (sizes[at] + size)]] = True
+        out = fits & (200.0 * np.minimum(sizes, size) >= least * (sizes + size))
+        if out.any():
+            common = np.zeros(len(sizes), np.int32)
+            for c in np.flatnonzero(letters):
+                common += np.minimum(self.letters[c, since : self.n], letters[c])
+            out &= 200.0 * common >= least * (sizes + size)
         shared: dict[int, int] = {}
         for w in words if self.once else ():
             for i in self.words.get(w, ()):
@@ -155,7 +159,7 @@ class KeyIndex:
             self._places.setdefault(p, []).append(n)
         if n == len(self._kinds):
             self._kinds = np.concatenate([self._kinds, np.zeros_like(self._kinds)])
-        self._kinds[n] = bool(k.places), k.is_topic, self._numbers.setdefault(k.digits, len(self._numbers))
+        self._kinds[n] = bool(k.places), k.is_topic, self._numbers.setdefault(k.digits, len(self._numbers)), ":" in k.said
         self._texts.add(k.plain)
         self._sets.add(k.plain)
         self._topics.add(k.topic)
@@ -168,20 +172,20 @@ class KeyIndex:
                     yield n, score
             return
         if self._texts is None:
-            self._kinds = np.zeros((64, 3), np.int64)  # with places, a topic, its numbers
+            self._kinds = np.zeros((64, 4), np.int64)  # with places, a topic, its numbers, with a colon
             self._texts, self._sets, self._topics = _Texts(False), _Texts(True), _Texts(True)
         for n in range(self._texts.n, len(self.keys)):
             self._put(self.keys[n], n)
         sure = {n for n in self._plain.get(k.plain, ()) if n >= since} | {n for p in k.places for n in self._places.get(p, ()) if n >= since}
-        placed, topic, numbers = self._kinds[since : len(self.keys)].T
+        placed, topic, numbers, colon = self._kinds[since : len(self.keys)].T
         fits = ~(placed.astype(bool) & bool(k.places))
         if k.digits:
             fits &= (numbers == 0) | (numbers == self._numbers.get(k.digits, -1))
         # only equal numbers are compared by the words that they share
         alike = fits & (numbers == self._numbers.get(k.digits, -1)) if k.digits else np.zeros(len(fits), bool)
         may = self._texts.near(k.plain, least, since, fits) | self._sets.near(k.plain, least, since, alike)
-        if k.is_topic:
-            may |= self._topics.near(k.topic, max(least, SAME_CASE), since, topic.astype(bool))
+        if k.is_topic:  # topics are compared where either key has a colon
+            may |= self._topics.near(k.topic, max(least, SAME_CASE), since, topic.astype(bool) & (colon.astype(bool) | (":" in k.said)))
         for n in sorted(sure | {since + int(i) for i in np.flatnonzero(may)}):
             if (score := key_score(k, self.keys[n])) >= least:
                 yield n, score
