@@ -31,7 +31,8 @@ from .common import doc_id_of, doc_key, shuffle_partitions, table, written
 from .near_dedup import mixed
 
 LENGTH, ANCHOR = 100, 24
-HOT, SHARD_BYTES, CHUNK_BYTES, DEPTH = 20_000, 1 << 21, 1 << 19, 64
+# CHUNK_BYTES: hashes of so many places stay in a core's cache
+HOT, SHARD_BYTES, CHUNK_BYTES, DEPTH = 20_000, 1 << 21, 1 << 17, 64
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 
@@ -181,11 +182,18 @@ def repeats_in_shard(contexts: list[bytes], docs: np.ndarray, subs: np.ndarray,
     sa = suffix_array(data)
     group = np.cumsum(permuted_common_prefixes(data, sa)[sa] < LENGTH)
     at, group = sa[window[sa]], group[window[sa]]
-    doc, sub, start = docs[of[at]], subs[of[at]], starts[of[at]] + inside[at]
-    order = np.lexsort((start, sub, doc, group))
-    first = np.ones(len(order), bool)
-    first[1:] = group[order][1:] != group[order][:-1]
-    gone = np.sort(at[order[~first]])
+    # where a window starts: its document's rank above, its place there below
+    order = np.lexsort((subs, docs))
+    new = np.zeros(len(order), np.int64)
+    new[1:] = (docs[order][1:] != docs[order][:-1]) | (subs[order][1:] != subs[order][:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    start = (rank[of[at]] << 40) + starts[of[at]] + inside[at]
+    edge = np.ones(len(at), bool)
+    edge[1:] = group[1:] != group[:-1]
+    low = np.flatnonzero(edge)
+    least = np.minimum.reduceat(start, low) if len(low) else start
+    gone = np.sort(at[start != np.repeat(least, np.diff(np.append(low, len(at))))])
     edge = np.ones(len(gone), bool)
     edge[1:] = (np.diff(gone) != 1) | (of[gone[1:]] != of[gone[:-1]])
     low = np.flatnonzero(edge)
@@ -197,19 +205,29 @@ def repeats_in_shard(contexts: list[bytes], docs: np.ndarray, subs: np.ndarray,
 # --- anchors
 
 
-def _grown(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of each `length` bytes of data, by doubling."""
-    powers, out, done = {1: mixed(data.astype(np.uint64) + np.uint64(1))}, None, 0
+#: The hash of each byte.
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+
+
+def _powers(data: np.ndarray, longest: int) -> dict[int, np.ndarray]:
+    """64-bit hashes of all strings of 1, 2, 4, .. bytes of data, none over `longest`, by doubling."""
+    powers, size = {1: BYTES[data]}, 1
     with np.errstate(over="ignore"):
-        size = 1
-        while size * 2 <= length:
+        while size * 2 <= longest:
             h = powers[size]
             powers[size * 2] = h[:-size] * np.uint64(0xD6E8FEB86659FD93 + 2 * size) + h[size:]
             size *= 2
+    return powers
+
+
+def _grown(powers: dict[int, np.ndarray], length: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the `length` bytes at each place, or at those given."""
+    total, out, done = len(powers[1]), None, 0
+    with np.errstate(over="ignore"):
         for size in sorted(powers, reverse=True):
             if done + size <= length:
-                h = powers[size]
-                out = h if out is None else (out[: len(data) - done - size + 1] * np.uint64(0xA0761D6478BD642F) + h[done : len(data) - size + 1])
+                h = powers[size][done : total - length + done + 1] if at is None else powers[size][at + done]
+                out = h if out is None else out * np.uint64(0xA0761D6478BD642F) + h
                 done += size
     return mixed(out)
 
@@ -219,7 +237,8 @@ def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     if len(data) < LENGTH:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     doc = np.repeat(np.arange(len(lengths)), lengths)
-    h = _grown(data, ANCHOR)
+    powers = _powers(data, LENGTH)
+    h = _grown(powers, ANCHOR)
     # hash above, place below: the least is the leftmost of the least hashes
     low = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
     span, size = LENGTH - ANCHOR + 1, 1
@@ -234,8 +253,7 @@ def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(at)))
     start = at[first]
-    whole = _grown(data, LENGTH)
-    content = mixed(whole[start] ^ mixed(whole[start + n - 1] + n.astype(np.uint64)))
+    content = mixed(_grown(powers, LENGTH, start) ^ mixed(_grown(powers, LENGTH, start + n - 1) + n.astype(np.uint64)))
     begins = np.cumsum(lengths) - lengths
     return doc[start], start - begins[doc[start]], n, h[where[first]], content
 

@@ -75,3 +75,36 @@ def test_suffix_array_and_prefixes():
 
 def test_empty_table(spark):
     assert S.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_contexts_are_hashed_where_they_begin_and_end(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(97, 123, n).astype(np.uint8) for n in (4000, 99, 100, 0, 900)]
+    texts.append(texts[0][1000:1500].copy())
+    hashed, mixed = [], S.mixed
+    monkeypatch.setattr(S, "mixed", lambda x: hashed.append(x.size) or mixed(x))
+    data, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    found = list(zip(*(c.tolist() for c in S.anchors(data, lengths))))
+    assert sum(hashed) < 2 * len(data)  # one hash a place, two and a seed a context
+    covered = sorted((d, s + k) for d, s, n, _, _ in found for k in range(n))
+    assert covered == [(d, k) for d, n in enumerate(lengths) for k in range(n - S.LENGTH + 1)]
+    # equal contexts are equal bytes, and those inside the copy are found
+    of = {}
+    for d, s, n, anchor, content in found:
+        of.setdefault((anchor, content), set()).add(texts[d][s : s + n + S.LENGTH - 1].tobytes())
+    assert all(len(x) == 1 for x in of.values()) and len(of) < len(found)
+
+
+def test_first_of_equal_windows_stays():
+    rng = np.random.default_rng(9)
+    base = bytes(rng.integers(97, 101, 400).astype(np.uint8))
+    cuts = [(int(d), int(sub), int(start), base[a : a + n]) for d, sub, start, a, n in zip(rng.integers(0, 6, 30), rng.integers(-2, 2, 30), rng.permutation(30) * 1000, rng.integers(0, 250, 30), rng.integers(100, 150, 30))]
+    got = S.repeats_in_shard([c[3] for c in cuts], *(np.array([c[k] for c in cuts]) for k in range(3)))
+    windows = sorted((d, sub, start + k, text[k : k + S.LENGTH]) for d, sub, start, text in cuts for k in range(len(text) - S.LENGTH + 1))
+    seen, gone = set(), set()
+    for *place, window in windows:
+        if window in seen:
+            gone.add(tuple(place))
+        seen.add(window)
+    assert {(d, sub, k) for d, sub, a, b in zip(*(c.tolist() for c in got)) for k in range(a, b - S.LENGTH + 1)} == gone
+    assert gone
