@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scriven.functions.text import norm_text, raw_tokens
 from scriven.operators import glossary as G
+from scriven.operators.tables import kept
 
 from .base import query, table, turns
 
@@ -15,16 +16,19 @@ _RAW = "translate(nfc_normalize(coalesce(text, '')), 'şŞţŢ', 'șȘțȚ')"
 
 
 def _glossary(docs):
-    """Frequent words and pairs of words as terms, each under one of three languages by its length; capitalised words as abbreviations."""
+    """Frequent words and pairs of words as terms, each under one of three languages by its length; capitalised words as abbreviations. Also all words of the texts."""
     c = F.col
     t = docs.select(norm_text(F.coalesce("text", F.lit(""))).alias("n"), raw_tokens(F.coalesce("text", F.lit(""))).alias("r"))
     lang = lambda x: F.get(F.array(*map(F.lit, G.LANGUAGES)), F.length(x) % 3)
     short = lambda x, k: F.expr(f"substring({x}, 1, length({x}) - {k})")
-    one = t.select(F.explode("n").alias("w")).groupBy("w").count().where("count >= 12 AND length(w) >= 7").select("w", F.array(short("w", 2)).alias("stems"), F.lit(False).alias("abbr"))
-    two = t.select(F.explode(F.zip_with(F.slice("n", 1, F.greatest(F.size("n") - 1, F.lit(0))), F.slice("n", 2, F.greatest(F.size("n") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p")).select("p.*")
-    two = two.groupBy("a", "b").count().where("count >= 15 AND length(a) >= 4 AND length(b) >= 3").select(F.concat_ws(" ", "a", "b").alias("w"), F.array(short("a", 1), c("b")).alias("stems"), F.lit(False).alias("abbr"))
-    big = t.select(F.explode("r").alias("w")).where("w RLIKE '^[A-Z][a-z]{4,}$'").groupBy("w").count().where("count >= 20").select("w", F.array("w").alias("stems"), F.lit(True).alias("abbr"))
-    return one.unionByName(two).unionByName(big).select(c("w").alias("concept"), lang(c("w")).alias("lang"), c("w").alias("text"), "abbr", "stems")
+    # words are counted in one pass, in lower case and as they stand
+    each = kept(t.select(F.explode(F.arrays_zip(c("n").alias("w"), c("r").alias("raw"))).alias("x")).groupBy("x.w", "x.raw").count())
+    one = each.where("w IS NOT NULL").groupBy("w").agg(F.sum("count").alias("count")).where("count >= 12 AND length(w) >= 7").select("w", F.array(short("w", 2)).alias("stems"), F.lit(False).alias("abbr"))
+    pairs = F.arrays_zip(c("n").alias("a"), F.slice("n", F.lit(2), F.greatest(F.size("n"), F.lit(1))).alias("b"))
+    two = t.select(F.explode(pairs).alias("p")).select("p.*").where("length(a) >= 4 AND length(b) >= 3")
+    two = two.groupBy("a", "b").count().where("count >= 15").select(F.concat_ws(" ", "a", "b").alias("w"), F.array(short("a", 1), c("b")).alias("stems"), F.lit(False).alias("abbr"))
+    big = each.where("raw RLIKE '^[A-Z][a-z]{4,}$'").groupBy(c("raw").alias("w")).agg(F.sum("count").alias("count")).where("count >= 20").select("w", F.array("w").alias("stems"), F.lit(True).alias("abbr"))
+    return one.unionByName(two).unionByName(big).select(c("w").alias("concept"), lang(c("w")).alias("lang"), c("w").alias("text"), "abbr", "stems"), each.where("w IS NOT NULL").select(c("w").alias("word")).distinct()
 
 
 _GLOSSARY_SQL = f"""texts AS (SELECT doc_id, regexp_extract_all({_NORM}, '{_WORD}') AS n, regexp_extract_all({_RAW}, '{_WORD}') AS r FROM documents
@@ -54,7 +58,8 @@ _GLOSSARY_SQL = f"""texts AS (SELECT doc_id, regexp_extract_all({_NORM}, '{_WORD
 SELECT doc_id, concept, lang, concept AS term, i AS first, i + n AS last FROM numbered JOIN walk USING (doc_id, k) WHERE keep""")
 def terms_found(spark, d):
     docs = table(spark, d, "documents")
-    return G.find_terms(docs.select("doc_id", "text"), ["doc_id"], "text", _glossary(docs), ["ro", "en"])
+    terms, vocabulary = _glossary(docs)
+    return G.find_terms(docs.select("doc_id", "text"), ["doc_id"], "text", terms, ["ro", "en"], vocabulary)
 
 
 def _said_words(spark, d):
